@@ -15,13 +15,17 @@ BUCKETS = 1 << 14
 #: The most labelled rows that the target model and the cut are fitted on.
 MAX_LABELLED = 200_000
 SMOOTHING = 1.0
+#: What the loss of a good labelled row weighs against the keeping of a bad one.
+GOOD_WEIGHT = 3.0
 SEED = 8
 
 
 def features(texts: list[bytes]):
-    """For each text, the buckets of its words, punctuation runs, and pairs of neighbours."""
+    """For each text, the buckets of its words and punctuation runs, of pairs of neighbours, and one for each word that
+    repeats the word before it, whichever that is."""
     for tokens in token_hashes(texts, punct=True, folded=False):
-        yield (np.concatenate([tokens, ngrams(tokens, 2)]) % np.uint64(BUCKETS)).astype(np.int64)
+        repeats = np.full(int((tokens[1:] == tokens[:-1]).sum()), BUCKETS - 1)
+        yield np.concatenate([(np.concatenate([tokens, ngrams(tokens, 2)]) % np.uint64(BUCKETS - 1)).astype(np.int64), repeats])
 
 
 def bucket_counts(docs: DataFrame) -> np.ndarray:
@@ -70,7 +74,7 @@ def scored(docs: DataFrame, ratio: np.ndarray, scale: float) -> DataFrame:
 
 
 def best_cut(weights: DataFrame, bins: int = 2000) -> float:
-    """The log weight that parts good from bad labelled rows with the fewest errors of either kind, by their shares."""
+    """The log weight that parts good from bad labelled rows with the least loss, by shares; a good row lost counts GOOD_WEIGHT times."""
     lo, hi = weights.agg(F.min("log_weight"), F.max("log_weight")).first()
     if lo is None or lo == hi:
         return float("-inf")
@@ -83,7 +87,7 @@ def best_cut(weights: DataFrame, bins: int = 2000) -> float:
         return float("-inf")
     share = n / n.sum(axis=1, keepdims=True)
     # cut before bin i: bad rows at or above it and good rows below it are errors
-    errors = np.concatenate([[1], 1 - np.cumsum(share[0])]) + np.concatenate([[0], np.cumsum(share[1])])
+    errors = np.concatenate([[1], 1 - np.cumsum(share[0])]) + GOOD_WEIGHT * np.concatenate([[0], np.cumsum(share[1])])
     least = np.flatnonzero(errors <= errors.min() + 1e-12)
     return float(lo + (hi - lo) * least[len(least) // 2] / bins)
 
@@ -99,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, DataFrame]:
     return log_ratio(bucket_counts(good), bucket_counts(docs)), known
 
 
-def resample(docs: DataFrame, labels: DataFrame, scale: float = 200.0) -> tuple[DataFrame, DataFrame]:
+def resample(docs: DataFrame, labels: DataFrame, scale: float = 500.0) -> tuple[DataFrame, DataFrame]:
     """Importance resampling without replacement: the k documents of largest Gumbel key.
 
     Target model: hashed n-grams of the documents labelled good; raw model: of all documents. A document's weight is its
