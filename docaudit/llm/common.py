@@ -24,10 +24,11 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as a table in the shared folder and reads it again, so lost executors cost no recomputation."""
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Cuts lineage: writes df as a table in the shared folder and reads it again, so lost executors cost no recomputation.
+    narrow: rows are few and small, so as many files as the cluster has cores, twice over, are enough."""
     path = work_dir(df.sparkSession)
-    df.write.parquet(path)
+    (df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -15,6 +15,8 @@ from .words import encoded, ngrams, token_hashes
 
 #: Bits of the sketch that filters pairs, bits of one chunk of the pigeonhole sketch, and members of one block of a bucket.
 SKETCH, CHUNK, BLOCK = 2048, 4096, 4096
+#: Doubtful pairs between two components of a task that are verified before the next one is taken for granted.
+RISKY = 64
 BAND = 1.4
 
 
@@ -136,15 +138,24 @@ def _grouped(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.Data
 
 
 def _forest(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges to verify: within each bucket block, pairs that the sizes and the sketches allow, that lie in different
-    components so far and did not fail before; of these, a spanning forest for the task."""
+    """Edges to verify (a, b, assumed): within each bucket block, pairs that the sizes and the sketches allow, that lie in
+    different components so far and did not fail before.
 
-    def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-        far = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-        return (far <= (den - num) * (na + nb) // (den + num)) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+    Of the pairs whose sketches leave no doubt, a spanning forest for the task: others are left out because these edges are
+    assumed to hold. Of the doubtful ones, up to RISKY between two components of that forest leave without any assumption, and
+    one more that is assumed."""
+
+    def close(i: np.ndarray, j: np.ndarray, sketch: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may link, and whether their difference, as the sketch lets one estimate it, is well within the bound."""
+        far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=-1, dtype=np.int64)
+        most = (den - num) * (n[i] + n[j]) // (den + num)
+        may = (far <= most) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+        estimate = -SKETCH / 2 * np.log(np.maximum(1 - 2 * far / SKETCH, 1e-3))
+        return may, estimate <= 0.85 * most
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         root: dict[int, int] = {}
+        tried: dict[tuple[int, int], int] = {}
 
         def find(x: int) -> int:
             while root.get(x, x) != x:
@@ -161,20 +172,25 @@ def _forest(members: DataFrame, num: int, den: int) -> DataFrame:
             starts = np.append(np.flatnonzero(new), len(batch))
             sizes, out = np.diff(starts), []
 
+            doubtful: list[tuple[int, int, int, int]] = []
+
             def take(i: np.ndarray, j: np.ndarray) -> None:
                 ok = (comp[i] != comp[j]) & (~crossing[i] | (block[i] != block[j]))
                 i, j = i[ok], j[ok]
-                ok = close(sketch[i], sketch[j], n[i], n[j])
-                for x, y, cx, cy in zip(cls[i[ok]].tolist(), cls[j[ok]].tolist(), comp[i[ok]].tolist(), comp[j[ok]].tolist()):
+                ok, safe = close(i, j, sketch, n)
+                for x, y, cx, cy, sure in zip(cls[i[ok]].tolist(), cls[j[ok]].tolist(), comp[i[ok]].tolist(), comp[j[ok]].tolist(), safe[ok].tolist()):
                     if (x, y) not in bad and (y, x) not in bad and (rx := find(cx)) != (ry := find(cy)):
-                        root[max(rx, ry)] = min(rx, ry)
-                        out.append((x, y))
+                        if sure:
+                            root[max(rx, ry)] = min(rx, ry)
+                            out.append((x, y, True))
+                        else:
+                            doubtful.append((x, y, cx, cy))
 
             for size in np.unique(sizes[(sizes > 1) & (sizes <= 32)]):
-                first = starts[:-1][sizes == size]
+                start = starts[:-1][sizes == size]
                 u, v = np.triu_indices(size, 1)
-                for p in range(0, len(first), max(1, 50_000 // len(u))):
-                    f = first[p : p + max(1, 50_000 // len(u))]
+                for p in range(0, len(start), max(1, 50_000 // len(u))):
+                    f = start[p : p + max(1, 50_000 // len(u))]
                     take((f[:, None] + u).ravel(), (f[:, None] + v).ravel())
             for s, size in zip(starts[:-1][sizes > 32], sizes[sizes > 32]):
                 all_ = np.arange(s, s + size)
@@ -182,9 +198,16 @@ def _forest(members: DataFrame, num: int, den: int) -> DataFrame:
                     roots = np.array([find(c) for c in comp[s : s + size].tolist()])  # members joined by now need no look
                     u, v = np.nonzero(np.triu(roots[i : i + 16, None] != roots[None, :], i + 1))
                     take(all_[i + u], all_[v])
-            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+            for x, y, cx, cy in doubtful:
+                if (rx := find(cx)) != (ry := find(cy)):
+                    between = (min(rx, ry), max(rx, ry))
+                    tried[between] = tried.get(between, 0) + 1
+                    if tried[between] > RISKY:
+                        root[between[1]] = between[0]
+                    out.append((x, y, tried[between] > RISKY))
+            yield pd.DataFrame({"a": np.array([x for x, _, _ in out], np.int64), "b": np.array([y for _, y, _ in out], np.int64), "assumed": np.array([z for _, _, z in out], bool)})
 
-    return members.mapInPandas(edges, "a long, b long")
+    return members.mapInPandas(edges, "a long, b long, assumed boolean")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -205,8 +228,8 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     buckets = shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("cls").alias("x"), F.bit_xor(F.xxhash64("cls")).alias("y"))
     buckets = buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
     info = shared.select("cls").distinct().join(firsts, "cls").groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
-    members = cut(shared.join(buckets, "key").select("key", "n", "cls"))
-    info = cut(info)
+    members = cut(shared.join(buckets, "key").select("key", "n", "cls"), narrow=True)
+    info = cut(info, narrow=True)
     links = failed = None
     comp = None
     while True:
@@ -220,16 +243,17 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
         now = now.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         now = now.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "comp", "n_shingles", "sketch", "bad")
         now = now.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cls")
-        edges = cut(_forest(now, num, den).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        checked = cut(_verified(docs, info, edges, k, num, den))
+        edges = _forest(now, num, den).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("assumed").alias("assumed"))
+        edges = cut(edges, narrow=True)
+        checked = cut(_verified(docs, info, edges, k, num, den), narrow=True)
         good, wrong = checked.where("linked").select("a", "b"), checked.where("not linked").select("a", "b")
         links = good if links is None else links.union(good)
         failed = wrong if failed is None else failed.union(wrong)
-        comp = cut(components(links))
-        if not wrong.limit(1).count():
+        comp = cut(components(links), narrow=True)
+        if not checked.where("not linked and assumed").limit(1).count():
             break
     smallest = rows.where("cls >= 0").groupBy("cls").agg(F.min("doc_id").alias("smallest"))
-    smallest = cut(smallest.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    smallest = cut(smallest.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), narrow=True)
     joined = comp.select("root").distinct().join(smallest, "root").groupBy("root").agg(F.min("smallest").alias("component"))
     named = smallest.join(joined, "root", "left").select("cls", F.coalesce("component", "smallest").alias("component_id"))
     out = rows.where("cls >= 0").select("doc_id", "n_shingles", "cls").join(named, "cls").select("doc_id", "n_shingles", "component_id")
@@ -238,7 +262,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
 
 def _verified(docs: DataFrame, info: DataFrame, edges: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b, linked), by the whole shingle sets of both classes; only texts that an edge needs are read again."""
-    ends = cut(edges.select(F.col("a").alias("cls")).union(edges.select("b")).distinct().join(info, "cls").select("cls", "doc_id"))
+    ends = cut(edges.select(F.col("a").alias("cls")).union(edges.select("b")).distinct().join(info, "cls").select("cls", "doc_id"), narrow=True)
     wanted = broadcast_if_small(ends.select(F.col("doc_id").alias("_wanted")).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +271,7 @@ def _verified(docs: DataFrame, info: DataFrame, edges: DataFrame, k: int, num: i
             yield pa.RecordBatch.from_arrays([pa.array([set_class(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.large_binary()).cast(pa.binary())], ["cls", "shingles"])
 
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
-    whole = cut(texts.mapInArrow(sets, "cls long, shingles binary").join(broadcast_if_small(ends.select("cls")), "cls", "left_semi").dropDuplicates(["cls"]))
+    whole = cut(texts.mapInArrow(sets, "cls long, shingles binary").join(broadcast_if_small(ends.select("cls")), "cls", "left_semi").dropDuplicates(["cls"]), narrow=True)
     pairs = edges.join(whole.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(whole.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,9 +281,9 @@ def _verified(docs: DataFrame, info: DataFrame, edges: DataFrame, k: int, num: i
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("assumed"), pa.array(ok, pa.bool_())], ["a", "b", "assumed", "linked"])
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, linked boolean")
+    return pairs.select("a", "b", "assumed", "x", "y").mapInArrow(verify, "a long, b long, assumed boolean, linked boolean")
 
 
 def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
