@@ -79,7 +79,7 @@ APPLIES = AUDITS + f""", due AS (SELECT a.doc_id, a.role, o.* FROM audits a JOIN
   ON (len(o.actor) = 0 OR list_contains(o.actor, a.role)) AND (o.article_num IS NULL OR list_contains(CASE WHEN o.regulation = 'gdpr' THEN a.gdpr_articles ELSE a.articles END, o.article_num)))"""
 _SYN = values([(t, w, i) for t, ws in SYNONYMS.items() for i, w in enumerate(ws)], "term, w, i")
 EVIDENCE = f"ev AS (SELECT DISTINCT doc_id, term FROM documents JOIN {_SYN} s ON contains(lower(text), s.w))"
-ITEMS = APPLIES + ", " + EVIDENCE + """, need AS (SELECT doc_id, obligation_id, regulation, unnest(CASE WHEN len(evidence_required) = 0 THEN [NULL] ELSE evidence_required END) AS term, generate_subscripts(CASE WHEN len(evidence_required) = 0 THEN [NULL] ELSE evidence_required END, 1) AS pos FROM due),
+ITEMS = APPLIES + ", " + EVIDENCE + """, need AS MATERIALIZED (SELECT doc_id, obligation_id || '' AS obligation_id, regulation || '' AS regulation, unnest(CASE WHEN len(evidence_required) = 0 THEN [NULL] ELSE evidence_required END) AS term, generate_subscripts(CASE WHEN len(evidence_required) = 0 THEN [NULL] ELSE evidence_required END, 1) AS pos FROM due),
 items AS (SELECT n.doc_id, n.obligation_id, n.regulation, count(n.term) AS n_required, count(ev.term) AS n_satisfied,
   coalesce(string_agg(n.term, ',' ORDER BY n.pos) FILTER (WHERE ev.term IS NULL AND n.term IS NOT NULL), '') AS missing,
   round(coalesce(count(ev.term) / nullif(count(n.term), 0), 0)::DOUBLE, 6) AS coverage FROM need n LEFT JOIN ev ON ev.doc_id = n.doc_id AND ev.term = n.term GROUP BY 1, 2, 3)"""

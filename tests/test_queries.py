@@ -1,11 +1,11 @@
-"""Queries against their SQL in DuckDB, on the smallest tables."""
+"""Queries against their SQL in DuckDB, on small tables."""
 
 import duckdb
 import pytest
 
 from docaudit.plans import catalog
 
-DIR = "/root/testdata/sf0.001"
+DIR = "/root/testdata/sf0.01"
 TABLES = "customer orders events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -14,7 +14,7 @@ def cells(df):
     return sorted(tuple(one(v) for v in r) for r in df[sorted(df)].itertuples(index=False))
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def duck():
     c = duckdb.connect()
     for t in TABLES:
