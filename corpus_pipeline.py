@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.llm import op01_packing, op02_langid, op08_quality, op09_jaccard, op10_lines
-from docaudit.llm.common import cut, table, without
+from docaudit.llm.common import cut, table, text_batches, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this cosine, no prototype fits and the language stage rejects a document.
@@ -13,11 +13,13 @@ MIN_COSINE = 0.1
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling selects."""
+    text_batches(spark)
     return op08_quality.resample(docs, table(spark, sf_dir, "labels"))[1].select(COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: not those without letters, nor those that fit no learned language."""
+    text_batches(spark)
     langs, prototypes = op02_langid.learn(docs.where(~op02_langid.held_out() & F.col("lang").isNotNull()))
     judged = op02_langid.predict(docs, langs, prototypes)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_COSINE)).select(COLUMNS)
@@ -25,6 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; those of which nothing else is left go."""
+    text_batches(spark)
     kept = op10_lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
     return kept.where((F.col("n_dropped") == 0) | (F.regexp_replace("text", r"\s", "") != "")).select(COLUMNS)
 
@@ -37,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences: a row for each piece."""
+    text_batches(spark)
     import public_tokenizers
 
     return op01_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,6 +34,28 @@ def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch that holds whole texts, or sets as large as texts; and of one that holds narrow rows.
+TEXT_ROWS, NARROW_ROWS = 1_000, 10_000
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside send batches of so many rows to Python workers; afterwards the session has its own setting again."""
+    own = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, own)
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on the session's batches have TEXT_ROWS rows at most: for DataFrames that run after the caller has returned."""
+    if int(spark.conf.get(ARROW_ROWS)) not in range(1, TEXT_ROWS + 1):
+        spark.conf.set(ARROW_ROWS, str(TEXT_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

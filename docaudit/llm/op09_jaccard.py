@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, mix, mix_int, partitions, table
+from .common import NARROW_ROWS, TEXT_ROWS, batch_rows, broadcast_if_small, cut, mix, mix_int, partitions, table
 from .components import components
 from .words import encoded, ngrams, token_hashes
 
@@ -194,9 +194,10 @@ def _forest(members: DataFrame, num: int, den: int) -> DataFrame:
                     take((f[:, None] + u).ravel(), (f[:, None] + v).ravel())
             for s, size in zip(starts[:-1][sizes > 32], sizes[sizes > 32]):
                 all_ = np.arange(s, s + size)
-                for i in range(0, size, 16):
+                step = max(1, 50_000 // size)
+                for i in range(0, size, step):
                     roots = np.array([find(c) for c in comp[s : s + size].tolist()])  # members joined by now need no look
-                    u, v = np.nonzero(np.triu(roots[i : i + 16, None] != roots[None, :], i + 1))
+                    u, v = np.nonzero(np.triu(roots[i : i + step, None] != roots[None, :], i + 1))
                     take(all_[i + u], all_[v])
             for x, y, cx, cy in doubtful:
                 if (rx := find(cx)) != (ry := find(cy)):
@@ -221,8 +222,14 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     Words are split at ASCII white space and A-Z is lower-cased. Fewer than k words: the whole sequence is one shingle.
     Null text or no words: the empty set, linked with nothing. Rows with one doc_id: each has its own set; its component
     is that of its set. Null doc_id: not considered as smallest. Empty table: empty. Other columns: ignored."""
+    with batch_rows(docs.sparkSession, NARROW_ROWS):
+        return _classes(docs, k, num, den)
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
-    rows = cut(_documents(docs, k, num, den))
+    with batch_rows(spark, TEXT_ROWS):
+        rows = cut(_documents(docs, k, num, den))
     firsts = rows.where(F.col("keys").isNotNull())
     shared = cut(_shared(firsts.select("cls", F.explode("keys").alias("key"))))
     buckets = shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("cls").alias("x"), F.bit_xor(F.xxhash64("cls")).alias("y"))
@@ -245,7 +252,8 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
         now = now.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cls")
         edges = _forest(now, num, den).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("assumed").alias("assumed"))
         edges = cut(edges, narrow=True)
-        checked = cut(_verified(docs, info, edges, k, num, den), narrow=True)
+        with batch_rows(spark, TEXT_ROWS):
+            checked = cut(_verified(docs, info, edges, k, num, den), narrow=True)
         good, wrong = checked.where("linked").select("a", "b"), checked.where("not linked").select("a", "b")
         links = good if links is None else links.union(good)
         failed = wrong if failed is None else failed.union(wrong)
