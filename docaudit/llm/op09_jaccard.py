@@ -240,12 +240,16 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     links = failed = None
     comp = None
     while True:
-        now = members.join(info.select("cls", "n_shingles", "sketch"), "cls")
-        now = now.withColumn("comp", F.col("cls")).withColumn("bad", F.lit(None).cast("array<long>"))
-        if comp is not None:
+        if comp is None:
+            now = members.withColumn("comp", F.col("cls")).withColumn("bad", F.lit(None).cast("array<long>"))
+        else:
             roots = comp.select(F.col("node").alias("cls"), F.col("root"))
             bad = failed.union(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("cls")).agg(F.collect_set("b").alias("_bad"))
-            now = now.join(roots, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).join(bad, "cls", "left").withColumn("bad", F.col("_bad")).drop("root", "_bad")
+            now = members.join(roots, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+            # nothing is left to find in a bucket whose members are all in one component
+            apart = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+            now = now.join(apart, "key", "left_semi").join(bad.withColumnRenamed("_bad", "bad"), "cls", "left")
+        now = now.join(info.select("cls", "n_shingles", "sketch"), "cls")
         blocks = F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)")
         now = now.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         now = now.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "comp", "n_shingles", "sketch", "bad")
