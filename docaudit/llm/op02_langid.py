@@ -15,7 +15,7 @@ DIM = 512
 #: Letters: 1-26 are a-z, other letters share 27-39 by code point, 0 is any run of other characters.
 LETTERS = 40
 N = 3
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 
 @lru_cache(maxsize=1)

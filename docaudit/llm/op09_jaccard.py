@@ -17,6 +17,8 @@ from .words import encoded, ngrams, token_hashes
 SKETCH, CHUNK, BLOCK = 2048, 4096, 4096
 #: Doubtful pairs between two components of a task that are verified before the next one is taken for granted.
 RISKY = 64
+#: Pairs whose sketches are compared at once.
+PAIRS = 16_000
 BAND = 1.4
 
 
@@ -189,12 +191,12 @@ def _forest(members: DataFrame, num: int, den: int) -> DataFrame:
             for size in np.unique(sizes[(sizes > 1) & (sizes <= 32)]):
                 start = starts[:-1][sizes == size]
                 u, v = np.triu_indices(size, 1)
-                for p in range(0, len(start), max(1, 50_000 // len(u))):
-                    f = start[p : p + max(1, 50_000 // len(u))]
+                for p in range(0, len(start), max(1, PAIRS // len(u))):
+                    f = start[p : p + max(1, PAIRS // len(u))]
                     take((f[:, None] + u).ravel(), (f[:, None] + v).ravel())
             for s, size in zip(starts[:-1][sizes > 32], sizes[sizes > 32]):
                 all_ = np.arange(s, s + size)
-                step = max(1, 50_000 // size)
+                step = max(1, PAIRS // size)
                 for i in range(0, size, step):
                     roots = np.array([find(c) for c in comp[s : s + size].tolist()])  # members joined by now need no look
                     u, v = np.nonzero(np.triu(roots[i : i + step, None] != roots[None, :], i + 1))

@@ -4,7 +4,7 @@ import numpy as np
 
 from .common import mix, slices
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x5DEECE66D))
