@@ -34,26 +34,31 @@ def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows of an Arrow batch that holds whole texts, or sets as large as texts; and of one that holds narrow rows.
 TEXT_ROWS, NARROW_ROWS = 1_000, 10_000
+#: Bytes after which a batch ends, whatever its rows: a run of very long texts makes no large batch. A longer text stands alone.
+BATCH_BYTES = 4 << 20
 
 
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs that run inside send batches of so many rows to Python workers; afterwards the session has its own setting again."""
-    own = spark.conf.get(ARROW_ROWS)
+    """Jobs that run inside send batches of so many rows, and of BATCH_BYTES, to Python workers; afterwards the session has its own settings again."""
+    own = [(name, spark.conf.get(name)) for name in (ARROW_ROWS, ARROW_BYTES)]
     spark.conf.set(ARROW_ROWS, str(rows))
+    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
     try:
         yield
     finally:
-        spark.conf.set(ARROW_ROWS, own)
+        for name, value in own:
+            spark.conf.set(name, value)
 
 
 def text_batches(spark: SparkSession) -> None:
-    """From now on the session's batches have TEXT_ROWS rows at most: for DataFrames that run after the caller has returned."""
+    """From now on the session's batches have TEXT_ROWS rows and BATCH_BYTES at most: for DataFrames that run after the caller has returned."""
     if int(spark.conf.get(ARROW_ROWS)) not in range(1, TEXT_ROWS + 1):
         spark.conf.set(ARROW_ROWS, str(TEXT_ROWS))
+    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
