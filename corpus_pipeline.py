@@ -7,8 +7,9 @@ from docaudit.llm import op01_packing, op02_langid, op08_quality, op09_jaccard,
 from docaudit.llm.common import cut, table, text_batches, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Below this cosine, no prototype fits and the language stage rejects a document.
-MIN_COSINE = 0.1
+#: Below this cosine, no prototype fits and the language stage rejects a document, if that rests on so many different trigrams:
+#: a cosine of fewer is mostly noise (runs of words cut from sf0.01: some below 0.1 up to 25 trigrams, none below 0.2 from 40 on).
+MIN_COSINE, MIN_EVIDENCE = 0.1, 40
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +19,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told: not those without letters, nor those that fit no learned language."""
+    """Documents whose language is told: not those without letters, nor those that fit no learned language.
+
+    Documents with letters but too few different trigrams to judge stay, whatever their cosine."""
     text_batches(spark)
     langs, prototypes = op02_langid.learn(docs.where(~op02_langid.held_out() & F.col("lang").isNotNull()))
-    judged = op02_langid.predict(docs, langs, prototypes)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_COSINE)).select(COLUMNS)
+    judged = op02_langid.predict(docs, langs, prototypes, evidence=True)
+    fits = (F.col("score") >= MIN_COSINE) | (F.col("evidence") < MIN_EVIDENCE)
+    return judged.where((F.col("lang_pred") != "und") & fits).select(COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

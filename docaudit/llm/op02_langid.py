@@ -96,18 +96,21 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, evidence: bool = False) -> DataFrame:
     """docs with lang_pred (string) and score (double): the prototype of largest cosine, and that cosine, 0 at least.
 
     lang_pred is `und`, score 0, if text is null or has no letter, or nothing was learned; ties go to the first language
     in the alphabet. Whole texts are read, in segments. Repeated rows: a result each. Other columns pass through; columns
-    named lang_pred or score are replaced. Empty table: empty."""
-    docs = docs.drop("lang_pred", "score")
+    named lang_pred or score are replaced. Empty table: empty.
+    evidence: also a column of that name (double, replaced too), how many different trigrams the cosine rests on: the square
+    of the counts' sum by the sum of their squares, so that a word said over and over counts once."""
+    docs = docs.drop("lang_pred", "score", *["evidence"] * evidence)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, score = [], []
+            best, score, rests = [], [], []
             for grams, counts in gram_counts(batch.column("text").to_pylist()):
+                rests.append(float(counts.sum()) ** 2 / max(float(np.square(counts, dtype=np.float64).sum()), 1.0))
                 if not len(grams) or not langs:
                     best.append("und")
                     score.append(0.0)
@@ -116,11 +119,13 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
                 cos = np.round(prototypes @ v / max(np.linalg.norm(v), 1e-12), 9)
                 best.append(langs[int(cos.argmax())])
                 score.append(float(min(max(cos.max(), 0.0), 1.0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            told = [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(rests, pa.float64())][: len(added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*batch.schema.names, *(f.name for f in added)])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType())][: 2 + evidence]
+    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, *added]))
 
 
 def held_out():

@@ -303,3 +303,24 @@ def test_pipeline(spark):
     docs = common.table(spark, sf, "documents").toPandas()
     assert 0.5 * len(docs) < got["doc_id"].nunique() < len(docs)
     assert (got.groupby("sequence_id")["length"].sum() <= 2048).all()
+
+
+def test_pipeline_language_short(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf, rnd = "/root/testdata/sf0.001", random.Random(3)
+    docs = common.table(spark, sf, "documents").select(pipeline.COLUMNS)
+    clean = docs.where("n_chars > 400 and lang is not null").orderBy("doc_id").limit(60).toPandas()
+    short = []
+    for r in clean.itertuples():
+        words = r.text.split()
+        for n in (1, 2, 3, 5):
+            at = rnd.randrange(len(words) - n)
+            run = " ".join(words[at : at + n])
+            if any(c.isalpha() for c in run):
+                short.append((1_000_000 + len(short), run, r.lang, "short", len(run)))
+    odd = [(-1, "geverü " * 12, None, "odd", 84), (-2, "1234 !?", None, "odd", 7), (-3, None, None, "odd", None)]
+    odd += [(-4 - i, "".join(rnd.choice("bcdfghjklmnpqrstvwxyz ") for _ in range(400)), None, "odd", 400) for i in range(20)]
+    rows = docs.union(spark.createDataFrame(short + odd, docs.schema)).repartition(4)
+    held = {r.doc_id for r in pipeline.language(spark, rows, sf).where("source in ('short', 'odd')").collect()}
+    assert {i for i in held if i >= -3} == {i for i, *_ in short} | {-1}
+    assert len([i for i in held if i < -3]) < 10  # of 20 texts that fit no language
