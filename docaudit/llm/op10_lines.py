@@ -138,7 +138,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> D
     return each.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_broadcast: int = 500_000, shard_keys: int = 100_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_broadcast: int = 500_000, shard_keys: int = 100_000, shard_lines: int = 1_000_000) -> DataFrame:
     """docs with text rewritten without repeated lines, and n_lines, n_dropped (long).
 
     A line's key is the line stripped of white space and with A-Z lower-cased. Keys of min_chars code points or more in
@@ -146,6 +146,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bro
     The perfect hash indexes the keys that repeat; all others fail the 64-bit fingerprint. The max_broadcast most frequent
     keys at most (24 bytes each) go to every task; hot keys are always among them. The rest stay in their shards: each
     shard's arrays are probed where the lines that hash to it are sent, and only the lines that go come back by doc_id.
+    There are so many shards that each has about shard_keys keys and about shard_lines of all lines at most. No key outweighs
+    that: one in the shards has 1 / 250 000 of the lines at most (for max_broadcast as given), as a more frequent one is broadcast.
     Null or empty text: one empty line, kept; a null text becomes empty. Null doc_id: one document, smaller than all.
     Rows with one doc_id: one document, so they keep or lose a line together. Other columns pass through; columns named
     n_lines or n_dropped are replaced. Empty table: empty."""
@@ -156,14 +158,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bro
     while keys.where(F.col("n") >= most).limit(max_broadcast + 1).count() > max_broadcast:
         most *= 2
 
-    def shards(rows: DataFrame, n: int) -> tuple[DataFrame, int]:
-        n = max(1, -(-n // shard_keys))
+    def shards(rows: DataFrame, n: int, n_lines: int = 0) -> tuple[DataFrame, int]:
+        n = max(1, -(-n // shard_keys), -(-n_lines // shard_lines))
         return rows.withColumn("shard", F.pmod("h1", F.lit(n)).cast("int")).groupBy("shard").applyInPandas(build_shard, SHARD), n
 
     frequent, n_frequent = shards(keys.where(F.col("n") >= most), min(n_keys, max_broadcast))
     held = spark.sparkContext.broadcast([r.asDict() for r in frequent.collect()])  # at most max_broadcast keys
     if n_keys and keys.where(F.col("n") < most).limit(1).count():
-        rare, n_rare = shards(keys.where(F.col("n") < most), n_keys)
+        n_lines = docs.agg(F.sum(F.size(F.split("text", "\n")).cast("long"))).first()[0]
+        rare, n_rare = shards(keys.where(F.col("n") < most), n_keys, n_lines)
         rare = cut(rare)
 
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

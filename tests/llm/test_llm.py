@@ -286,6 +286,21 @@ def test_lines(spark, texts, most):
     assert op10_lines.dedup_lines(d.where("1 = 0")).count() == 0
 
 
+def test_lines_bounded_groups(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    twice = [f"line number {i} is in three documents" for i in range(6)]
+    rows = [(i, "\n".join([*twice, *(f"line {j} of document {i} and no other" for j in range(150))])) for i in range(3)]
+    rows += [(i, None if i % 2 else "short") for i in range(3, 6)]
+    sent, cogroup = [], GroupedData.cogroup
+    monkeypatch.setattr(GroupedData, "cogroup", lambda self, other: (sent.append(self._df), cogroup(self, other))[1])
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in op10_lines.dedup_lines(d, max_broadcast=2, shard_lines=20).collect()}
+    assert got == brute_lines(rows)
+    groups = [r["count"] for r in sent[0].groupBy("shard").count().collect()]
+    assert sum(groups) >= 450 and max(groups) <= 40
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     keys = np.unique(keys)
