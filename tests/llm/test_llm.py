@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -206,6 +207,57 @@ def test_quotations(spark):
     assert op07_chat.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def brute_quotations(rows):
+    """reply_to, n_quotes, n_linked of the messages of one conversation."""
+    clean = lambda x: " ".join(x.split()).lower()
+    units = lambda own: ([x for x in own if x], [clean(s) for p in re.split(r"\n\n+", "\n".join(own)) for s in re.split(r"(?<=[.!?])\s+", p) if clean(s)])
+    parsed = []
+    for text in rows:
+        own, quotes, before = [], [], None
+        for line in text.split("\n"):
+            marks = re.match(r"[ \t]*((?:>[ \t]*)*)", line)
+            depth, rest = marks[1].count(">"), clean(line[marks.end() :])
+            own.append("" if depth else rest)
+            if depth and rest:
+                if before == depth:
+                    quotes[-1][1].append(rest)
+                else:
+                    quotes.append((depth, [rest]))
+            before = depth if rest else None
+        parsed.append((units(own), [(d, units(q)) for d, q in quotes]))
+    inside = lambda q, o: any(o[i : i + len(q)] == q for i in range(len(o)))
+    out = []
+    for at, (_, quotes) in enumerate(parsed):
+        sources = [(d, [i for i in range(at) if any(inside(q[k], parsed[i][0][k]) for k in (0, 1))]) for d, q in quotes]
+        best = max(((-d, s[-1]) for d, s in sources if s), default=(0, at - 1))[1]
+        out.append((best, len(quotes), sum(bool(s) for _, s in sources)))
+    return out
+
+
+def test_quotations_of_parts(spark):
+    rows = [
+        "First line here\nsecond line here\nthird line. Fourth\nsentence ends. Last one!\n\nOther paragraph.",
+        "Hm.\nFirst line here\nthird line. Fourth",
+        "> second line here\n> third line. Fourth\nSome lines of a paragraph.",
+        "> First line here\nAn answer\n> second line here\nin between.\n> third line. Fourth\n> sentence ends. Last one!\nDone.",
+        "> Fourth sentence\n> ends. Last one!\nWrapped anew.",
+        ">> Fourth sentence ends.\n>> Other paragraph.\n> Wrapped anew.\nNo such row of sentences.",
+        "> First line here\n> third line. Fourth\nOf the second message only.",
+        "> line here\nNo whole line.",
+        "> Last one!\n> Other paragraph.\nOver a blank line.",
+        ">\n> \nNothing quoted.",
+    ]
+    want = brute_quotations(rows)
+    assert [w[0] for w in want] == [-1, 0, 0, 1, 0, 4, 1, 6, 0, 8]
+    rnd = random.Random(5)
+    talk = ["", "yes.", "no", "we go", "on. and on", "Yes. No"]
+    long = ["\n".join(rnd.choice(["", "", "> ", ">> "]) + rnd.choice(talk) for _ in range(rnd.randint(1, 7))) for _ in range(120)]
+    both = [(None, i, "user", t) for i, t in enumerate(rows)] + [(7, i, "user", t) for i, t in enumerate(long)]
+    got = op07_chat.link_quotes(spark.createDataFrame(both, "conv_id long, turn long, role string, text string")).toPandas().sort_values("position")
+    for own, texts in ((got[got.conv_id.isna()], rows), (got[got.conv_id == 7], long)):
+        assert list(zip(own["reply_to"].fillna(-1).astype(int), own["n_quotes"], own["n_linked"])) == brute_quotations(texts)
+
+
 def test_quality(spark, docs):
     rnd = random.Random(2)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(150)]
