@@ -391,3 +391,24 @@ def test_pipeline_language_short(spark):
     held = {r.doc_id for r in pipeline.language(spark, rows, sf).where("source in ('short', 'odd')").collect()}
     assert {i for i in held if i >= -3} == {i for i, *_ in short} | {-1}
     assert len([i for i in held if i < -3]) < 10  # of 20 texts that fit no language
+
+
+def test_pipeline_near_duplicates(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(4)
+    base = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(120)) for _ in range(12)]
+    near = lambda t: t + " another end"
+    rows = [(1, base[0]), (1, base[0]), (1, near(base[0])), (2, base[0]), (2, base[1]), (None, base[2]), (None, base[2]), (None, near(base[2]))]
+    rows += [(None, base[3]), (9, near(base[3])), (None, base[4]), (7, base[5]), (7, base[6]), (8, near(base[6])), (5, None), (5, None), (6, ""), (6, " "), (None, None)]
+    rows += [(20 + i, near(base[7 + i % 5]) if i % 3 else base[7 + i % 5]) for i in range(15)]
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest())
+    want = [min((rows[i] for i in range(len(rows)) if group[i] == g), key=order) for g in set(group)]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
+    got = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, d, "").collect()]
+    assert collections.Counter(got) == collections.Counter(want)
