@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.llm import op01_packing, op02_langid, op08_quality, op09_jaccard, op10_lines
-from docaudit.llm.common import broadcast_if_small, cut, table, text_batches
+from docaudit.llm.common import broadcast_if_small, cut, table, text_batches, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this cosine, no prototype fits and the language stage rejects a document, if that rests on so many different trigrams:
@@ -41,6 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are judged one by one: of those with one doc_id, only those whose own text is a near copy go. A null doc_id counts
     as the largest; rows of one doc_id in a group go by the hash of the text, then by their other columns. Texts without words stay."""
+    shared = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
+    if not shared:  # doc_id tells rows apart, so no copy of the texts is written
+        classes = cut(op09_jaccard.jaccard_classes(docs, k=5, num=80, den=100))
+        return without(docs, classes.where(F.col("doc_id") != F.col("component_id"))).select(COLUMNS)
     rows = cut(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
     classes = cut(op09_jaccard.jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=80, den=100)).select(F.col("doc_id").alias("_row"), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2("text", 256), "lang", "source", "n_chars", "_row")
