@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -10,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+#: Folder of each table made by cut.
+_folders: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
+#: Lists that note the folders of new tables.
+_noted: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,21 +22,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; only where that is unset (tests on one machine), in a folder of our own."""
+    """A new folder in spark.checkpoint.dir; where that is unset, in a folder of our own, which only a local master can share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all machines share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
         root = _own_dir[0]
     return f"{root}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Jobs that run inside have these settings; afterwards the session has its own again."""
+    own = {name: spark.conf.get(name) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in own.items():
+            spark.conf.set(name, value)
+
+
+#: Spark removes a query's shuffle files when it ends. For queries whose result is written, so nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Cuts lineage: writes df as a table in the shared folder and reads it again, so lost executors cost no recomputation.
     narrow: rows are few and small, so as many files as the cluster has cores, twice over, are enough."""
-    path = work_dir(df.sparkSession)
-    (df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, work_dir(df.sparkSession)
+    with settings(spark, {CLEANUP: "true"}):
+        (df.coalesce(2 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    for noted in _noted:
+        noted.append(path)
+    return out
+
+
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Folders of tables that cut makes inside are added to paths."""
+    _noted.append(paths)
+    try:
+        yield
+    finally:
+        _noted.remove(paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders made by cut, and empties the list."""
+    while paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by cut that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, [_folders.pop(t)])
 
 
 ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -41,17 +93,9 @@ TEXT_ROWS, NARROW_ROWS = 1_000, 10_000
 BATCH_BYTES = 4 << 20
 
 
-@contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs that run inside send batches of so many rows, and of BATCH_BYTES, to Python workers; afterwards the session has its own settings again."""
-    own = [(name, spark.conf.get(name)) for name in (ARROW_ROWS, ARROW_BYTES)]
-    spark.conf.set(ARROW_ROWS, str(rows))
-    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        for name, value in own:
-            spark.conf.set(name, value)
+def batch_rows(spark: SparkSession, rows: int):
+    """Jobs that run inside send batches of so many rows, and of BATCH_BYTES, to Python workers."""
+    return settings(spark, {ARROW_ROWS: str(rows), ARROW_BYTES: str(BATCH_BYTES)})
 
 
 def text_batches(spark: SparkSession) -> None:

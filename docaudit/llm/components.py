@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -46,10 +46,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        down = cut(down, narrow=True)
+        down, before = cut(down, narrow=True), edges
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b")))
         edges = cut(_contracted(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).coalesce(2 * small.sparkSession.sparkContext.defaultParallelism)), narrow=True)
+        discard(down, before)
         now = edges.distinct().agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == seen:
             break

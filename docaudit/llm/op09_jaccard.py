@@ -9,17 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NARROW_ROWS, TEXT_ROWS, batch_rows, broadcast_if_small, cut, mix, mix_int, partitions, table
+from .common import NARROW_ROWS, TEXT_ROWS, batch_rows, broadcast_if_small, cut, discard, mix, mix_int, partitions, table
 from .components import components
 from .words import encoded, ngrams, token_hashes
 
-#: Bits of the sketch that filters pairs, bits of one chunk of the pigeonhole sketch, and members of one block of a bucket.
-SKETCH, CHUNK, BLOCK = 2048, 4096, 4096
+#: Bits of one chunk of the pigeonhole sketch, and members of one block of a group.
+CHUNK, BLOCK = 4096, 4096
 #: Doubtful pairs between two components of a task that are verified before the next one is taken for granted.
 RISKY = 64
 #: Pairs whose sketches are compared at once.
 PAIRS = 16_000
+#: The buckets of one hub are compared as one group unless that makes so many times their pairs.
+UNION = 8
 BAND = 1.4
+#: A key's last bits are its size band.
+BAND_BITS = 7
 
 
 @lru_cache(maxsize=1)
@@ -36,18 +40,24 @@ def most_different(total: int, num: int, den: int) -> int:
     return (den - num) * total // (den + num)
 
 
+def own_bands(n: int, num: int, den: int) -> range:
+    """The size bands that could hold the larger set of a pair with a set of n shingles."""
+    low = bands()
+    return range(int(np.searchsorted(low, n, side="right")) - 1, int(np.searchsorted(low, n * den // num, side="right")))
+
+
 def sketch_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     """Pigeonhole keys of a set of shingle hashes: two linked sets have one in common, at least.
 
     In every band that could hold the larger set of a pair, shingles toggle bits of a sketch of c chunks. The symmetric
-    difference bounds the Hamming distance, so at least c - d chunks are equal for distance d; of each sketch the d + 1 chunks
-    with most bits are kept, by an order of chunks alone, so that the first of the equal chunks is kept on both sides."""
+    difference bounds the Hamming distance, so at most d chunks differ for distance d. Of each sketch the chunks with most
+    bits are kept, by an order of chunks alone: one more than differ from any partner that a set of this size has in the
+    band. The first chunk in that order of those that are equal in a linked pair is thus kept on both sides."""
     n, low = len(shingles), bands()
-    band = int(np.searchsorted(low, n, side="right")) - 1
-    last = int(np.searchsorted(low, n * den // num, side="right")) - 1
     out = []
-    for b in range(band, last + 1):
+    for b in own_bands(n, num, den):
         d = most_different(2 * (low[b + 1] - 1), num, den)
+        own = most_different(n + min(low[b + 1] - 1, n * den // num), num, den)
         c = d + 1 + (d + 1) // 4
         bit = (shingles >> np.uint64(32)) % np.uint64(c) * np.uint64(CHUNK) + shingles % np.uint64(CHUNK)
         bit, times = np.unique(bit, return_counts=True)
@@ -57,17 +67,29 @@ def sketch_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(bit + np.uint64(1)))])
         ends = np.cumsum(ones)
         content = mix(sums[ends] - sums[ends - ones] + np.arange(c, dtype=np.uint64))
-        kept = np.lexsort((content, -ones))[: d + 1]
-        out.append(mix(content[kept] + np.uint64(mix_int(b + 77))))
+        kept = np.lexsort((content, -ones))[: own + 1]
+        out.append((mix(content[kept] + np.uint64(mix_int(b + 77))) << np.uint64(BAND_BITS)) | np.uint64(b))
     return np.concatenate(out)
 
 
-def bit_sketch(shingles: np.ndarray) -> bytes:
-    """Each shingle toggles one of SKETCH bits."""
-    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+def sketch_bits(band: int) -> int:
+    """Bits of the sketches that are compared in a size band: more than the sets have shingles."""
+    return 1 << max(6, (3 * bands()[band + 1] // 2 - 1).bit_length())
+
+
+def bit_sketch(shingles: np.ndarray, bits: int) -> bytes:
+    """Each shingle toggles one of so many bits. Half the sketch, with the other half toggled in, is the sketch of half the bits."""
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def folded(sketch: bytes, bits: int) -> np.ndarray:
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) * 64 > bits:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def shingle_sets(texts: list[bytes], k: int):
     for words in token_hashes(texts):
         yield np.unique(ngrams(words, k))
@@ -91,7 +113,7 @@ def _documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 seen.add(c)
                 n.append(len(s))
                 cls.append(c)
-                sketch.append(bit_sketch(s) if first else None)
+                sketch.append(bit_sketch(s, sketch_bits(own_bands(len(s), num, den)[-1])) if first else None)
                 keys.append(sketch_keys(s, num, den).view(np.int64) if first else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "cls", "sketch", "keys"])
 
@@ -99,28 +121,79 @@ def _documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """Rows (key, cls) whose key has two classes or more. Sorted partitions are streamed; no key's rows are gathered."""
+    """Of the keys that two classes or more have: rows (key, cls, hub), hub being the key's smallest class, and for each key
+    one row (key, hub, n, x, y) with null cls: how many classes, and two hashes of which. Sorted partitions are streamed; no
+    key's rows are gathered."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_cls, handed_on = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        # the bucket that is still open: key, hub, members so far, hashes; and the last class seen
+        key0 = hub0 = last = None
+        n0, x0, y0 = 0, np.uint64(0), np.uint64(0)
+
+        def rows(members, closed) -> pa.RecordBatch:
+            key, cls, hub = [np.concatenate(x) for x in zip(*members)] or [np.zeros(0, np.int64)] * 3
+            member = np.arange(len(key) + len(closed[0])) < len(key)
+            left = lambda v: pa.array(np.concatenate([v, np.zeros(len(closed[0]), np.int64)]), mask=~member)
+            right = lambda v: pa.array(np.concatenate([np.zeros(len(key), np.int64), v]), mask=member)
+            whole = lambda u, v: pa.array(np.concatenate([u, v]))
+            return pa.RecordBatch.from_arrays([whole(key, closed[0]), left(cls), whole(hub, closed[1]), *map(right, closed[2:])], ["key", "cls", "hub", "n", "x", "y"])
+
         for batch in batches:
-            key = np.concatenate([last_key, batch.column("key").to_numpy()])
-            cls = np.concatenate([last_cls, batch.column("cls").to_numpy()])
+            key, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+            if len(key) and key0 is not None:
+                new[0] = key[0] != key0 or cls[0] != last
             key, cls = key[new], cls[new]
             if not len(key):
                 continue
-            same = key[1:] == key[:-1]
-            shared = np.append(same, False) | np.append(False, same)
-            out = shared.copy()
-            if handed_on:
-                out[0] = False
-            handed_on = bool(shared[-1]) if len(key) > 1 else handed_on
-            last_key, last_cls = key[-1:], cls[-1:]
-            yield pa.RecordBatch.from_pydict({"key": key[out], "cls": cls[out]})
-
-    return keys.repartition(partitions(keys.sparkSession), "key").sortWithinPartitions("key", "cls").mapInArrow(runs, "key long, cls long")
+            first = np.append(True, key[1:] != key[:-1])
+            at = np.flatnonzero(first)
+            n = np.diff(np.append(at, len(key)))
+            hub, bucket = cls[at].copy(), np.cumsum(first) - 1
+            u = cls.view(np.uint64)
+            x = np.add.reduceat(mix(u + np.uint64(1)), at)
+            y = np.bitwise_xor.reduceat(mix(u + np.uint64(2)), at)
+            members = []
+            if key[0] == key0:
+                if n0 == 1:
+                    members.append((key[:1], np.array([hub0]), np.array([hub0])))
+                hub[0], n[0], x[:1], y[:1] = hub0, n[0] + n0, x[:1] + x0, y[:1] ^ y0
+                done = [np.zeros(0, np.int64)] * 5
+            else:
+                done = [np.array([v]) for v in (key0, hub0, n0, x0.view(np.int64), y0.view(np.int64))] if n0 > 1 else [np.zeros(0, np.int64)] * 5
+            out = n[bucket] > 1
+            members.append((key[out], cls[out], hub[bucket][out]))
+            full = np.flatnonzero(n[:-1] > 1)  # the last bucket stays open
+            closed = [np.concatenate([d, v]) for d, v in zip(done, (key[at][full], hub[full], n[full], x[full].view(np.int64), y[full].view(np.int64)))]
+            key0, hub0, last, n0, x0, y0 = key[-1], hub[-1], cls[-1], int(n[-1]), x[-1], y[-1]
+            yield rows(members, closed)
+        if n0 > 1:
+            yield rows([], [np.array([v]) for v in (key0, hub0, n0, x0.view(np.int64), y0.view(np.int64))])
+
+    dealt = keys.repartition(partitions(keys.sparkSession), "key").sortWithinPartitions("key", "cls")
+    return dealt.mapInArrow(runs, "key long, cls long, hub long, n long, x long, y long")
+
+
+def _groups(shared: DataFrame) -> DataFrame:
+    """(grp, size, band, cls): classes to compare with each other, all pairs of classes that share a key among them.
+
+    Buckets of the same members count once. Buckets of one hub and band mostly overlap; they are one group, where each class
+    stands once, unless that would make many more pairs than they have (UNION)."""
+    band = F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+    buckets = shared.where("cls is null").groupBy("hub", "n", "x", "y").agg(F.min("key").alias("key"))
+    buckets = cut(buckets.select("hub", "n", "key", band.alias("band")), narrow=True)
+    spokes = cut(shared.where("cls is not null").select("hub", band.alias("band"), "cls").distinct(), narrow=True)
+    pairs = buckets.groupBy("hub", "band").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    hubs = spokes.groupBy("hub", "band").agg(F.count("*").alias("size")).join(pairs, ["hub", "band"])
+    hubs = cut(hubs.select("hub", "band", "size", (F.col("size") * F.col("size") <= UNION * F.col("pairs")).alias("whole")), narrow=True)
+    whole = spokes.join(broadcast_if_small(hubs.where("whole").select("hub", "band", "size")), ["hub", "band"]).select(F.col("hub").alias("grp"), "size", "band", "cls")
+    apart = buckets.join(broadcast_if_small(hubs.where("not whole").select("hub", "band")), ["hub", "band"], "left_semi")
+    apart = cut(apart.select("key", F.col("n").alias("size"), "band"), narrow=True)
+    single = shared.where("cls is not null").select("key", "cls").join(broadcast_if_small(apart), "key").select(F.col("key").alias("grp"), "size", "band", "cls")
+    out = cut(whole.union(single), narrow=True)
+    discard(buckets, spokes, hubs, apart)
+    return out
 
 
 def _grouped(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -139,21 +212,26 @@ def _grouped(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.Data
         yield rest.reset_index(drop=True)
 
 
-def _forest(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges to verify (a, b, assumed): within each bucket block, pairs that the sizes and the sketches allow, that lie in
-    different components so far and did not fail before.
+#: What a task compares: one pair of blocks of one group.
+PLACE = ["grp", "size", "band", "lo", "hi"]
+
 
-    Of the pairs whose sketches leave no doubt, a spanning forest for the task: others are left out because these edges are
-    assumed to hold. Of the doubtful ones, up to RISKY between two components of that forest leave without any assumption, and
-    one more that is assumed."""
+def _forest(members: DataFrame, num: int, den: int, trusting: bool) -> DataFrame:
+    """Edges to verify (PLACE, a, b, assumed): within each pair of blocks, pairs that the sizes and the sketches allow, that
+    lie in different components so far and did not fail before (rows with a partner).
+
+    Of the pairs whose sketches leave no doubt (trusting: if there are any such), a spanning forest for the task: others are
+    left out because these edges are assumed to hold. Of the doubtful ones, up to RISKY between two components of that forest
+    leave without any assumption, and one more that is assumed."""
 
     def close(i: np.ndarray, j: np.ndarray, sketch: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that may link, and whether their difference, as the sketch lets one estimate it, is well within the bound."""
+        bits = sketch.shape[1] * 64
         far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=-1, dtype=np.int64)
         most = (den - num) * (n[i] + n[j]) // (den + num)
         may = (far <= most) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
-        estimate = -SKETCH / 2 * np.log(np.maximum(1 - 2 * far / SKETCH, 1e-3))
-        return may, estimate <= 0.85 * most
+        estimate = -bits / 2 * np.log(np.maximum(1 - 2 * far / bits, 1e-3))
+        return may, trusting & (estimate <= 0.85 * most)
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         root: dict[int, int] = {}
@@ -165,28 +243,29 @@ def _forest(members: DataFrame, num: int, den: int) -> DataFrame:
                 x = root[x]
             return x
 
-        for batch in _grouped(batches, ["key", "lo", "hi"]):
-            sketch = np.frombuffer(b"".join(batch["sketch"]), np.uint64).reshape(len(batch), -1)
+        def compared(batch: pd.DataFrame, bad: set[tuple[int, int]]) -> list[tuple[int, int, int, bool]]:
+            """Of groups of one band: row of one end, both ends, assumed."""
+            bits = sketch_bits(int(batch["band"].iloc[0]))
+            sketch = np.stack([folded(x, bits) for x in batch["sketch"]])
             n, comp, cls, block = (batch[c].to_numpy(np.int64) for c in ("n_shingles", "comp", "cls", "block"))
             crossing = (batch["lo"] != batch["hi"]).to_numpy()
-            bad = {(int(c), int(x)) for c, own in zip(cls, batch["bad"]) if own is not None for x in own}
-            new = (batch[["key", "lo", "hi"]] != batch[["key", "lo", "hi"]].shift()).any(axis=1).to_numpy()
+            new = (batch[PLACE] != batch[PLACE].shift()).any(axis=1).to_numpy()
             starts = np.append(np.flatnonzero(new), len(batch))
             sizes, out = np.diff(starts), []
-
-            doubtful: list[tuple[int, int, int, int]] = []
+            doubtful: list[tuple[int, int, int, int, int]] = []
 
             def take(i: np.ndarray, j: np.ndarray) -> None:
                 ok = (comp[i] != comp[j]) & (~crossing[i] | (block[i] != block[j]))
                 i, j = i[ok], j[ok]
                 ok, safe = close(i, j, sketch, n)
-                for x, y, cx, cy, sure in zip(cls[i[ok]].tolist(), cls[j[ok]].tolist(), comp[i[ok]].tolist(), comp[j[ok]].tolist(), safe[ok].tolist()):
+                i, j, safe = i[ok], j[ok], safe[ok]
+                for row, x, y, cx, cy, sure in zip(i.tolist(), cls[i].tolist(), cls[j].tolist(), comp[i].tolist(), comp[j].tolist(), safe.tolist()):
                     if (x, y) not in bad and (y, x) not in bad and (rx := find(cx)) != (ry := find(cy)):
                         if sure:
                             root[max(rx, ry)] = min(rx, ry)
-                            out.append((x, y, True))
+                            out.append((row, x, y, True))
                         else:
-                            doubtful.append((x, y, cx, cy))
+                            doubtful.append((row, x, y, cx, cy))
 
             for size in np.unique(sizes[(sizes > 1) & (sizes <= 32)]):
                 start = starts[:-1][sizes == size]
@@ -201,16 +280,26 @@ def _forest(members: DataFrame, num: int, den: int) -> DataFrame:
                     roots = np.array([find(c) for c in comp[s : s + size].tolist()])  # members joined by now need no look
                     u, v = np.nonzero(np.triu(roots[i : i + step, None] != roots[None, :], i + 1))
                     take(all_[i + u], all_[v])
-            for x, y, cx, cy in doubtful:
+            for row, x, y, cx, cy in doubtful:
                 if (rx := find(cx)) != (ry := find(cy)):
                     between = (min(rx, ry), max(rx, ry))
                     tried[between] = tried.get(between, 0) + 1
                     if tried[between] > RISKY:
                         root[between[1]] = between[0]
-                    out.append((x, y, tried[between] > RISKY))
-            yield pd.DataFrame({"a": np.array([x for x, _, _ in out], np.int64), "b": np.array([y for _, y, _ in out], np.int64), "assumed": np.array([z for _, _, z in out], bool)})
+                    out.append((row, x, y, tried[between] > RISKY))
+            return out
+
+        for batch in _grouped(batches, PLACE):
+            failed = batch["partner"] >= 0
+            bad = set(zip(batch["cls"][failed].tolist(), batch["partner"][failed].tolist()))
+            for _, rows in batch[~failed].groupby("band", sort=False):
+                rows = rows.reset_index(drop=True)
+                found = compared(rows, bad)
+                if found:
+                    at, x, y, z = zip(*found)
+                    yield rows.iloc[list(at)][PLACE].assign(a=np.array(x, np.int64), b=np.array(y, np.int64), assumed=np.array(z, bool))
 
-    return members.mapInPandas(edges, "a long, b long, assumed boolean")
+    return members.mapInPandas(edges, "grp long, size long, band int, lo int, hi int, a long, b long, assumed boolean")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -218,9 +307,10 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     den * intersection >= num * union; component_id is the smallest doc_id that links reach.
 
     Equal sets are one class. Classes that share a pigeonhole key in a size band meet in a bucket; buckets with the same
-    members count once. A bucket is compared in blocks of BLOCK members, by size and bit sketch, inside tasks; only a
-    spanning forest of the pairs that pass leaves a task, and each of its edges is verified on the whole sets. Where edges fail,
-    the next round looks at the pairs that are still apart, without those; so every link between different texts counts.
+    members count once, and those of one smallest class are compared as one group. A group is compared in blocks of BLOCK
+    members, by size and bit sketch, inside tasks; only a spanning forest of the pairs that pass leaves a task, and each of
+    its edges is verified on the whole sets. Where an edge that was assumed to hold fails, the next round looks again at the
+    classes that such edges may have kept apart, without the pairs that failed; so every link between different texts counts.
     Words are split at ASCII white space and A-Z is lower-cased. Fewer than k words: the whole sequence is one shingle.
     Null text or no words: the empty set, linked with nothing. Rows with one doc_id: each has its own set; its component
     is that of its set. Null doc_id: not considered as smallest. Empty table: empty. Other columns: ignored."""
@@ -231,45 +321,52 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     with batch_rows(spark, TEXT_ROWS):
-        rows = cut(_documents(docs, k, num, den))
-    firsts = rows.where(F.col("keys").isNotNull())
-    shared = cut(_shared(firsts.select("cls", F.explode("keys").alias("key"))))
-    buckets = shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("cls").alias("x"), F.bit_xor(F.xxhash64("cls")).alias("y"))
-    buckets = buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
-    info = shared.select("cls").distinct().join(firsts, "cls").groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
-    members = cut(shared.join(buckets, "key").select("key", "n", "cls"), narrow=True)
+        full = cut(_documents(docs, k, num, den))
+    shared = cut(_shared(full.where(F.col("keys").isNotNull()).select("cls", F.explode("keys").alias("key"))))
+    rows = cut(full.select("doc_id", "n_shingles", "cls"), narrow=True)
+    info = full.where("sketch is not null").groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
     info = cut(info, narrow=True)
-    links = failed = None
-    comp = None
+    discard(full)
+    members = _groups(shared)
+    discard(shared)
+    links = failed = comp = suspects = None
     while True:
         if comp is None:
-            now = members.withColumn("comp", F.col("cls")).withColumn("bad", F.lit(None).cast("array<long>"))
+            now = members.withColumn("comp", F.col("cls"))
         else:
-            roots = comp.select(F.col("node").alias("cls"), F.col("root"))
-            bad = failed.union(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("cls")).agg(F.collect_set("b").alias("_bad"))
-            now = members.join(roots, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-            # nothing is left to find in a bucket whose members are all in one component
-            apart = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-            now = now.join(apart, "key", "left_semi").join(bad.withColumnRenamed("_bad", "bad"), "cls", "left")
+            roots = comp.select(F.col("node").alias("cls"), "root").join(broadcast_if_small(suspects), "root", "left_semi")
+            now = cut(members.join(roots, "cls").withColumnRenamed("root", "comp"), narrow=True)
+            # nothing is left to find in a group whose members are all in one component
+            apart = now.groupBy("grp", "size").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp", "size")
+            now = now.join(apart, ["grp", "size"], "left_semi")
         now = now.join(info.select("cls", "n_shingles", "sketch"), "cls")
-        blocks = F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)")
+        blocks = F.expr(f"cast((size + {BLOCK - 1}) div {BLOCK} as int)")
         now = now.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        now = now.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "comp", "n_shingles", "sketch", "bad")
-        now = now.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cls")
-        edges = _forest(now, num, den).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("assumed").alias("assumed"))
-        edges = cut(edges, narrow=True)
+        now = now.select("grp", "size", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "comp", "n_shingles", "sketch", F.lit(-1).cast("long").alias("partner"))
+        if failed is not None:
+            none = {"block": F.lit(0), "comp": F.lit(0).cast("long"), "n_shingles": F.lit(0).cast("long"), "sketch": F.lit(b"")}  # no nulls: pandas would make longs of doubles
+            now = now.unionByName(failed.withColumns(none))
+        now = now.repartition(partitions(spark), *PLACE).sortWithinPartitions(*PLACE, "cls")
+        edges = cut(_forest(now, num, den, comp is None), narrow=True)
         with batch_rows(spark, TEXT_ROWS):
-            checked = cut(_verified(docs, info, edges, k, num, den), narrow=True)
-        good, wrong = checked.where("linked").select("a", "b"), checked.where("not linked").select("a", "b")
+            checked = cut(_verified(docs, info, edges.select("a", "b").distinct(), k, num, den), narrow=True)
+        good, wrong = checked.where("linked").select("a", "b"), broadcast_if_small(checked.where("not linked").select("a", "b"))
         links = good if links is None else links.union(good)
-        failed = wrong if failed is None else failed.union(wrong)
+        again = edges.join(wrong, ["a", "b"])
+        again_rows = again.select(*PLACE, F.col("a").alias("cls"), F.col("b").alias("partner"))
+        failed = again_rows if failed is None else failed.union(again_rows)
         comp = cut(components(links), narrow=True)
-        if not checked.where("not linked and assumed").limit(1).count():
+        # a pair that was left out because of an edge that failed has both ends in components where such edges end
+        ends = again.where("assumed").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        suspects = cut(ends.join(comp, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct(), narrow=True)
+        if not suspects.limit(1).count():
             break
+        comp = cut(comp.union(ends.join(comp, "node", "left_anti").select("node", F.col("node").alias("root"))), narrow=True)
     smallest = rows.where("cls >= 0").groupBy("cls").agg(F.min("doc_id").alias("smallest"))
     smallest = cut(smallest.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), narrow=True)
     joined = comp.select("root").distinct().join(smallest, "root").groupBy("root").agg(F.min("smallest").alias("component"))
-    named = smallest.join(joined, "root", "left").select("cls", F.coalesce("component", "smallest").alias("component_id"))
+    named = cut(smallest.join(joined, "root", "left").select("cls", F.coalesce("component", "smallest").alias("component_id")), narrow=True)
+    discard(smallest, members, info)
     out = rows.where("cls >= 0").select("doc_id", "n_shingles", "cls").join(named, "cls").select("doc_id", "n_shingles", "component_id")
     return out.union(rows.where("cls < 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
@@ -295,9 +392,9 @@ def _verified(docs: DataFrame, info: DataFrame, edges: DataFrame, k: int, num: i
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("assumed"), pa.array(ok, pa.bool_())], ["a", "b", "assumed", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
-    return pairs.select("a", "b", "assumed", "x", "y").mapInArrow(verify, "a long, b long, assumed boolean, linked boolean")
+    return pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, linked boolean")
 
 
 def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
