@@ -1,23 +1,43 @@
 """The corpus pipeline: quality, language, repeated lines, near duplicates, packing. Each stage reads what the last kept."""
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.llm import op01_packing, op02_langid, op08_quality, op09_jaccard, op10_lines
-from docaudit.llm.common import broadcast_if_small, cut, table, text_batches, without
+from docaudit.llm.common import broadcast_if_small, cut, discard, noting, remove, table, text_batches, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this cosine, no prototype fits and the language stage rejects a document, if that rests on so many different trigrams:
 #: a cosine of fewer is mostly noise (runs of words cut from sf0.01: some below 0.1 up to 25 trigrams, none below 0.2 from 40 on).
 MIN_COSINE, MIN_EVIDENCE = 0.1, 40
+#: Folders of tables that the stage before made on its way.
+_spent: list[str] = []
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage removes what the stage before it left in the shared folder, so a stage's result is to be written before the
+    next one is called."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _spent)
+        with noting(_spent):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling selects."""
     text_batches(spark)
     return op08_quality.resample(docs, table(spark, sf_dir, "labels"))[1].select(COLUMNS)
 
 
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: not those without letters, nor those that fit no learned language.
 
@@ -29,6 +49,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("lang_pred") != "und") & fits).select(COLUMNS)
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; those of which nothing else is left go."""
     text_batches(spark)
@@ -36,6 +57,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.where((F.col("n_dropped") == 0) | (F.regexp_replace("text", r"\s", "") != "")).select(COLUMNS)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more), the row of the smallest doc_id.
 
@@ -54,6 +76,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(gone, "_row", "left_anti").select(COLUMNS)
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences: a row for each piece."""
     text_batches(spark)
@@ -70,7 +93,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; each stage's result is written and read again."""
-    docs = table(spark, sf_dir, "documents").select(COLUMNS)
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    docs, read = table(spark, sf_dir, "documents").select(COLUMNS), []
+    for _, apply in STAGES[:-1]:
+        docs = cut(apply(spark, docs, sf_dir))
+        discard(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
