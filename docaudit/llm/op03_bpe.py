@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -9,11 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import slices, table
 from .pieces import PieceTable
-from .words import encoded
+from .words import SEGMENT, encoded
 
 NONE = 1 << 40
+#: In UTF-8, a space before more white space or at the end: there the pattern matches several characters as one.
+RUN = re.compile(rb" (?:[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\Z)")
+#: A place that the pattern never matches across: before a space that stands alone.
+ALONE = re.compile(r"(?<=\S)(?= \S)")
 
 
 class MergeReplay:
@@ -56,7 +62,8 @@ class MergeReplay:
         before[begin[:-1][sizes > 0]] = -1
         owner = np.repeat(np.arange(len(words)), sizes)
         again: set[int] = set()
-        index: list[list[np.ndarray]] = [[] for _ in range(self.size)]
+        index: dict[int, list[np.ndarray]] = {}
+        due: list[int] = []  # heap of the ranks in the index
 
         def enter(ranks: np.ndarray, at: np.ndarray, least: int) -> None:
             low = ranks < least
@@ -70,16 +77,17 @@ class MergeReplay:
             ranks, at = ranks[by], at[by]
             cuts = np.flatnonzero(np.diff(ranks)) + 1
             for r, part in zip(ranks[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts)):
+                if r not in index:
+                    index[r] = []
+                    heapq.heappush(due, r)
                 index[r].append(part)
 
         at = np.flatnonzero(after >= 0)
         enter(self._rank(ids[at], ids[at + 1]), at, 0)
-        for rank in range(self.size):
-            if not index[rank]:
-                continue
-            at = np.sort(np.concatenate(index[rank]))
+        while due:
+            rank = heapq.heappop(due)
+            at = np.sort(np.concatenate(index.pop(rank)))
             at = at[np.append(True, at[1:] != at[:-1])]
-            index[rank] = []
             at = at[(ids[at] >= 0) & (after[at] >= 0)]
             at = at[self._rank(ids[at], ids[after[at]]) == rank]
             if len(at) > 1:
@@ -113,8 +121,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Ids of texts. A text is cut before every single space, which the pattern never matches across, except where spaces
-    meet other white space: texts with two spaces in a row or one at the end are matched whole."""
+    """Ids of texts. A text is cut before every single space, which the pattern never matches across. Texts in which a space
+    is followed by more white space (any that Unicode has), or by the end, are matched in segments that are cut only where a
+    space stands alone."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -138,10 +147,29 @@ class Encoder:
     def _pieces(self, pieces: list[bytes], first: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         return self._matched([p.decode() if f else " " + p.decode() for p, f in zip(pieces, first)])
 
+    @staticmethod
+    def _segments(text: str) -> Iterator[str]:
+        start = 0
+        while len(text) - start > 2 * SEGMENT and (at := ALONE.search(text, start + SEGMENT)):
+            yield text[start : at.start()]
+            start = at.start()
+        yield text[start:]
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts with runs of white space; about a segment of text is matched at once."""
+        parts = [(i, s) for i, t in enumerate(texts) for s in self._segments(t)]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for a, b in slices([len(s) for _, s in parts], SEGMENT):
+            ids, n = self._matched([s for _, s in parts[a:b]])
+            for (i, _), own in zip(parts[a:b], np.split(ids, np.cumsum(n)[:-1])):
+                out[i].append(own)
+        return [np.concatenate(x) for x in out]
+
     def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        odd = [b"  " in t or t.endswith(b" ") for t in texts]
-        for t, o, ids in zip(texts, odd, self.table([b"" if o else t for t, o in zip(texts, odd)])):
-            yield self._matched([t.decode()])[0] if o else ids
+        runs = [RUN.search(t) is not None for t in texts]
+        whole = iter(self._whole([t.decode() for t, r in zip(texts, runs) if r]))
+        for r, ids in zip(runs, self.table([b"" if r else t for t, r in zip(texts, runs)])):
+            yield next(whole) if r else ids
 
 
 class Spelling:
@@ -167,7 +195,8 @@ def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encodes every whole text and decodes it again: n_tokens, ids_sha256, decoded_sha256 for each doc_id.
 
     ranks_path: a file of ranks (base64 token, rank) found on every machine. Map only: nothing is shuffled.
-    Null or empty text: no ids, digests of the empty string. Repeated rows: a result each. Empty table: empty."""
+    Null or empty text: no ids, digests of the empty string. Null doc_id: a result with null. Repeated rows: a result each.
+    Empty table: empty. Other columns: ignored."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(ranks_path, pattern)
