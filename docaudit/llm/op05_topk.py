@@ -7,26 +7,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, discard, numbered, table
 
 BINS = 512
 BLOCK = 4096
-#: Quantised components beyond this saturate, so that inner products of up to 1024 dimensions stay in 63 bits.
-LIMIT = 1 << 26
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, v array<long>): floor(scale * x) of each component; vectors that take part only."""
+    """Rows of vectors that take part, with v array<long>: floor(scale * x) of each component x."""
     x = F.col("embedding")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite)
-    clip = lambda c: F.greatest(F.least(F.floor(c.cast("double") * scale), F.lit(LIMIT)), F.lit(-LIMIT)).cast("long")
-    one = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))  # repeated rows count once
-    return one.select("vec_id", F.transform("embedding", clip).alias("v"))
+    whole = lambda c: F.floor(c.cast("double") * scale)
+    return rows.withColumn("v", F.transform("embedding", whole)).drop("embedding")
 
 
 def _packed(rows: DataFrame, extra: list[str]) -> DataFrame:
-    """Rows as blocks of at most BLOCK vectors of one dimension: binary columns of ids, of vectors, and of extra longs."""
+    """Rows as blocks of at most BLOCK vectors of one dimension: binary columns of vectors and of extra longs."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -34,9 +32,9 @@ def _packed(rows: DataFrame, extra: list[str]) -> DataFrame:
                 for i in range(0, len(part), BLOCK):
                     p = part.iloc[i : i + BLOCK]
                     m = np.concatenate(p["v"].tolist()).astype(np.int64) if dim else np.zeros(0, np.int64)
-                    yield pd.DataFrame({"dim": [dim], "n": [len(p)], "ids": [p["vec_id"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()], **{c: [p[c].to_numpy(np.int64).tobytes()] for c in extra}})
+                    yield pd.DataFrame({"dim": [dim], "n": [len(p)], "m": [m.tobytes()], **{c: [p[c].to_numpy(np.int64).tobytes()] for c in extra}})
 
-    return rows.mapInPandas(pack, "dim int, n int, ids binary, m binary" + "".join(f", {c} binary" for c in extra))
+    return rows.mapInPandas(pack, "dim int, n int, m binary" + "".join(f", {c} binary" for c in extra))
 
 
 def _matrix(n: int, raw: bytes) -> np.ndarray:
@@ -44,45 +42,70 @@ def _matrix(n: int, raw: bytes) -> np.ndarray:
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in doubles (BLAS) while every sum is exact in them, else in 64-bit integers."""
-    if q.size and c.size and float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < 2**53:
+    """Exact integer inner products: in doubles (BLAS) while every sum is exact in them, else in 64-bit integers while they
+    hold every sum, else, for the rows that need it, in Python's integers. A product beyond a long counts as the largest or
+    smallest long."""
+    most = lambda m: np.maximum(m.max(axis=1, initial=0).astype(float), -m.min(axis=1, initial=0).astype(float))
+    a, b = most(q), most(c)
+    bound = a.max(initial=0) * b.max(initial=0) * q.shape[1]
+    if bound < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
-
-
-def _pairs(row) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query of a pair of blocks: its place, and scores and ids of the candidates that are not itself."""
-    qids, cids = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.c_ids, np.int64)
+    if bound < 2**62:
+        return q @ c.T
+    out = np.empty((len(q), len(c)), np.int64)
+    big_q, big_c = a >= 2**30 / q.shape[1], b >= 2**30 / q.shape[1]
+    out[np.ix_(~big_q, ~big_c)] = q[~big_q] @ c[~big_c].T
+    for x, y in ((big_q, np.ones(len(c), bool)), (~big_q, big_c)):
+        if x.any() and y.any():
+            exact = q[x].astype(object) @ c[y].astype(object).T
+            out[np.ix_(x, y)] = np.minimum(np.maximum(exact, LEAST), MOST).astype(np.int64)
+    return out
+
+
+def _pairs(row) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query of a pair of blocks: its place, and scores and ids of the candidates that are not its own row."""
+    qrow, crow, cids = (np.frombuffer(x, np.int64) for x in (row.q_row, row.c_row, row.c_vec_id))
     q, c = _matrix(row.q_n, row.q_m), _matrix(row.c_n, row.c_m)
-    for a in range(0, len(qids), 128):
+    for a in range(0, len(qrow), 128):
         scores = _scores(q[a : a + 128], c)
         for i, s in enumerate(scores, a):
-            other = cids != qids[i]
+            other = crow != qrow[i]
             yield i, s[other], cids[other]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
-    """The k candidates of largest integer inner product for each query row; ties to the smaller vec_id.
+def _above(s: np.ndarray, lo: int) -> np.ndarray:
+    """s - lo without overflow, for s >= lo."""
+    return s.astype(np.uint64) - np.array(lo).astype(np.uint64)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, row: str = "vec_id") -> DataFrame:
+    """(query_id, rank, vec_id, score): the k candidates of largest integer inner product for each query row; ties to the
+    smaller vec_id.
 
     Every round scores all candidate blocks against all query blocks and adds up, per query, a histogram of the scores in
     the interval that still holds the k-th value; the interval shrinks by BINS a round until it is one value. The last
     pass keeps the scores above it and, from each block, the k smallest ids at it.
-    Vectors null or with null or non-finite components, and null ids, take no part; rows with one vec_id count once (the
-    smallest vector); vectors are compared within their dimension; fewer than k candidates: all. Empty table: empty."""
+    row: a long column of both tables by which a query's own row is known: candidates with the query's value are its own.
+    Rows of one vec_id are all candidates, and all queries, each with its own list.
+    Vectors null or with null or non-finite components, and null ids, take no part; vectors are compared within their
+    dimension; fewer than k candidates: all. Components and scores beyond a long count as the largest or smallest long.
+    Empty table: empty. Other columns: ignored."""
     spark = vectors.sparkSession
-    cand = cut(_packed(quantised(vectors, scale), []))
+    of = lambda df: quantised(df.select("vec_id", "embedding", F.col(row).alias("row")), scale)
+    cand = cut(_packed(of(vectors), ["vec_id", "row"]))
     n_blocks = max(1, cand.count())
     groups = min(n_blocks, 4 * spark.sparkContext.defaultParallelism)
-    cand = cand.select([F.col(c).alias(f"c_{c}" if c != "dim" else c) for c in cand.columns]).withColumn("g", F.pmod(F.xxhash64("c_ids"), F.lit(groups)).cast("int"))
-    q = cut(quantised(queries, scale))
+    cand = cand.select([F.col(c).alias(f"c_{c}" if c != "dim" else c) for c in cand.columns]).withColumn("g", F.pmod(F.xxhash64("c_row"), F.lit(groups)).cast("int"))
+    q = cut(of(queries).withColumn("key", F.monotonically_increasing_id()))
+    n_queries = q.count()
     # Cauchy-Schwarz bounds every score; one number for all candidates
     largest = cand.mapInPandas(lambda it: (pd.DataFrame({"x": [float(np.sqrt((_matrix(n, m).astype(float) ** 2).sum(axis=1).max(initial=0))) for n, m in zip(b["c_n"], b["c_m"])]}) for b in it), "x double").agg(F.max("x")).first()[0] or 0.0
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    bound = F.ceil(norm * F.lit(largest) * F.lit(1 + 1e-9) + 1).cast("long")
-    state = q.select("vec_id", (-bound).alias("lo"), (bound + 1).alias("hi"), F.lit(k).cast("long").alias("need"))  # the k-th value is in [lo, hi)
+    bound = F.ceil(norm * F.lit(largest) * F.lit(1 + 1e-9) + 1)  # saturates at the largest long
+    state = q.select("key", (-bound - F.when(bound == MOST, 1).otherwise(0)).alias("lo"), bound.alias("hi"), F.lit(k).cast("long").alias("need"))  # the k-th value is in lo..hi
 
     def blocks(state: DataFrame) -> DataFrame:
-        packed = _packed(q.join(state, "vec_id").repartition(max(1, -(-n_queries // 1024))), ["lo", "hi", "need"])
+        packed = _packed(q.join(state, "key").repartition(max(1, -(-n_queries // 1024))), ["vec_id", "row", "key", "lo", "hi", "need"])
         packed = packed.select([F.col(c).alias(f"q_{c}" if c != "dim" else c) for c in packed.columns])
         return cand.join(packed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), ["g", "dim"])
 
@@ -90,56 +113,58 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
         for batch in batches:
             out = []
             for row in batch.itertuples():
-                lo, hi = np.frombuffer(row.q_lo, np.int64), np.frombuffer(row.q_hi, np.int64)
-                qids = np.frombuffer(row.q_ids, np.int64)
+                lo, hi, key = (np.frombuffer(x, np.int64) for x in (row.q_lo, row.q_hi, row.q_key))
                 for i, s, _ in _pairs(row):
-                    width = -(-(hi[i] - lo[i]) // BINS)
-                    s = s[(s >= lo[i]) & (s < hi[i])]
-                    bins, counts = np.unique((s - lo[i]) // width, return_counts=True)
+                    width = _above(hi[i], lo[i]) // np.uint64(BINS) + np.uint64(1)
+                    s = s[(s >= lo[i]) & (s <= hi[i])]
+                    bins, counts = np.unique(_above(s, lo[i]) // width, return_counts=True)
                     # bins below the one that holds this block's own k-th score can't hold the global one
                     first = max(0, len(counts) - 1 - int(np.searchsorted(np.cumsum(counts[::-1]), k)))
-                    out.append(pd.DataFrame({"vec_id": qids[i], "bin": bins[first:], "n": counts[first:]}))
-            yield pd.concat(out) if out else pd.DataFrame({"vec_id": [], "bin": [], "n": []})
+                    out.append(pd.DataFrame({"key": key[i], "bin": bins[first:].astype(np.int64), "n": counts[first:]}))
+            yield pd.concat(out) if out else pd.DataFrame({"key": [], "bin": [], "n": []})
 
-    n_queries = q.count()
     state = cut(state)
-    while (state.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 1) > 1:
-        found = blocks(state).mapInPandas(histograms, "vec_id long, bin long, n long").groupBy("vec_id", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("vec_id").orderBy(F.desc("bin"))  # at most BINS rows a query
-        found = found.join(state, "vec_id").withColumn("upto", F.sum("n").over(down)).withColumn("from", F.col("upto") - F.col("n"))
-        width = F.expr(f"(hi - lo + {BINS - 1}) div {BINS}")
-        hit = found.where((F.col("from") < F.col("need")) & (F.col("upto") >= F.col("need")))
-        hit = hit.select("vec_id", (F.col("lo") + F.col("bin") * width).alias("new_lo"), F.least("hi", F.col("lo") + (F.col("bin") + 1) * width).alias("new_hi"), (F.col("need") - F.col("from")).alias("left"))
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    while state.where("hi > lo").limit(1).count():
+        found = blocks(state).mapInPandas(histograms, "key long, bin long, n long").groupBy("key", "bin").agg(F.sum("n").alias("n"))
+        down = Window.partitionBy("key").orderBy(F.desc("bin"))  # at most BINS rows a query
+        found = found.withColumn("upto", F.sum("n").over(down)).withColumn("from", F.col("upto") - F.col("n"))
+        spans = state.withColumn("width", F.expr(f"(cast(hi as decimal(20,0)) - cast(lo as decimal(20,0))) div {BINS} + 1"))
+        hit = found.join(spans, "key").where((F.col("from") < F.col("need")) & (F.col("upto") >= F.col("need")))
+        low = wide("lo") + wide("bin") * wide("width")
+        hit = hit.select("key", low.cast("long").alias("new_lo"), F.least(wide("hi"), low + wide("width") - 1).cast("long").alias("new_hi"), (F.col("need") - F.col("from")).alias("left"))
         # a query with fewer candidates than k takes all: its interval becomes the lowest value
-        state = cut(state.join(hit, "vec_id", "left").select("vec_id", F.coalesce("new_lo", "lo").alias("lo"), F.coalesce("new_hi", F.col("lo") + 1).alias("hi"), F.coalesce("left", "need").alias("need")))
+        now = state.join(hit, "key", "left").select("key", F.coalesce("new_lo", "lo").alias("lo"), F.coalesce("new_hi", "lo").alias("hi"), F.coalesce("left", "need").alias("need"))
+        before, state = state, cut(now)
+        discard(before)
 
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples():
-                at, qids = np.frombuffer(row.q_lo, np.int64), np.frombuffer(row.q_ids, np.int64)
+                at, qids, key = (np.frombuffer(x, np.int64) for x in (row.q_lo, row.q_vec_id, row.q_key))
                 for i, s, ids in _pairs(row):
                     above, level = s > at[i], np.sort(ids[s == at[i]])[:k]
-                    out.append(pd.DataFrame({"query_id": qids[i], "vec_id": np.concatenate([ids[above], level]), "score": np.concatenate([s[above], np.full(len(level), at[i])])}))
-            yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                    out.append(pd.DataFrame({"key": key[i], "query_id": qids[i], "vec_id": np.concatenate([ids[above], level]), "score": np.concatenate([s[above], np.full(len(level), at[i])])}))
+            yield pd.concat(out) if out else pd.DataFrame({"key": [], "query_id": [], "vec_id": [], "score": []})
 
-    hits = blocks(state).mapInPandas(chosen, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # fewer than k above, k per block at the value
+    hits = blocks(state).mapInPandas(chosen, "key long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")  # fewer than k above, k per block at the value
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+    vectors = numbered(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), row="_row")
 
 
 QUERIES = {"op5_top_inner_products": op5_top_inner_products}
 ORACLES = {
     "op5_top_inner_products": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS HUGEINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 }
