@@ -27,26 +27,27 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 class PerfectHash:
     """Level by level, keys that are alone in their slot of a bit array stay there; the others go on to the next level.
-    A key's index is the number of set bits before its own."""
+    A key's index is the number of set bits before its own: those before its 64-bit word, held per word, and those in it."""
 
     def __init__(self, keys: np.ndarray):
-        self.levels, self.rest = [], keys
-        while len(self.rest) and len(self.levels) < 60:
-            size = 2 * len(self.rest) + 1
-            slot = self._slot(self.rest, len(self.levels), size)
+        self.slots, words, rest = [], [], keys
+        while len(rest) and len(self.slots) < 60:
+            size = 2 * len(rest) + 1
+            slot = self._slot(rest, len(self.slots), size)
             alone = np.bincount(slot, minlength=size)[slot] == 1
-            bits = np.zeros(size, dtype=bool)
-            bits[slot[alone]] = True
-            self.levels.append(bits)
-            self.rest = self.rest[~alone]
-        assert not len(self.rest), "keys repeat"
-        self._ranks()
-
-    def _ranks(self) -> None:
-        before, self.ranks = 0, []
-        for bits in self.levels:
-            self.ranks.append(before + np.cumsum(bits) - 1)
-            before += int(bits.sum())
+            bits = np.zeros(-(-size // 64) * 64, np.uint8)
+            bits[slot[alone]] = 1
+            words.append(np.packbits(bits, bitorder="little").view("<u8"))
+            self.slots.append(size)
+            rest = rest[~alone]
+        assert not len(rest), "keys repeat"
+        self._index(np.concatenate([*words, np.zeros(0, np.uint64)]))
+
+    def _index(self, words: np.ndarray) -> None:
+        self.words = words
+        self.first = np.concatenate([[0], np.cumsum([-(-n // 64) for n in self.slots])]).astype(np.int64)  # word of each level
+        ones = np.bitwise_count(words).astype(np.int64)
+        self.before = (np.cumsum(ones) - ones).astype(np.uint32)
 
     @staticmethod
     def _slot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -54,25 +55,30 @@ class PerfectHash:
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """Indexes; for a key that isn't in the set, -1 or that of any other, so that the fingerprint has to decide."""
-        out = np.full(len(keys), -1)
-        for level, (bits, rank) in enumerate(zip(self.levels, self.ranks)):
-            slot = self._slot(keys, level, len(bits))
-            hit = (out < 0) & bits[slot]
-            out[hit] = rank[slot[hit]]
+        out, open_ = np.full(len(keys), -1), np.arange(len(keys))
+        for level, size in enumerate(self.slots):
+            slot = self._slot(keys[open_], level, size)
+            at, bit = self.first[level] + slot // 64, (slot % 64).astype(np.uint64)
+            word = self.words[at]
+            hit = (word >> bit) & np.uint64(1) == 1
+            lower = word & ((np.uint64(1) << bit) - np.uint64(1))
+            out[open_[hit]] = (self.before[at] + np.bitwise_count(lower))[hit]
+            open_ = open_[~hit]
         return out
 
     def pack(self) -> tuple[bytes, bytes]:
-        return np.array([len(b) for b in self.levels], np.int64).tobytes(), np.packbits(np.concatenate([*self.levels, np.zeros(0, bool)])).tobytes()
+        return np.array(self.slots, np.int64).tobytes(), self.words.tobytes()
 
     @classmethod
     def unpack(cls, sizes: bytes, bits: bytes) -> "PerfectHash":
-        out, ends = cls(np.zeros(0, np.uint64)), np.cumsum(np.frombuffer(sizes, np.int64))
-        out.levels = np.split(np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)[: ends[-1] if len(ends) else 0], ends[:-1]) if len(ends) else []
-        out._ranks()
+        out = cls(np.zeros(0, np.uint64))
+        out.slots = np.frombuffer(sizes, np.int64).tolist()
+        out._index(np.frombuffer(bits, np.uint64))
         return out
 
 
-SHARD = "shard int, sizes binary, bits binary, fingerprints binary, counts binary, lasts binary"
+ARRAYS = ["sizes", "bits", "fingerprints", "counts", "lasts"]
+SHARD = "shard int, " + ", ".join(f"{c} binary" for c in ARRAYS)
 
 
 def build_shard(keys: pd.DataFrame) -> pd.DataFrame:
@@ -80,34 +86,36 @@ def build_shard(keys: pd.DataFrame) -> pd.DataFrame:
     mph = PerfectHash(keys["h1"].to_numpy(np.int64).view(np.uint64))
     at = mph(keys["h1"].to_numpy(np.int64).view(np.uint64))
     arrays = []
-    for c in ("h2", "n", "last"):
-        a = np.zeros(len(keys), np.int64)
-        a[at] = keys[c].to_numpy(np.int64)
+    for c, kind in (("h2", np.int64), ("n", np.uint32), ("last", np.int64)):
+        a = np.zeros(len(keys), kind)
+        a[at] = np.minimum(keys[c].to_numpy(np.int64), (1 << 32) - 1) if c == "n" else keys[c].to_numpy(np.int64)
         arrays.append(a.tobytes())
-    sizes, bits = mph.pack()
-    return pd.DataFrame([[keys["shard"].iloc[0], sizes, bits, *arrays]], columns=[x.split()[0] for x in SHARD.split(", ")])
+    return pd.DataFrame([[keys["shard"].iloc[0], *mph.pack(), *arrays]], columns=["shard", *ARRAYS])
 
 
 class Probe:
-    """Arrays of one or more shards, held in a task."""
+    """Arrays of one or more shards, held in a task. A line goes if its key is in min_docs documents or more, of which its
+    own is not the last."""
 
-    def __init__(self, shards: list, n_shards: int):
-        self.n = n_shards
-        self.shards = {r["shard"]: (PerfectHash.unpack(r["sizes"], r["bits"]), *(np.frombuffer(r[c], np.int64) for c in ("fingerprints", "counts", "lasts"))) for r in shards}
+    def __init__(self, shards: list[dict], n_shards: int, min_docs: int):
+        self.n, self.min_docs = n_shards, min_docs
+        of = lambda r: (PerfectHash.unpack(r["sizes"], r["bits"]), np.frombuffer(r["fingerprints"], np.int64), np.frombuffer(r["counts"], np.uint32), np.frombuffer(r["lasts"], np.int64))
+        self.shards = {r["shard"]: of(r) for r in shards}
 
-    def __call__(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Whether each line (its hash's halves, its document) is a repeat that goes."""
-        out = np.zeros(len(h1), dtype=bool)
+    def __call__(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each line (its hash's halves, its document): whether its key is known, and whether the line goes."""
+        known, gone = np.zeros(len(h1), bool), np.zeros(len(h1), bool)
         shard = h1 % self.n
         for s in np.unique(shard):
             if int(s) in self.shards:
-                mph, prints, _, lasts = self.shards[int(s)]
+                mph, prints, counts, lasts = self.shards[int(s)]
                 here = np.flatnonzero(shard == s)
                 at = mph(h1[here].view(np.uint64))
-                known = at >= 0
-                known[known] = prints[at[known]] == h2[here[known]]
-                out[here[known]] = lasts[at[known]] != doc[here[known]]
-        return out
+                here, at = here[at >= 0], at[at >= 0]
+                here, at = here[prints[at] == h2[here]], at[prints[at] == h2[here]]
+                known[here] = True
+                gone[here] = (counts[at] >= self.min_docs) & (lasts[at] != doc[here])
+        return known, gone
 
 
 def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +129,8 @@ def _texts(batch: pa.RecordBatch) -> tuple[list[int], list[bytes]]:
     return [NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()], encoded(batch.column("text"))
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(h1, h2, n, last): hash of each key found in min_docs documents or more, their number, and the largest doc_id."""
+def repeated_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+    """(h1, h2, n, last): hash of each key found in two documents or more, their number, and the largest doc_id."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +143,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> D
             yield pa.RecordBatch.from_pydict({"h1": h1, "h2": h2, "doc_id": pa.array(owner, pa.int64())})
 
     each = docs.select("doc_id", "text").mapInArrow(keys, "h1 long, h2 long, doc_id long")
-    return each.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
+    return each.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last")).where("n >= 2")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_broadcast: int = 500_000, shard_keys: int = 100_000, shard_lines: int = 1_000_000) -> DataFrame:
@@ -143,34 +151,37 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bro
 
     A line's key is the line stripped of white space and with A-Z lower-cased. Keys of min_chars code points or more in
     min_docs documents or more lose all their lines, except in the document of the largest doc_id that holds them.
-    The perfect hash indexes the keys that repeat; all others fail the 64-bit fingerprint. The max_broadcast most frequent
-    keys at most (24 bytes each) go to every task; hot keys are always among them. The rest stay in their shards: each
-    shard's arrays are probed where the lines that hash to it are sent, and only the lines that go come back by doc_id.
-    There are so many shards that each has about shard_keys keys and about shard_lines of all lines at most. No key outweighs
-    that: one in the shards has 1 / 250 000 of the lines at most (for max_broadcast as given), as a more frequent one is broadcast.
+    The perfect hash indexes the keys found in two documents or more; a key of one document can't lose a line where min_docs
+    is two or more, and fails the 64-bit fingerprint. The probe reads the number of documents from the count array. The
+    max_broadcast most frequent keys at most (20 bytes each) go to every task; hot keys are always among them. The others stay
+    in shards of about shard_keys keys: the lines that are not settled yet are sent past their shard's arrays, in runs of about
+    shard_lines, and only those that go come back by doc_id. No run is gathered: a sorted partition begins each run with the
+    arrays and streams the lines.
     Null or empty text: one empty line, kept; a null text becomes empty. Null doc_id: one document, smaller than all.
     Rows with one doc_id: one document, so they keep or lose a line together. Other columns pass through; columns named
     n_lines or n_dropped are replaced. Empty table: empty."""
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    keys = cut(repeated_lines(docs, min_chars, min_docs))
-    n_keys, most = keys.count(), min_docs
+    if min_docs < 2:
+        raise ValueError("min_docs: two or more")
+    keys = cut(repeated_lines(docs, min_chars))
+    n_keys, most = keys.count(), 2
     while keys.where(F.col("n") >= most).limit(max_broadcast + 1).count() > max_broadcast:
         most *= 2
 
-    def shards(rows: DataFrame, n: int, n_lines: int = 0) -> tuple[DataFrame, int]:
-        n = max(1, -(-n // shard_keys), -(-n_lines // shard_lines))
+    def shards(rows: DataFrame, n: int) -> tuple[DataFrame, int]:
+        n = max(1, -(-n // shard_keys))
         return rows.withColumn("shard", F.pmod("h1", F.lit(n)).cast("int")).groupBy("shard").applyInPandas(build_shard, SHARD), n
 
     frequent, n_frequent = shards(keys.where(F.col("n") >= most), min(n_keys, max_broadcast))
     held = spark.sparkContext.broadcast([r.asDict() for r in frequent.collect()])  # at most max_broadcast keys
-    if n_keys and keys.where(F.col("n") < most).limit(1).count():
-        n_lines = docs.agg(F.sum(F.size(F.split("text", "\n")).cast("long"))).first()[0]
-        rare, n_rare = shards(keys.where(F.col("n") < most), n_keys, n_lines)
-        rare = cut(rare)
+    if most > 2:
+        rare, n_rare = shards(keys.where((F.col("n") < most)), n_keys)
+        n_lines = docs.agg(F.sum(F.size(F.split("text", "\n")).cast("long"))).first()[0] or 0
+        runs = max(1, -(-n_lines // (n_rare * shard_lines)))
 
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            probe = Probe(held.value, n_frequent)
+            probe = Probe(held.value, n_frequent, min_docs)
             for batch in batches:
                 found, owner = [], []
                 for i, text in zip(*_texts(batch)):
@@ -179,29 +190,46 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bro
                     owner += [i] * len(own)
                 h1, h2 = _halves(found)
                 at = np.array(owner, np.int64)
-                # lines of frequent keys (their last document's too) are settled in place
-                open_ = ~(probe(h1, h2, at) | probe(h1, h2, np.full(len(at), NO_ID + 1)))
-                yield pa.RecordBatch.from_pydict({"shard": (h1 % n_rare)[open_].astype(np.int32), "h1": h1[open_], "h2": h2[open_], "doc_id": at[open_]})
-
-        def answered(lines: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
-            probe = Probe(arrays.to_dict("records"), n_rare)
-            return lines[probe(lines["h1"].to_numpy(np.int64), lines["h2"].to_numpy(np.int64), lines["doc_id"].to_numpy(np.int64))][["doc_id", "h1", "h2"]]
+                open_ = ~probe(h1, h2, at)[0]  # lines of frequent keys are settled in place
+                h1, h2, at = h1[open_], h2[open_], at[open_]
+                yield pa.RecordBatch.from_pydict({"shard": (h1 % n_rare).astype(np.int32), "run": (mix(at.view(np.uint64)) % np.uint64(runs)).astype(np.int32), "h1": h1, "h2": h2, "doc_id": at})
 
-        lines = docs.select("doc_id", "text").mapInArrow(asked, "shard int, h1 long, h2 long, doc_id long")
-        gone = lines.groupBy("shard").cogroup(rare.groupBy("shard")).applyInPandas(answered, "doc_id long, h1 long, h2 long")
+        def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            probe = None
+            for batch in batches:
+                arrays, gone = batch.column("sizes").is_valid().to_numpy(zero_copy_only=False), []
+                shard, h1, h2, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "h1", "h2", "doc_id"))
+                cuts = [0, *np.flatnonzero(arrays).tolist(), len(arrays)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if a < b and arrays[a]:
+                        probe = Probe([{c: batch.column(c)[a].as_py() for c in ("shard", *ARRAYS)}], n_rare, min_docs)
+                        a += 1
+                    if a < b and probe and int(shard[a]) in probe.shards:
+                        here = slice(a, b)
+                        # a run's lines all belong to the arrays before them; runs without arrays have none to lose
+                        gone.append(a + np.flatnonzero((shard[here] == next(iter(probe.shards))) & probe(h1[here], h2[here], doc[here])[1]))
+                gone = np.concatenate([np.zeros(0, np.int64), *gone])
+                yield pa.RecordBatch.from_pydict({"doc_id": doc[gone], "h1": h1[gone], "h2": h2[gone]})
+
+        none = [F.lit(None).cast("binary").alias(c) for c in ARRAYS]
+        zero = [F.lit(0).cast("long").alias(c) for c in ("h1", "h2", "doc_id")]
+        lines = docs.select("doc_id", "text").mapInArrow(asked, "shard int, run int, h1 long, h2 long, doc_id long").select("*", *none)
+        rare = rare.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).select("shard", "run", *zero, *ARRAYS)
+        both = lines.union(rare).repartition("shard", "run").sortWithinPartitions("shard", "run", F.col("sizes").isNull())
+        gone = both.mapInArrow(answered, "doc_id long, h1 long, h2 long")
         gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_gone")).withColumnRenamed("doc_id", "_id")  # a document's own lines
         source = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(gone, "_id", "left").drop("_id")
     else:
         source = docs.withColumn("_gone", F.lit(None).cast("array<struct<h1:bigint,h2:bigint>>"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe = Probe(held.value, n_frequent)
+        probe = Probe(held.value, n_frequent, min_docs)
         for batch in batches:
             ids, texts = _texts(batch)
             lines = [t.split(b"\n") for t in texts]
             keys = [(d, j, k) for d, own in enumerate(lines) for j, line in enumerate(own) if (k := line_key(line, min_chars))]
             h1, h2 = _halves([k for _, _, k in keys])
-            drop = probe(h1, h2, np.array([ids[d] for d, _, _ in keys], np.int64))
+            drop = probe(h1, h2, np.array([ids[d] for d, _, _ in keys], np.int64))[1]
             sent = [None if not g else {(x["h1"], x["h2"]) for x in g} for g in batch.column("_gone").to_pylist()]
             for at, (d, _, _) in enumerate(keys):
                 if sent[d] and (int(h1[at]), int(h2[at])) in sent[d]:

@@ -2,16 +2,18 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
-from docaudit.llm import common, components, op01_packing, op02_langid, op03_bpe, op04_sharding, op05_topk, op06_ann, op07_chat, op08_quality, op09_jaccard, op10_lines  # noqa: E402
+from docaudit.llm import common, components, op01_packing, op02_langid, op03_bpe, op04_sharding, op05_topk, op06_ann, op07_chat, op08_quality, op09_jaccard, op10_lines, pieces  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -132,6 +134,21 @@ def test_bpe(docs, texts):
     assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [replay.one(w) for w in words]
 
 
+@pytest.mark.parametrize("segment", [None, 16])
+def test_bpe_white_space(segment, monkeypatch):
+    import tiktoken
+
+    if segment:  # so small that short texts have several segments
+        monkeypatch.setattr(op03_bpe, "SEGMENT", segment)
+        monkeypatch.setattr(pieces, "SEGMENT", segment)
+    rnd, path = random.Random(11), P.path("byte_bpe_50k.tiktoken")
+    chars = [" "] * 8 + ["\xa0"] * 3 + list("\t\n\r\x0b\x0c\x1c\x1f\x85\u1680\u2003\u2028\u202f\u205f\u3000\u200bab\u00e9\u65e51.,!'") + ["don't", "we'll", "\x00"]
+    made = ["x \xa0 \xa0 y", "price: \xa0 \xa0 \xa010", " ", "  ", " a", "a ", " \n a"] + ["".join(rnd.choice(chars) for _ in range(rnd.randint(0, 80))) for _ in range(600)]
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=op03_bpe.read_ranks(path), special_tokens={})
+    ours = op03_bpe.Encoder(path, P.PATTERN)
+    assert [ids.tolist() for ids in ours([t.encode() for t in made])] == [enc.encode_ordinary(t) for t in made]
+
+
 def test_shards(docs, texts):
     got = op04_sharding.shard_by_bytes(docs).toPandas()
     assert collections.Counter(zip(got["size"], got["text_crc32"])) == collections.Counter((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in texts)
@@ -156,7 +173,7 @@ def vectors(spark):
 def test_top_k(vectors):
     df, x = vectors
     got = op05_topk.top_k(df, df.where("vec_id % 50 = 0")).toPandas()
-    ids, q = np.array([*x, 2003]), np.floor(256 * np.stack([*x.values(), np.zeros(8)])).astype(np.int64)
+    ids, q = np.array([*x, 2003, 7]), np.floor(256 * np.stack([*x.values(), np.zeros(8), x[7]])).astype(np.int64)
     for query, own in got.groupby("query_id"):
         if query == 2100:
             continue
@@ -167,6 +184,28 @@ def test_top_k(vectors):
     assert op05_topk.top_k(df.where("1 = 0"), df.where("1 = 0")).count() == 0
 
 
+def test_top_k_large_components(spark, tmp_path):
+    rows = [(50, [2e6, 1.0]), (50, [3e6, 0.0]), (50, [2e6, 1.0]), (100, [3e6, -4.5e6]), (1, [-3e6, 1.5e6]), (2, [3.1e6, 3.1e6]), (3, [1e7, 1e7]), (4, [1e30, -1e30]), (5, [0.3, -0.3]), (150, [1.0])]
+    df = common.numbered(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = op05_topk.top_k(df, df.where("vec_id % 50 = 0"), k=4, row="_row").toPandas()
+    whole = [(i, [max(min(math.floor(256 * x), 2**63 - 1), -(2**63)) for x in v]) for i, v in rows]
+    want = collections.Counter()
+    for a, (i, v) in enumerate(whole):
+        if i % 50 == 0:
+            scores = [(max(min(sum(x * y for x, y in zip(v, w)), 2**63 - 1), -(2**63)), j) for b, (j, w) in enumerate(whole) if b != a and len(w) == len(v)]
+            want += collections.Counter((i, r + 1, j, s) for r, (s, j) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:4]))
+    assert collections.Counter(got[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == want
+    # the SQL twin, without the vector whose products no long holds
+    rows = [r for r in rows if r[0] not in (3, 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    ours = op05_topk.op5_top_inner_products(spark, str(tmp_path)).toPandas()
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        twin = c.execute(op05_topk.ORACLES["op5_top_inner_products"]).df()
+    names = ["query_id", "rank", "vec_id", "score"]
+    assert collections.Counter(ours[names].itertuples(index=False, name=None)) == collections.Counter(twin[names].itertuples(index=False, name=None))
+
+
 def test_graph_search(vectors):
     df, x = vectors
     got = op06_ann.nearest(df, df.where("vec_id % 100 = 0")).toPandas()
@@ -338,19 +377,16 @@ def test_lines(spark, texts, most):
     assert op10_lines.dedup_lines(d.where("1 = 0")).count() == 0
 
 
-def test_lines_bounded_groups(spark, monkeypatch):
-    from pyspark.sql import GroupedData
-
-    twice = [f"line number {i} is in three documents" for i in range(6)]
-    rows = [(i, "\n".join([*twice, *(f"line {j} of document {i} and no other" for j in range(150))])) for i in range(3)]
-    rows += [(i, None if i % 2 else "short") for i in range(3, 6)]
-    sent, cogroup = [], GroupedData.cogroup
-    monkeypatch.setattr(GroupedData, "cogroup", lambda self, other: (sent.append(self._df), cogroup(self, other))[1])
+def test_lines_many_keys(spark):
+    rnd = random.Random(4)
+    common_lines = [f"line number {i} stands in several documents" for i in range(120_000)]
+    rows = [(i, "\n".join(rnd.sample(common_lines, 60_000) + [f"line {j} of document {i} and no other" for j in range(5000)])) for i in range(6)]
+    rows += [(i, None if i % 2 else "short") for i in range(6, 9)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in op10_lines.dedup_lines(d, max_broadcast=2, shard_lines=20).collect()}
-    assert got == brute_lines(rows)
-    groups = [r["count"] for r in sent[0].groupBy("shard").count().collect()]
-    assert sum(groups) >= 450 and max(groups) <= 40
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in op10_lines.dedup_lines(d, max_broadcast=1000, shard_keys=20_000, shard_lines=10_000).collect()}
+    want = brute_lines(rows)
+    assert {i: x[:2] for i, x in got.items()} == {i: x[:2] for i, x in want.items()}
+    assert got == want
 
 
 def test_perfect_hash():
