@@ -116,6 +116,45 @@ def test_language(docs, spark):
     assert held == {i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2}
 
 
+def brute_profile(text):
+    """The bundle of a text by the rules, one gram at a time."""
+    v, total = op02_langid.letter_vectors().astype(float), np.zeros(op02_langid.DIM)
+    letters = [0]
+    for ch in text + " ":
+        x = int(op02_langid._letters()[ord(ch)])
+        if x or letters[-1]:
+            letters.append(x)
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        if b:
+            total += v[0][a] * v[1][b] * v[2][c]
+    return total
+
+
+def test_language_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(op02_langid, "SEGMENT", 64)  # most texts are longer
+    rnd = random.Random(2)
+    alphabets = {"el": "\u03b1\u03b2\u03b3\u03b4\u03b5\u03b7\u03b9\u03bf\u03c3", "en": "etaoins", "ru": "\u0430\u0431\u0432\u0433\u0435\u0438\u043e\u0441", "uk": "\u0430\u0431\u0456\u0433\u0435\u0457\u043e\u0454"}
+    make = lambda a, n: " ".join("".join(rnd.choice(a) for _ in range(rnd.randint(2, 7))).capitalize() for _ in range(n))
+    rows = [(i, make(alphabets[lang], rnd.randint(3, 80)), lang, "s", 1) for i, lang in enumerate(sorted(alphabets) * 12)]
+    rows += [(100, None, "en", "s", 1), (101, "", None, "s", 1), (102, "12 34 !", None, "s", 1), (103, "x" * 300, None, "s", 1), (104, "a, b;  c" * 40, None, "s", 1)]
+    langs, prototypes = op02_langid.learn(spark.createDataFrame(rows, DOCS).where("lang is not null").repartition(3))
+    assert langs == sorted(alphabets)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    want = []
+    for lang in langs:
+        own = [brute_profile(t) for _, t, x, _, _ in rows if x == lang and t]
+        grams = [sum(1 for a, b, c in zip(*(lambda z: (z, z[1:], z[2:]))([0, *(int(op02_langid._letters()[ord(ch)]) for ch in t), 0])) if b) for _, t, x, _, _ in rows if x == lang and t]
+        want.append(unit(sum(v / n for v, n in zip(own, grams))))
+    assert np.allclose(prototypes, want, atol=1e-5)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in op02_langid.predict(spark.createDataFrame(rows, DOCS), langs, prototypes).collect()}
+    for i, t, _, _, _ in rows:
+        v = brute_profile(t or "")
+        cos = prototypes @ unit(v)
+        assert got[i][0] == (langs[int(cos.argmax())] if v.any() else "und")
+        assert abs(got[i][1] - (max(cos.max(), 0) if v.any() else 0)) < 1e-6
+    assert sum(got[i][0] == lang for i, _, lang, _, _ in rows[:48]) >= 47
+
+
 def test_bpe(docs, texts):
     import tiktoken
 
