@@ -4,11 +4,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, cut, in_order, mix, table
+from .common import broadcast_if_small, cut, in_order, mix, mix_int, table
 from .words import encoded, ngrams, token_hashes
 
 BUCKETS = 1 << 14
@@ -17,6 +18,9 @@ MAX_LABELLED = 200_000
 SMOOTHING = 1.0
 #: What the loss of a good labelled row weighs against the keeping of a bad one.
 GOOD_WEIGHT = 3.0
+#: A document's importance weight is that of so many n-grams of its mean log ratio, whatever its length. Noise of a standard
+#: deviation of 1.28 thus counts as much as 0.1 of a mean log ratio: it decides near the cut, and leaves clear cases alone.
+EVIDENCE = 12.0
 SEED = 8
 
 
@@ -51,22 +55,25 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return p(target) - p(raw)
 
 
-def scored(docs: DataFrame, ratio: np.ndarray, scale: float) -> DataFrame:
-    """docs with n_grams, log_weight (mean log ratio of its n-grams), gumbel_key (scale * log_weight plus Gumbel noise
-    that the document's id and text fix) and tie (their hash). Texts without n-grams weigh 0."""
+def noise(ids: np.ndarray, texts: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gumbel noise that the seed, the document's id and its text (64-bit hash) fix, and the hash it comes from."""
+    tie = mix(mix(ids + np.uint64(mix_int(seed))) + texts)
+    return -np.log(-np.log((tie >> np.uint64(12)).astype(float) / 2**52 + 2.0**-53)), tie
+
+
+def scored(docs: DataFrame, ratio: np.ndarray, evidence: float, seed: int) -> DataFrame:
+    """docs with n_grams, log_weight (mean log ratio of its n-grams), gumbel_key (evidence * log_weight plus noise) and tie
+    (the noise's hash). Texts without n-grams weigh 0."""
     docs = docs.drop("n_grams", "log_weight", "gumbel_key", "tie")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, w, t = [], [], []
             texts = encoded(batch.column("text"))
-            for doc, text, found in zip(batch.column("doc_id").to_pylist(), texts, features(texts)):
-                n.append(len(found))
-                w.append(float(ratio[found].mean()) if len(found) else 0.0)
-                t.append((doc or 0) & (2**64 - 1))
-            tie = mix(mix(np.array(t, np.uint64) + np.uint64(SEED)) + np.array(n, np.uint64))
-            noise = -np.log(-np.log((tie >> np.uint64(12)).astype(float) / 2**52 + 2.0**-53))
-            columns = {"n_grams": np.array(n, np.int64), "log_weight": np.array(w, float), "gumbel_key": scale * np.array(w, float) + noise, "tie": tie.view(np.int64)}
+            found = [(len(f), float(ratio[f].mean()) if len(f) else 0.0) for f in features(texts)]
+            n, w = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], float)
+            ids = np.array([(x or 0) & (2**64 - 1) for x in batch.column("doc_id").to_pylist()], np.uint64)
+            gumbel, tie = noise(ids, np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64), seed)
+            columns = {"n_grams": n, "log_weight": w, "gumbel_key": evidence * w + gumbel, "tie": tie.view(np.int64)}
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns.values())], [*batch.schema.names, *columns])
 
     more = [T.StructField("n_grams", T.LongType()), T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel_key", T.DoubleType()), T.StructField("tie", T.LongType())]
@@ -103,27 +110,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, DataFrame]:
     return log_ratio(bucket_counts(good), bucket_counts(docs)), known
 
 
-def resample(docs: DataFrame, labels: DataFrame, scale: float = 500.0) -> tuple[DataFrame, DataFrame]:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, evidence: float = EVIDENCE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Importance resampling without replacement: the k documents of largest Gumbel key.
 
-    Target model: hashed n-grams of the documents labelled good; raw model: of all documents. A document's weight is its
-    mean log ratio, so that length doesn't decide; its key adds Gumbel noise to scale times the weight. k is the number of
-    documents whose weight passes the cut that best parts the labelled rows; without labels of both kinds, all of them.
+    Target model: hashed n-grams of the documents labelled good; raw model: of all documents. A document's importance weight is
+    exp(evidence * its mean log ratio), so that length doesn't decide; the k largest of log weight plus Gumbel noise are a draw
+    of k documents one after another, each with a chance in proportion to its weight.
+    k: by default the number of documents whose mean log ratio passes the cut that best parts the labelled rows (without labels
+    of both kinds, all); which ones, the draw decides.
     Returns (rows: doc_id, n_grams, log_weight, gumbel_key, tie, rank, selected), (docs that are selected).
-    Null or empty text: weight 0, as a text that tells nothing. Null doc_id: noise of id 0. Repeated rows: each counts;
+    Null or empty text: weight 1, as a text that tells nothing. Null doc_id: noise of id 0. Repeated rows: each counts;
     rows alike in key, tie and doc_id are selected together. Empty table: empty. Other columns pass through."""
     ratio, known = fit(docs, labels)
-    rows = cut(scored(docs.select("doc_id", "text"), ratio, scale).drop("text"))
-    least = best_cut(rows.join(broadcast_if_small(known), "doc_id"))
-    k = rows.where(F.col("log_weight") >= F.lit(least)).count()
+    rows = cut(scored(docs.select("doc_id", "text"), ratio, evidence, seed).drop("text"))
+    if k is None:
+        k = rows.where(F.col("log_weight") >= F.lit(best_cut(rows.join(broadcast_if_small(known), "doc_id")))).count()
     rows = in_order(rows, [F.desc("gumbel_key"), F.desc("tie"), F.desc("doc_id")]).withColumn("rank", F.col("at") + 1).drop("at")
-    last = rows.where(F.col("rank") == k).select("gumbel_key", "tie", "doc_id").first()
+    last = rows.where(F.col("rank") <= k).orderBy(F.desc("rank")).limit(1).select("gumbel_key", "tie", "doc_id").first()
     if last is None:
         return rows.withColumn("selected", F.lit(False)), docs.limit(0)
     none = F.lit(-(1 << 63))
     key = F.struct("gumbel_key", "tie", F.coalesce("doc_id", none).alias("doc_id"))
     lowest = F.struct(F.lit(last[0]).alias("gumbel_key"), F.lit(last[1]).alias("tie"), F.coalesce(F.lit(last[2]).cast("long"), none).alias("doc_id"))
-    return rows.withColumn("selected", key >= lowest), scored(docs, ratio, scale).where(key >= lowest).select(docs.columns)
+    return rows.withColumn("selected", key >= lowest), scored(docs, ratio, evidence, seed).where(key >= lowest).select(docs.columns)
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,6 +352,56 @@ def test_quality(spark, docs):
     assert op08_quality.resample(d, labels.where("1 = 0"))[1].count() == 303
 
 
+def test_quality_draw():
+    # inclusion rates of the draw against all orders in which documents could be drawn
+    w, k = np.array([0.3, 0.1, 0.0, -0.05, -0.2]), 2
+    weight = np.exp(op08_quality.EVIDENCE * w)
+    want = np.zeros(5)
+    for a in range(5):
+        for b in range(5):
+            if a != b:
+                want[[a, b]] += weight[a] / weight.sum() * weight[b] / (weight.sum() - weight[a])
+    ids, texts, n = np.arange(5, dtype=np.uint64), np.arange(100, 105, dtype=np.uint64), 20_000
+    got = np.zeros(5)
+    for seed in range(n):
+        got[np.argsort(-(op08_quality.EVIDENCE * w + op08_quality.noise(ids, texts, seed)[0]))[:k]] += 1
+    assert np.abs(got / n - want).max() < 0.01 and 0.01 < want.min() and want.max() < 0.995  # none is all but sure
+    same = op08_quality.noise(np.array([3, 3], np.uint64), np.array([1, 2], np.uint64), 8)[0]
+    assert same[0] != same[1]  # the text has its part in the noise
+
+
+def test_quality_brute_force(spark):
+    rnd = random.Random(5)
+    make = lambda a, n: " ".join("".join(rnd.choice(a) for _ in range(rnd.randint(1, 3))) + rnd.choice(["", "", ".", "!!"]) for _ in range(n))
+    rows = [(i, make("abc" if i % 2 else "abde", rnd.randint(1, 60)), None, "s", 1) for i in range(200)] + [(300, None, None, "s", 1), (301, "", None, "s", 1), (7, "no no no", None, "t", 1)]
+    labels = [(i, i % 2, 0) for i in range(0, 120)]
+    ranked, kept = op08_quality.resample(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), k=90)
+    b = op08_quality.BUCKETS
+
+    def grams(text):  # buckets of tokens, of pairs and of repetitions
+        t = [int(op08_quality.token_hashes([x.encode()], punct=True, folded=False).__next__()[0]) for x in re.findall(r"[^\s!.]+|[!.]+", text or "")]
+        pairs = [int(op08_quality.ngrams(np.array(p, np.uint64), 2)[0]) for p in zip(t, t[1:])] or [int(x) for x in op08_quality.ngrams(np.array(t, np.uint64), 2)]
+        return [x % (b - 1) for x in t + pairs] + [b - 1] * sum(x == y for x, y in zip(t, t[1:]))
+
+    raw, good = collections.Counter(), collections.Counter()
+    for i, t, *_ in rows:
+        raw.update(grams(t))
+        if dict((a, q) for a, q, _ in labels).get(i) == 1:
+            good.update(grams(t))
+    p = lambda c, g: math.log((c[g] + 1) / (sum(c.values()) + b))
+    got = {(r.doc_id, r.n_grams, round(r.log_weight, 9)): (r.gumbel_key, r.rank, r.selected) for r in ranked.collect()}
+    assert len(got) == len(rows)
+    for i, t, *_ in rows:
+        g = grams(t)
+        w = sum(p(good, x) - p(raw, x) for x in g) / len(g) if g else 0.0
+        assert (i, len(g), round(w, 9)) in got
+    order = sorted(got.values(), key=lambda x: -x[0])
+    assert [x[1] for x in order] == list(range(1, len(rows) + 1)) and [x[2] for x in order] == [True] * 90 + [False] * (len(rows) - 90)
+    plain = sorted(got, key=lambda x: -x[2])[:90]
+    assert 0 < sum(not got[x][2] for x in plain) < 60  # the draw isn't the plain order by weight
+    assert kept.count() == 90 and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+
+
 def brute_classes(texts, k, num, den):
     sets = []
     for t in texts:
