@@ -10,7 +10,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """Deals documents, in doc_id order, into n_shards contiguous shards of near equal bytes.
 
     The text itself is never shuffled: only doc_id, size and checksum are put in order. A row goes to the shard in whose
-    equal share of all bytes it starts, so sizes differ from the target by one document at most.
+    equal share of all bytes it starts, so sizes differ from the target by one document at most. Equal texts of different
+    doc_ids may come to different shards: contiguous shards go by doc_id alone.
     Null text: size 1, checksum of the empty string. Null doc_id: first. Repeated rows: each keeps its place, ties by
     checksum and size. Empty table: empty result. Other columns of docs: ignored."""
     text = F.coalesce(F.col("text"), F.lit(""))

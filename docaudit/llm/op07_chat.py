@@ -85,7 +85,7 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     first = rows.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("at").alias("_first"))
     quoting = cut(passages(rows.where(F.col("text").rlike(r"(?m)" + MARKS))))
     quoted = quoting.select("at", "conv_id", "level", "passage", "kind", hashed(F.col("units")).alias("hash"), F.sha2(F.col("units")[0], 256).alias("first"), F.size("units").alias("n"))
-    held = originals(rows, quoted) if quoting.limit(1).count() else quoted.select("at", "conv_id", "kind", "hash")
+    held = originals(rows, quoted)
     names = ["conv_id", "kind", "hash", "at", "level", "passage"]
     both = quoted.select(names).union(held.withColumn("level", F.lit(0)).withColumn("passage", F.lit(0)).select(names))
     earlier = Window.partitionBy("conv_id", "kind", "hash").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)

@@ -348,6 +348,8 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             now = now.unionByName(failed.withColumns(none))
         now = now.repartition(partitions(spark), *PLACE).sortWithinPartitions(*PLACE, "cls")
         edges = cut(_forest(now, num, den, comp is None), narrow=True)
+        if comp is not None and not edges.limit(1).count():
+            break
         with batch_rows(spark, TEXT_ROWS):
             checked = cut(_verified(docs, info, edges.select("a", "b").distinct(), k, num, den), narrow=True)
         good, wrong = checked.where("linked").select("a", "b"), broadcast_if_small(checked.where("not linked").select("a", "b"))

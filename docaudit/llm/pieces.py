@@ -8,8 +8,8 @@ from .common import slices
 from .words import SEGMENT, hashed_runs
 
 BLOCK = 16 << 20
-#: Pieces that a worker remembers; about 32 bytes each. Beyond that it starts anew.
-REMEMBERED = 4_000_000
+#: Pieces that a worker remembers; about 50 bytes each. Beyond that it starts anew: frequent ones are soon learned again.
+REMEMBERED = 400_000
 _FIRST = np.uint64(0xA5A5A5A55A5A5A5B)
 
 
@@ -43,7 +43,7 @@ class PieceTable:
 
     def _learn(self, hashes: np.ndarray, pieces: list[bytes], first: list[bool]) -> None:
         if self.n + len(pieces) > REMEMBERED and self.n:
-            raise OverflowError
+            raise OverflowError  # a block's own pieces are always held
         ids, counts = self.encode(pieces, first)
         end = self.starts[self.n] + np.cumsum(counts)
         while self.n + len(pieces) + 1 > len(self.starts):
