@@ -106,3 +106,39 @@ def parse_reply(c: Column, schema: str) -> Column:
     """The JSON object in a model's reply: all of it, else from the first { to the last }; NULL if neither parses."""
     inner = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
     return F.coalesce(*[F.from_json(F.when(F.try_parse_json(x).isNotNull(), x), schema) for x in (c, inner)])
+
+
+def is_grounded(c: Column, vocabulary: list[str]) -> Column:
+    """Whether the text names one word of the vocabulary at least (anywhere in it, ignoring case)."""
+    return contains_any(c, vocabulary)
+
+
+def parse_list(c: Column) -> Column:
+    """The strings in a model's reply: an array; or an object's array under a usual key; or the first [...] in the text; or its
+    lines of more than 20 characters."""
+    strings = lambda x: F.from_json(F.when(F.try_parse_json(x).isNotNull() & F.trim(x).startswith("["), x), "array<string>")
+    keys = [F.get_json_object(F.when(F.try_parse_json(c).isNotNull(), c), f"$.{k}") for k in ("sentences", "examples", "texts", "items", "data")]
+    inner = F.nullif(F.regexp_extract(c, r"(?s)(\[.*?\])", 1), F.lit(""))
+    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: F.length(x) > 20)
+    return F.coalesce(strings(c), *map(strings, keys), strings(inner), lines)
+
+
+def repair_list(c: Column) -> Column:
+    """The strings of an array that may be cut short: from the first [ to the last ], less a trailing comma; else every quoted string."""
+    body = F.regexp_replace(F.regexp_extract(c, r"(?s)(\[.*\])", 1), r",\s*\]$", "]")
+    whole = F.from_json(F.when(F.try_parse_json(F.nullif(body, F.lit(""))).isNotNull(), body), "array<string>")
+    return F.coalesce(whole, F.regexp_extract_all(c, F.lit(r'"((?:[^"\\\\]|\\\\.)*)"'), F.lit(1)))
+
+
+def l2_normalise(a: Column) -> Column:
+    """The vector divided by its length (1e-9 at least)."""
+    return F.transform(a, lambda x: x.cast("double") / F.greatest(F.sqrt(dot(a, a)), F.lit(1e-9)))
+
+
+def mean_pool(vectors: Column, mask: Column) -> Column:
+    """The mean of the vectors (an array of arrays) whose mask is 1; their sum divided by the mask's (1e-9 at least)."""
+    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["v"])
+    zero = F.transform(F.element_at(vectors, 1), lambda x: F.lit(0.0))
+    total = F.aggregate(kept, zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))
+    n = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, x: s + x.cast("double")), F.lit(1e-9))
+    return F.transform(total, lambda x: x / n)

@@ -3,31 +3,47 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.functions.plan import broadcast_if_small
 from docaudit.functions.text import rule_scan, synonym_pattern
 
 
 def applicable_obligations(audits: DataFrame, obligations: DataFrame) -> DataFrame:
     """audits (doc_id, role, articles, gdpr_articles) with each obligation that applies: its actors are empty or hold the role,
-    and its article, if it has one, is among those of its regulation. Obligations are a small rule table."""
+    and its article, if it has one, is among those of its regulation.
+
+    What applies rests on role and articles alone, so obligations meet each distinct combination of those once; documents are
+    joined back by it."""
+    names = ["role", "articles", "gdpr_articles"]
+    kinds = broadcast_if_small(audits.select(*names).distinct(), 100_000)
     articles = F.when(F.col("regulation") == "gdpr", F.col("gdpr_articles")).otherwise(F.col("articles"))
     fits = (F.coalesce(F.size("actor"), F.lit(0)) <= 0) | F.array_contains("actor", F.col("role"))
     applies = F.col("article_num").isNull() | F.coalesce(F.array_contains(articles, F.col("article_num")), F.lit(False))
-    return audits.join(F.broadcast(obligations), fits & applies)
+    due = obligations.join(kinds, fits & applies)
+    on = [audits[n].eqNullSafe(due[n]) for n in names]
+    return audits.join(due, on[0] & on[1] & on[2]).select(audits["*"], *[due[c] for c in obligations.columns])
 
 
-def evidence_hits(docs: DataFrame, synonyms: dict[str, list[str]]) -> DataFrame:
-    """(doc_id, term) for each evidence term of which a synonym occurs in the text."""
-    rules = [("evidence", i, synonym_pattern(words).removeprefix("(?diuU)"), term) for i, (term, words) in enumerate(synonyms.items())]
-    return rule_scan(docs, rules).select("doc_id", F.col("label").alias("term"))
+def evidence_hits(docs: DataFrame, synonyms: dict[str, list[str]], required: list[str] | None = None, chunk: str | None = None) -> DataFrame:
+    """(doc_id, term) for each evidence term of which a synonym occurs in the text; a required term without synonyms is looked
+    for itself. chunk: a column that tells a document's parts apart; it comes along as chunk_id."""
+    words = synonyms | {t: [t] for t in required or [] if t not in synonyms}
+    rules = [("evidence", i, synonym_pattern(w).removeprefix("(?diuU)"), term) for i, (term, w) in enumerate(words.items())]
+    if chunk is None:
+        return rule_scan(docs, rules).select("doc_id", F.col("label").alias("term"))
+    return rule_scan(docs.withColumn("doc_id", F.struct("doc_id", chunk)), rules).select("doc_id.doc_id", F.col("label").alias("term"), F.col(f"doc_id.{chunk}").alias("chunk_id"))
 
 
 def evidence_items(audits: DataFrame, obligations: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc_id, obligation_id, regulation, n_required, n_satisfied, missing, coverage) of every obligation that applies."""
+    """(doc_id, obligation_id, regulation, n_required, n_satisfied, satisfied, missing, coverage) of every obligation that applies,
+    the terms in declared order, coverage to three decimals; with chunk_ids, distinct and in order, if hits have chunk_id."""
     need = applicable_obligations(audits, obligations).select("doc_id", "obligation_id", "regulation", F.posexplode_outer("evidence_required").alias("pos", "term"))
-    got = need.join(hits.select("doc_id", "term", F.lit(True).alias("hit")).distinct(), ["doc_id", "term"], "left")
-    lacking = F.transform(F.array_sort(F.collect_list(F.when(F.col("hit").isNull() & F.col("term").isNotNull(), F.struct("pos", "term")))), lambda x: x["term"])
-    out = got.groupBy("doc_id", "obligation_id", "regulation").agg(F.count("term").alias("n_required"), F.count("hit").alias("n_satisfied"), F.array_join(lacking, ",").alias("missing"))
-    return out.withColumn("coverage", F.coalesce(F.try_divide(F.col("n_satisfied"), F.col("n_required")), F.lit(0.0)))
+    chunked = "chunk_id" in hits.columns
+    found = hits.groupBy("doc_id", "term").agg(F.lit(True).alias("hit"), *[F.collect_set("chunk_id").alias("_chunks")] * chunked)
+    got = need.join(found, ["doc_id", "term"], "left")
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c & F.col("term").isNotNull(), F.struct("pos", "term")))), lambda x: x["term"]), ",")
+    more = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("_chunks")))).alias("chunk_ids")] * chunked
+    out = got.groupBy("doc_id", "obligation_id", "regulation").agg(F.count("term").alias("n_required"), F.count("hit").alias("n_satisfied"), listed(F.col("hit").isNotNull()).alias("satisfied"), listed(F.col("hit").isNull()).alias("missing"), *more)
+    return out.withColumn("coverage", F.round(F.coalesce(F.try_divide(F.col("n_satisfied"), F.col("n_required")), F.lit(0.0)), 3))
 
 
 def evidence_map(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -38,8 +54,18 @@ def evidence_map(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def coverage_by_regulation(items: DataFrame) -> DataFrame:
+    """Counts, mean coverage in percent and missing artefacts of each document and regulation, of each document (regulation NULL)
+    and of all (both NULL)."""
     c = F.col("coverage")
-    return items.groupBy("regulation").agg(F.count_if(c >= 1).alias("fully"), F.count_if((c > 0) & (c < 1)).alias("partial"), F.count_if(c == 0).alias("missing"), (F.avg(c) * 100).alias("mean_pct"), F.sum(F.col("n_required") - F.col("n_satisfied")).alias("missing_artefacts"))
+    return items.rollup("doc_id", "regulation").agg(F.count_if(c >= 1).alias("fully"), F.count_if((c > 0) & (c < 1)).alias("partial"), F.count_if(c == 0).alias("missing"), (F.avg(c) * 100).alias("mean_pct"), F.sum(F.col("n_required") - F.col("n_satisfied")).alias("missing_artefacts"))
+
+
+def article_text(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """keys (regulation, article, lang) with text: in the language asked for, else in English, else ''."""
+    own = texts.select("regulation", "article", "lang", F.col("text").alias("_own"))
+    english = texts.where("lang = 'en'").select("regulation", "article", F.col("text").alias("_en"))
+    out = keys.join(own, ["regulation", "article", "lang"], "left").join(english, ["regulation", "article"], "left")
+    return out.select(*keys.columns, F.coalesce("_own", "_en", F.lit("")).alias("text"))
 
 
 def validate_obligations(obligations: DataFrame, actors: list[str], terms: list[str]) -> DataFrame:

@@ -1,21 +1,40 @@
 """Monitoring over an event table: counters, stages, pairs, windows."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def pipeline_stats(events: DataFrame, start: str, done: str, failed: str) -> DataFrame:
+    """Counters of runs: started, done, failed, still active; share of success in percent; mean duration of all that ended."""
     e = F.col("event_type")
-    n = events.agg(F.count_if(e == start).alias("total"), F.count_if(e == done).alias("successful"), F.count_if(e == failed).alias("failed"), F.avg(F.when(e == done, F.col("value"))).alias("mean_duration"))
-    return n.withColumn("success_rate", F.col("successful") / F.greatest(F.col("total"), F.lit(1)) * 100)
+    n = events.agg(F.count_if(e == start).alias("total"), F.count_if(e == done).alias("successful"), F.count_if(e == failed).alias("failed"), F.avg(F.when(e.isin(done, failed), F.col("value"))).alias("mean_duration"))
+    n = n.withColumn("active", F.greatest(F.col("total") - F.col("successful") - F.col("failed"), F.lit(0)))
+    return n.withColumn("success_rate", F.round(F.col("successful") / F.greatest(F.col("total"), F.lit(1)) * 100, 1))
+
+
+def value_at(df: DataFrame, group: str, value: str, index: Column, bucket: Column | None = None) -> DataFrame:
+    """(group, at): of each group's sorted values, the one at a 0-based index, a function of the column n (the group's rows).
+
+    Equal values are counted before anything is ordered. Values are counted by buckets that rise with them (by default of 1.6 %
+    width), and only the bucket that holds the index is ordered, so no task orders all of a group."""
+    v = F.col(value)
+    rises = bucket if bucket is not None else F.signum(v) * F.floor(F.log1p(F.abs(v)) * 64)
+    counts = df.where(v.isNotNull()).groupBy(group, value).agg(F.count("*").alias("times")).withColumn("bucket", rises)
+    totals = counts.groupBy(group, "bucket").agg(F.sum("times").alias("inside"))
+    by = Window.partitionBy(group)
+    earlier = by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    totals = totals.select(group, "bucket", "inside", F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("before"), F.sum("inside").over(by).alias("n"))
+    totals = totals.where((F.col("before") <= index) & (F.col("before") + F.col("inside") > index))
+    here = Window.partitionBy(group).orderBy(value)
+    ranked = counts.join(totals, [group, "bucket"]).withColumn("upto", F.col("before") + F.sum("times").over(here))
+    return ranked.where((F.col("upto") > index) & (F.col("upto") - F.col("times") <= index)).select(group, v.alias("at"))
 
 
 def stage_stats(events: DataFrame) -> DataFrame:
     """Count, mean, least, most and p95 (the sorted value at index max(0, int(0.95 n) - 1)) of each stage."""
-    by = Window.partitionBy("event_type")
-    ranked = events.withColumn("_at", F.row_number().over(by.orderBy("value", "event_id"))).withColumn("_n", F.count("*").over(by))
-    p95 = F.max(F.when(F.col("_at") == F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(0.95))), F.col("value")))
-    return ranked.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), p95.alias("p95"))
+    stats = events.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    p95 = value_at(events, "event_type", "value", F.greatest(F.lit(0), F.floor(F.col("n") * F.lit(0.95)) - 1))
+    return stats.join(p95.withColumnRenamed("at", "p95"), "event_type", "left")
 
 
 def node_stats(events: DataFrame, bad: str) -> DataFrame:
@@ -31,10 +50,33 @@ def pair_audits(events: DataFrame, start: str, finish: str) -> DataFrame:
     return n.select("user_id", F.when(F.col("ended").isNotNull(), seconds).alias("seconds"), F.col("ended").isNull().alias("active"))
 
 
-def windowed_stats(events: DataFrame, length: str) -> DataFrame:
-    """Per stage and tumbling window: count, mean and most. The same plan serves the stream."""
-    return events.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most")).select(F.col("w.start").alias("began"), "event_type", "n", "mean", "most")
+def windowed_stats(events: DataFrame, length: str, slide: str | None = None) -> DataFrame:
+    """Per stage and tumbling or sliding window: count, mean and most. The same plan serves the stream."""
+    return events.groupBy(F.window("ts", length, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most")).select(F.col("w.start").alias("began"), "event_type", "n", "mean", "most")
 
 
 def audit_status(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
+
+
+def session_stats(events: DataFrame, gap: str, key: str = "user_id") -> DataFrame:
+    """Sessions of each key that end after a gap without events: begin, end, events, sum. The same plan serves the stream."""
+    out = events.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return out.select(key, F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n", "total")
+
+
+def snapshot(pipeline: DataFrame, stages: DataFrame, nodes: DataFrame, collections: DataFrame, models: DataFrame) -> DataFrame:
+    """One row with all of the monitor's tables: pipeline as a struct, the others as arrays in order of their first column. Each is
+    a row a stage, node, collection or model type."""
+    as_list = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+    out = pipeline.select(F.struct(*pipeline.columns).alias("pipeline"))
+    for df, name in ((stages, "stages"), (nodes, "nodes"), (collections, "collections"), (models, "models")):
+        out = out.crossJoin(as_list(df, name))  # a row each
+    return out
+
+
+def collection_sizes(rows: DataFrame, expected: list[str], key: str = "collection", size: str = "bytes") -> DataFrame:
+    """(key, n, bytes) of each expected collection, NULL for one that has no rows, and of all others that have."""
+    n = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    names = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, expected))).alias(key))
+    return names.join(n, key, "full_outer")

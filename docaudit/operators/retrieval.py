@@ -1,49 +1,164 @@
 """Retrieval: BM25 over posting tables, vector search, rank fusion."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.functions.text import cos_sim, tokens
+from docaudit.functions.plan import broadcast_if_small
+from docaudit.functions.text import tokens
 
 
-def bm25_stats(passages: DataFrame, part: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (part, doc_id, term, tf, dl), partition sizes (part, n, avgdl) and terms (part, term, df, idf).
+def with_whole(passages: DataFrame, part: str) -> DataFrame:
+    """Each passage in its own partition and in the whole collection's, whose partition column is NULL."""
+    return passages.unionByName(passages.withColumn(part, F.lit(None).cast(passages.schema[part].dataType)))
 
-    idf = ln(N - df + .5) - ln(df + .5); negative ones become a quarter of the partition's mean idf."""
-    words = passages.select(*part, "doc_id", tokens(F.col("text")).alias("words"))
+
+def bm25_stats(passages: DataFrame, part: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Partition sizes (part, n, avgdl) and terms (part, term, df, idf, lucene_idf). Terms are counted once a passage before any
+    shuffle, so what moves is a task's vocabulary.
+
+    idf = ln(N - df + .5) - ln(df + .5); negative ones become a quarter of the partition's mean idf, taken before that."""
+    words = passages.select(*part, tokens(F.col("text")).alias("words"))
     sizes = words.groupBy(*part).agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    postings = words.select(*part, "doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy(*part, "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy(*part, "term").agg(F.count("*").alias("df")).join(sizes, part) if part else postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(sizes))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy(*part).agg(F.avg("raw").alias("mean_idf"))
-    raw = raw.join(mean, part) if part else raw.join(F.broadcast(mean))
-    terms = raw.select(*part, "term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return postings, sizes, terms
-
-
-def bm25_search(queries: DataFrame, passages: DataFrame, part: list[str], k: int, k1: float = 1.5, b: float = 0.75, lucene: bool = False) -> DataFrame:
-    """(query_id, doc_id, score, rank) of the k best passages; repeated query words count again."""
-    postings, sizes, terms = bm25_stats(passages, part)
-    q = queries.select("query_id", *part, F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", *part, "term").agg(F.count("*").alias("qtf"))
-    if lucene:
-        terms = (terms.join(sizes, part) if part else terms.join(F.broadcast(sizes))).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("n", "avgdl")
-    q = q.join(terms, [*part, "term"])
-    hits = postings.join(q, [*part, "term"])
-    hits = hits.join(sizes, part) if part else hits.join(F.broadcast(sizes))
+    df = words.select(*part, F.explode(F.array_distinct("words")).alias("term")).groupBy(*part, "term").agg(F.count("*").alias("df"))
+    df = _in_part(df, sizes, part).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = _in_part(df, df.groupBy(*part).agg(F.avg("raw").alias("mean_idf")), part)
+    idf = F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw"))
+    return sizes, raw.select(*part, "term", "df", idf.alias("idf"), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("lucene_idf"))
+
+
+def _in_part(df: DataFrame, small: DataFrame, part: list[str]) -> DataFrame:
+    """df joined with a row for each partition; partitions compare NULL as equal. Without partitions, with one row."""
+    small = small.select(*[F.col(c).alias(f"_{c}") if c in part else F.col(c) for c in small.columns])
+    on = F.lit(True)
+    for c in part:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return df.join(small if part else F.broadcast(small), on).drop(*[f"_{c}" for c in part])
+
+
+def bm25_search(queries: DataFrame, passages: DataFrame, part: list[str], k: int, k1: float = 1.5, b: float = 0.75, lucene: bool = False, boost: tuple[str, float] | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank) of the k best passages; repeated query words count again.
+
+    Passages are dealt by id once; counting their words, matching and adding up stay where they are. boost: a column that both
+    tables have, and how much a passage gains (times the idf of that value) if it agrees with the query's."""
+    sizes, terms = bm25_stats(passages, part)
+    lang, asked = ([F.col(boost[0])], ["_lang"]) if boost else ([], [])
+    q = queries.select("query_id", *part, *[c.alias("_lang") for c in lang], F.explode(tokens(F.col("text"))).alias("term"))
+    q = q.groupBy("query_id", *part, *asked, "term").agg(F.count("*").alias("qtf"))
+    wanted = broadcast_if_small(q.select("term").distinct())
+    found = passages.select("doc_id", *part, *lang, tokens(F.col("text")).alias("words")).repartition("doc_id")
+    found = found.withColumn("dl", F.size("words")).select(*[c for c in found.columns if c != "words"], "dl", F.explode("words").alias("term")).join(wanted, "term", "left_semi")
+    found = found.groupBy("doc_id", *part, *lang, "dl", "term").agg(F.count("*").alias("tf"))
+    same = F.col("q.term") == F.col("t.term")
+    for c in part:
+        same = same & F.col(f"q.{c}").eqNullSafe(F.col(f"t.{c}"))
+    q = q.alias("q").join(terms.alias("t"), same).select("q.*", F.col("t.lucene_idf" if lucene else "t.idf").alias("idf"))
+    on = F.col("p.term") == F.col("q.term")
+    for c in part:
+        on = on & F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}"))
+    hits = found.alias("p").join(broadcast_if_small(q).alias("q"), on).select("p.*", "q.query_id", "q.qtf", "q.idf", *[F.col(f"q.{c}") for c in asked])
+    hits = _in_part(hits, sizes, part)
     tf = F.col("tf") * ((k1 + 1) if not lucene else 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score")).withColumn("score", F.round("score", 6))
+    scored = hits.groupBy("doc_id", "query_id", *lang, *asked).agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
+    if boost:
+        total = passages.agg(F.count("*").alias("_n"))
+        by = passages.groupBy(F.col(boost[0]).alias("_value")).agg(F.count("*").alias("_df")).crossJoin(F.broadcast(total))  # one row
+        gain = by.select("_value", (boost[1] * F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))).alias("gain"))
+        scored = scored.join(gain, (F.col(boost[0]) == F.col("_value")) & (F.col("_lang") == F.col("_value")), "left").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0.0)))
+    scored = scored.select("query_id", "doc_id", F.round("score", 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("score") > 0))
 
 
+QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
+
+
+def _blocks(df: DataFrame, key: str, where: list[str], size: int) -> DataFrame:
+    """Rows of one filter value and dimension as blocks: ids and unit vectors, in binary columns. (g: the filter values.)"""
+
+    def pack(batches):
+        for batch in batches:
+            for (g, dim), part in batch.groupby(["g", "dim"], dropna=False, sort=False):
+                for i in range(0, len(part), size):
+                    p = part.iloc[i : i + size]
+                    x = np.array(p["v"].tolist(), float).reshape(len(p), -1)
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+                    yield pd.DataFrame({"g": [g], "dim": [dim], "ids": [p[key].to_numpy(np.int64).tobytes()], "x": [x.tobytes()]})
+
+    g = F.to_json(F.struct(*where)) if where else F.lit("")
+    return df.where(F.col("embedding").isNotNull()).select(key, g.alias("g"), F.size("embedding").alias("dim"), F.col("embedding").alias("v")).mapInPandas(pack, "g string, dim int, ids binary, x binary")
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, where: list[str] | None = None) -> DataFrame:
-    """(query_id, vec_id, distance, rank) by cosine distance among vectors that share the filter columns."""
-    where = where or []
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), *where)
-    pairs = vectors.join(q, where) if where else vectors.join(q, F.lit(True))
-    pairs = pairs.where(F.col("vec_id") != F.col("query_id")).withColumn("distance", F.round(1 - cos_sim(F.col("embedding"), F.col("_q")), 6))
-    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "distance", "rank")
+    """(query_id, vec_id, distance, rank) by cosine distance among vectors that share the filter columns.
+
+    Blocks of queries meet blocks of vectors; each pair of blocks gives k rows a query at most."""
+    v = _blocks(vectors, "vec_id", where or [], VECTOR_BLOCK)
+    q = _blocks(queries.repartition(max(1, queries.sparkSession.sparkContext.defaultParallelism // 4)), "vec_id", where or [], QUERY_BLOCK).select("g", "dim", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
+
+    def search(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples():
+                ids, q_ids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.q_ids, np.int64)
+                near = np.round(1 - np.frombuffer(row.q).reshape(len(q_ids), -1) @ np.frombuffer(row.x).reshape(len(ids), -1).T, 6)
+                near[q_ids[:, None] == ids[None, :]] = np.inf
+                n = min(k, len(ids))
+                for i, d in enumerate(near):
+                    close = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
+                    close = close[np.lexsort((ids[close], d[close]))][:n]
+                    close = close[np.isfinite(d[close])]
+                    out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[close], "distance": d[close] + 0.0}))
+            yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+
+    hits = v.join(q, ["g", "dim"]).mapInPandas(search, "query_id long, vec_id long, distance double")
+    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")  # k rows a block
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "distance", "rank")
+
+
+def flatten_hits(df: DataFrame) -> DataFrame:
+    """Rows of results held as lists (query_id, ids, documents, distances), one row a hit; blank documents go. rank: place in the list."""
+    each = df.select("query_id", F.posexplode(F.arrays_zip("ids", "documents", "distances")).alias("pos", "hit"))
+    return each.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.ids").alias("id"), F.col("hit.documents").alias("text"), F.col("hit.distances").alias("distance")).where(F.coalesce("text", F.lit("")) != "")
+
+
+def load_corpus(passages: DataFrame, part: str) -> tuple[DataFrame, DataFrame]:
+    """Passages that are not blank, and how many there are and in how many partitions."""
+    kept = passages.where(F.coalesce("text", F.lit("")) != "")
+    return kept, kept.agg(F.count("*").alias("passages"), F.count_distinct(part).alias("partitions"))
+
+
+def gate_chunks(chunks: DataFrame, applicable: DataFrame) -> DataFrame:
+    """Chunks whose article applies: applicable has (doc_id, articles). A chunk without an article stays, and so does one whose
+    document has no list; an empty list lets no article pass."""
+    a = applicable.select(F.col("doc_id").alias("_d"), F.col("articles").alias("_a"))
+    out = chunks.join(a, F.col("doc_id") == F.col("_d"), "left")
+    return out.where(F.col("article").isNull() | F.col("_a").isNull() | F.array_contains("_a", F.col("article"))).drop("_d", "_a")
+
+
+def hybrid_retrieve(chunks: DataFrame, passages: DataFrame, applicable: DataFrame, k: int = 5, candidates: int = 10, regulation: str | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the applicability gate, then the best passages by words and by vectors among those of the
+    chunk's article (a chunk without one searches all), fused by rank, then ranked by shared words.
+
+    chunks: doc_id, query_id, article, lang, text, embedding. passages: doc_id, article, regulation, lang, text, embedding. A
+    regulation limits the vector search before, and the word search after its first `candidates`; passages without one don't match."""
+    open_ = gate_chunks(chunks, applicable)
+    both = with_whole(passages, "article")
+    words = bm25_search(open_.select("query_id", "article", "text"), both, ["article"], candidates).select("query_id", "doc_id", F.lit(0.0).alias("distance"), F.col("rank").alias("place"))
+    near = both if regulation is None else both.where(F.col("regulation") == regulation)
+    vectors = knn(open_.select(F.col("query_id").alias("vec_id"), "article", "embedding"), near.select((-1 - F.col("doc_id")).alias("vec_id"), "article", "embedding"), candidates, ["article"])
+    vectors = vectors.select("query_id", (-1 - F.col("vec_id")).alias("doc_id"), "distance", F.col("rank").alias("place"))
+    about = passages.select("doc_id", F.col("lang").alias("_lang"), "regulation", F.col("text").alias("_text"))
+    asked = open_.select("query_id", F.col("lang").alias("query_lang"), F.col("text").alias("query_text"))
+    lists = []
+    for hits, late in ((words, True), (vectors, False)):
+        hits = hits.join(about, "doc_id").join(asked, "query_id")
+        if late and regulation is not None:
+            hits = hits.where(F.col("regulation") == regulation)
+        lists.append(language_rank(hits.withColumnRenamed("_lang", "lang")).select("query_id", "doc_id", "rank"))
+    fused = rrf(lists, "doc_id").join(about, "doc_id").join(asked, "query_id").withColumnRenamed("_text", "text")
+    return overlap_rerank(fused, k).select("query_id", "doc_id", F.col("overlap").alias("score"), F.col("new_rank").alias("rank"))
 
 
 def rrf(lists: list[DataFrame], item: str, k: int = 60) -> DataFrame:
@@ -59,8 +174,8 @@ def rrf(lists: list[DataFrame], item: str, k: int = 60) -> DataFrame:
 
 
 def language_rank(hits: DataFrame) -> DataFrame:
-    """Stable order of each query's hits: its own language first, then distance, then the order so far."""
-    order = Window.partitionBy("query_id").orderBy((F.col("lang") != F.col("query_lang")).cast("int"), "distance", "doc_id")
+    """Stable order of each query's hits: its own language first, then distance, then the place so far."""
+    order = Window.partitionBy("query_id").orderBy((~F.col("lang").eqNullSafe(F.col("query_lang"))).cast("int"), "distance", "place")
     return hits.withColumn("rank", F.row_number().over(order))
 
 

@@ -70,7 +70,7 @@ def _audits(docs: DataFrame) -> DataFrame:
 VOTE = HITS + """, votes AS (SELECT doc_id, rule_group, count(*) AS n FROM hits GROUP BY ALL),
 places AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, rule_group) AS p FROM votes),
 won AS (SELECT doc_id, max(rule_group) FILTER (WHERE p = 1) AS actor, max(n) FILTER (WHERE p = 1) AS win, coalesce(max(n) FILTER (WHERE p = 2), 0) AS second, sum(n) AS total FROM places GROUP BY 1),
-roles AS (SELECT d.doc_id, coalesce(actor, 'g2') AS actor, round(CASE WHEN total IS NULL THEN 0.3 ELSE least(1, 0.7::DOUBLE * win::DOUBLE / total::DOUBLE + 0.3::DOUBLE * (win - second)::DOUBLE / win::DOUBLE) END::DOUBLE, 6) AS confidence FROM documents d LEFT JOIN won USING (doc_id))"""
+roles AS (SELECT d.doc_id, coalesce(actor, 'g2') AS actor, round(CASE WHEN total IS NULL THEN 0.3 ELSE least(1, 0.7::DOUBLE * win::DOUBLE / total::DOUBLE + 0.3::DOUBLE * (win - second)::DOUBLE / win::DOUBLE) END::DOUBLE, 2) AS confidence FROM documents d LEFT JOIN won USING (doc_id))"""
 AUDITS = VOTE + f""", audits AS (SELECT doc_id, actor AS role,
   CASE WHEN contains(text, 'queen') THEN [5] WHEN regexp_matches(text, '(?i)' || {_lit(PACK[0][2])}) THEN [9, 10, 11, 12, 13, 14, 15] ELSE [] END AS articles,
   CASE WHEN NOT regexp_matches(text, '(?i)' || {_lit(PACK[3][2])}) THEN [] WHEN regexp_matches(text, '(?i)' || {_lit(PACK[2][2])}) THEN [5, 13, 22] ELSE [5, 13] END AS gdpr_articles
@@ -82,7 +82,8 @@ EVIDENCE = f"ev AS (SELECT DISTINCT doc_id, term FROM documents JOIN {_SYN} s ON
 ITEMS = APPLIES + ", " + EVIDENCE + """, need AS MATERIALIZED (SELECT doc_id, obligation_id || '' AS obligation_id, regulation || '' AS regulation, unnest(CASE WHEN len(evidence_required) = 0 THEN [NULL] ELSE evidence_required END) AS term, generate_subscripts(CASE WHEN len(evidence_required) = 0 THEN [NULL] ELSE evidence_required END, 1) AS pos FROM due),
 items AS (SELECT n.doc_id, n.obligation_id, n.regulation, count(n.term) AS n_required, count(ev.term) AS n_satisfied,
   coalesce(string_agg(n.term, ',' ORDER BY n.pos) FILTER (WHERE ev.term IS NULL AND n.term IS NOT NULL), '') AS missing,
-  round(coalesce(count(ev.term) / nullif(count(n.term), 0), 0)::DOUBLE, 6) AS coverage FROM need n LEFT JOIN ev ON ev.doc_id = n.doc_id AND ev.term = n.term GROUP BY 1, 2, 3)"""
+  coalesce(string_agg(n.term, ',' ORDER BY n.pos) FILTER (WHERE ev.term IS NOT NULL), '') AS satisfied,
+  round(coalesce(count(ev.term) / nullif(count(n.term), 0), 0)::DOUBLE, 3) AS coverage FROM need n LEFT JOIN ev ON ev.doc_id = n.doc_id AND ev.term = n.term GROUP BY 1, 2, 3)"""
 
 
 def _items(t) -> DataFrame:
@@ -102,7 +103,7 @@ query("evidence_hits", f"WITH {EVIDENCE} SELECT * FROM ev")(lambda t: evidence.e
 query("evidence_items", f"WITH {ITEMS} SELECT * FROM items")(_items)
 query("evidence_map", f"""WITH {ITEMS}, m AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE coverage >= 1) AS fully, count(*) FILTER (WHERE coverage > 0 AND coverage < 1) AS partial, count(*) FILTER (WHERE coverage = 0) AS missing, avg(coverage) AS c FROM items GROUP BY 1)
 SELECT doc_id, coalesce(total, 0) AS total, coalesce(fully, 0) AS fully, coalesce(partial, 0) AS partial, coalesce(missing, 0) AS missing, round(coalesce(c, 0), 6) AS mean_coverage FROM documents LEFT JOIN m USING (doc_id)""")(lambda t: evidence.evidence_map(t("documents"), _items(t)))
-query("coverage_by_regulation", f"""WITH {ITEMS} SELECT regulation, count(*) FILTER (WHERE coverage >= 1) AS fully, count(*) FILTER (WHERE coverage > 0 AND coverage < 1) AS partial, count(*) FILTER (WHERE coverage = 0) AS missing, round(avg(coverage) * 100, 6) AS mean_pct, sum(n_required - n_satisfied)::BIGINT AS missing_artefacts FROM items GROUP BY 1""")(lambda t: evidence.coverage_by_regulation(_items(t)))
+query("coverage_by_regulation", f"""WITH {ITEMS} SELECT doc_id, regulation, count(*) FILTER (WHERE coverage >= 1) AS fully, count(*) FILTER (WHERE coverage > 0 AND coverage < 1) AS partial, count(*) FILTER (WHERE coverage = 0) AS missing, round(avg(coverage) * 100, 6) AS mean_pct, sum(n_required - n_satisfied)::BIGINT AS missing_artefacts FROM items GROUP BY ROLLUP (doc_id, regulation)""")(lambda t: evidence.coverage_by_regulation(_items(t)))
 
 query("lang_detect", f"""WITH w AS (SELECT doc_id, substr(text, 1, 500) AS s, {TOKENS.format("substr(text, 1, 500)")} AS ws FROM documents),
 n AS (SELECT doc_id, s, len(list_filter(ws, lambda x: x IN ('der','die','und','das','ist','nicht','mit','von'))) AS de, len(list_filter(ws, lambda x: x IN ('the','and','of','is','to','in','that','with'))) AS en FROM w)
@@ -146,7 +147,7 @@ _VOTES = "votes AS (SELECT doc_id, [CASE WHEN contains(lower(text), 'tion') THEN
 _votes = lambda t: t("documents").select("doc_id", rules.lf_votes(F.col("text"), _LEXICON).alias("votes"))
 query("lf_votes", f"WITH {_VOTES} SELECT doc_id, array_to_string(v, ',') AS votes FROM votes")(lambda t: _votes(t).select("doc_id", F.array_join(F.col("votes").cast("array<string>"), ",").alias("votes")))
 query("lf_summary", f"""WITH {_VOTES}, e AS (SELECT len(list_filter(v, lambda x: x >= 0)) AS n, unnest(v) AS vote, generate_subscripts(v, 1) - 1 AS lf FROM votes)
-SELECT lf::INT AS lf, round(avg((vote >= 0)::INT), 6) AS coverage, round(avg((vote >= 0 AND n > 1)::INT), 6) AS overlaps, round(avg((vote >= 0 AND n > 1)::INT), 6) AS conflicts FROM e GROUP BY 1""")(lambda t: rules.lf_summary(_votes(t)))
+SELECT lf::INT AS lf, coalesce(string_agg(DISTINCT vote, ',') FILTER (WHERE vote >= 0), '') AS polarity, round(avg((vote >= 0)::INT), 6) AS coverage, round(avg((vote >= 0 AND n > 1)::INT), 6) AS overlaps, round(avg((vote >= 0 AND n > 1)::INT), 6) AS conflicts FROM e GROUP BY 1""")(lambda t: rules.lf_summary(_votes(t)))
 query("label_model")(lambda t: rules.label_model(_votes(t), 4).select("doc_id", "label", "confidence"))
 query("ingest_gate", "SELECT doc_id, CASE WHEN n_chars IS NULL THEN 400 WHEN lower(source) NOT IN ('src0', 'src1', 'src2') THEN 415 WHEN n_chars > 4000 THEN 413 ELSE 200 END AS status FROM documents")(
     lambda t: readers.ingest_gate(t("documents"), "n_chars", "source", 4000, ["src0", "src1", "src2"]).select("doc_id", "status")
@@ -158,20 +159,33 @@ query("upsert_passages", "SELECT doc_id, CASE WHEN lang = 'de' THEN 'new' ELSE '
 )
 query("sections")(lambda t: segment.detect_sections(t("documents")))
 query("chunk_boundary")(lambda t: segment.chunk_boundary(t("documents")))
+ORACLES["chunk_boundary"] = r"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents),
+w AS (SELECT doc_id, text, n, 0 AS s, 0 AS e, false AS done FROM d WHERE n > 512 UNION ALL
+ SELECT doc_id, text, n, e2 - 50 + CASE WHEN e2 - 50 > s1 THEN 0 ELSE 50 END, e2, true FROM (
+  SELECT *, CASE WHEN s1 + 512 >= n THEN n WHEN p1 > 0 THEN s1 + p1 + 2 WHEN p2 > 0 THEN s1 + p2 + 1 WHEN p3 > 0 THEN s1 + p3 + 1 ELSE s1 + 512 END AS e2 FROM (
+   SELECT doc_id, text, n, s AS s1, CASE WHEN contains(x, '. ') THEN length(x) - length(list_extract(string_split(x, '. '), -1)) - 2 ELSE 0 END AS p1,
+    CASE WHEN contains(x, chr(10)) THEN length(x) - length(list_extract(string_split(x, chr(10)), -1)) - 1 ELSE 0 END AS p2, CASE WHEN contains(x, ' ') THEN length(x) - length(list_extract(string_split(x, ' '), -1)) - 1 ELSE 0 END AS p3
+   FROM (SELECT *, substr(text, s + 1, 512) AS x FROM w WHERE s < n)))),
+c AS (SELECT doc_id, e, text, n, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS s0 FROM w),
+p AS (SELECT doc_id, s0, trim(substr(text, s0 + 1, e - s0), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS chunk FROM c WHERE s0 IS NOT NULL AND e > 0),
+k AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s0) - 1)::INT AS chunk_index, chunk AS text FROM p WHERE chunk <> '')
+SELECT * FROM k UNION ALL SELECT doc_id, 0::INT, text FROM d WHERE n <= 512"""
 query("chunk_fixed")(lambda t: segment.chunk_fixed(t("documents")))
 query("chunk_propositions")(lambda t: segment.chunk_propositions(t("documents")))
-query("sentences")(lambda t: segment.split_sentences(t("documents")))
+query("sentences", r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+([A-ZÜÄÖ("''])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM documents),
+k AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: length(x) BETWEEN 60 AND 600) AS kept FROM s)
+SELECT doc_id, (generate_subscripts(kept, 1) - 1)::INT AS sentence_index, unnest(kept) AS sentence FROM k""")(lambda t: segment.split_sentences(t("documents")))
 query("html_sections")(lambda t: readers.extract_sections(t("pages"), r"^[A-Z]", r"^[0-9]"))
 _spans = lambda t: rules.annotate(t("documents"), [("CAPS", r"\b[A-Z]{4,}\b")], [("LICENSE", "license"), ("LICENSE", "all rights reserved")])
-query("entity_spans")(lambda t: rules.resolve_spans(_spans(t)))
+query("entity_spans")(lambda t: rules.annotate(t("documents"), [("CAPS", r"\b[A-Z]{4,}\b")], [("LICENSE", "license"), ("LICENSE", "all rights reserved")], policy="leftmost"))
 query("entity_override")(lambda t: rules.override_spans(_spans(t).where("label = 'CAPS'"), _spans(t).where("label = 'LICENSE'")))
 
 _BM = f"""p AS (SELECT lang, doc_id, {TOKENS.format("text")} AS ws FROM documents), q AS (SELECT item_id AS query_id, unnest({TOKENS.format("text")}) AS term FROM benchmark),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY ALL), sz AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM p),
 po AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM p) GROUP BY ALL),
-raw AS (SELECT term, count(*) AS df, any_value(n) AS n, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM po, sz GROUP BY term),
+raw AS MATERIALIZED (SELECT term, count(*) AS df, any_value(n) AS n, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM po, sz GROUP BY term),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf, ln(1 + (n - df + 0.5) / (df + 0.5)) AS lidf FROM raw)"""
-query("bm25_stats", f"WITH {_BM} SELECT term, df, round(idf, 6) AS idf FROM idf")(lambda t: retrieval.bm25_stats(t("documents"), [])[2])
+query("bm25_stats", f"WITH {_BM} SELECT term, df, round(idf, 6) AS idf FROM idf")(lambda t: retrieval.bm25_stats(t("documents"), [])[1].drop("lucene_idf"))
 _TOP = "SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10 AND score > 0"
 _bq = lambda t: t("benchmark").select(F.col("item_id").alias("query_id"), "text")
 query("bm25_top10", f"WITH {_BM}, s AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN idf USING (term) JOIN po USING (term), sz GROUP BY 1, 2) {_TOP}")(lambda t: retrieval.bm25_search(_bq(t), t("documents"), [], 10))
@@ -238,7 +252,7 @@ query("stratified_split", f"WITH {_TRUTH}, a AS (SELECT *, row_number() OVER (PA
 query("class_weights", "WITH n AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1) SELECT quality, n, round(least(greatest((SELECT sum(n) FROM n) / (2 * n), 0.5), 2.5), 6) AS weight FROM n")(lambda t: prep.class_weights(t("labels"), "quality", 2, 0.5, 2.5))
 query("sufficiency", "WITH n AS (SELECT quality, lang, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2) SELECT min(n) AS least, sum(n)::BIGINT AS total, min(n) >= 30 AND sum(n) >= 160 AS sufficient FROM n")(lambda t: prep.sufficiency(t("labels").join(t("documents"), "doc_id").select(F.col("quality").alias("label"), "lang"), 10))
 query("label_quota", "SELECT doc_id, rank::INT AS rank FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rank FROM documents WHERE length(text) >= 20) WHERE rank <= 5")(lambda t: prep.label_quota(t("documents"), ["lang", "source"], 5, "doc_id").select("doc_id", "rank"))
-query("pipeline_stats", "SELECT s AS total, p AS successful, e AS failed, round(m, 6) AS mean_duration, round(p / greatest(s, 1) * 100, 6) AS success_rate FROM (SELECT count(*) FILTER (WHERE event_type = 'signup') AS s, count(*) FILTER (WHERE event_type = 'purchase') AS p, count(*) FILTER (WHERE event_type = 'error') AS e, avg(value) FILTER (WHERE event_type = 'purchase') AS m FROM events)")(lambda t: monitor.pipeline_stats(t("events"), "signup", "purchase", "error"))
+query("pipeline_stats", "SELECT s AS total, p AS successful, e AS failed, round(m, 6) AS mean_duration, greatest(s - p - e, 0) AS active, round(p / greatest(s, 1) * 100, 1) AS success_rate FROM (SELECT count(*) FILTER (WHERE event_type = 'signup') AS s, count(*) FILTER (WHERE event_type = 'purchase') AS p, count(*) FILTER (WHERE event_type = 'error') AS e, avg(value) FILTER (WHERE event_type IN ('purchase', 'error')) AS m FROM events)")(lambda t: monitor.pipeline_stats(t("events"), "signup", "purchase", "error"))
 query("stage_stats", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most, round(max(value) FILTER (WHERE pos = greatest(1, floor(n * 0.95))), 6) AS p95 FROM r GROUP BY 1""")(lambda t: monitor.stage_stats(t("events")))
 query("node_stats", "SELECT user_id AS node, count(*) AS invocations, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")(lambda t: monitor.node_stats(t("events"), "error"))
@@ -261,3 +275,5 @@ def corpus_audit(t) -> DataFrame:
 
 
 query("corpus_audit")(corpus_audit)
+
+from docaudit.plans import decisions, reports, tables  # noqa: E402, F401  (they add their queries)

@@ -3,6 +3,7 @@
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,39 @@ def read_regulatory(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.col("text") != "")
 
 
+def read_lang_sections(spark: SparkSession, path: str, langs: tuple[str, ...] = ("en", "de")) -> DataFrame:
+    """(path, lang, text) of the sections in these languages; whatever stands before the first section is ignored."""
+    rows = read_text_corpus(spark, path).select("path", F.explode(F.split("text", r"(?m)^=== (?=\w+ ===\s*$)")).alias("part"))
+    lang = F.lower(F.regexp_extract("part", r"^(\w+) ===", 1))
+    text = F.regexp_replace(F.regexp_replace("part", r"^\w+ ===\s*", ""), r"^\s+|\s+$", "")
+    return rows.select("path", lang.alias("lang"), text.alias("text")).where(F.col("lang").isin(*langs) & (F.col("text") != ""))
+
+
+def read_domain_labels(spark: SparkSession, path: str, trained: list[str], lines: int = 8) -> DataFrame:
+    """(path, domain): the DOMAIN header within a file's first lines; files whose domain isn't trained go."""
+    head = F.array_join(F.slice(F.split("text", "\n"), 1, lines), "\n")
+    domain = F.lower(F.trim(F.regexp_extract(head, r"(?m)^DOMAIN:(.*)$", 1)))
+    return read_text_corpus(spark, path).select("path", domain.alias("domain")).where(F.col("domain").isin(*trained))
+
+
+def read_eval_results(spark: SparkSession, path: str) -> DataFrame:
+    """(key, body): every JSON file of a folder by its name without extension; files that don't parse go; none is no error."""
+    rows = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("key"), F.col("value").alias("body"))
+    return rows.where(F.try_parse_json("body").isNotNull())
+
+
+def to_index_docs(passages: DataFrame, checklist: DataFrame) -> DataFrame:
+    """Rows of a search index: passages (id, text, article, regulation, lang, chunk_index, title) and checklist rows (id, text,
+    article, regulation, title), which are English and of chunk 0."""
+    names = ["id", "text", "article", "regulation", "lang", "chunk_index", "title"]
+    return passages.select(names).unionByName(checklist.withColumns({"lang": F.lit("en"), "chunk_index": F.lit(0)}).select(names))
+
+
+def rebuild(df: DataFrame, path: str, collections: list[str]) -> None:
+    """Replaces the partitions of those of these collections that df has rows of; all others stay as they are."""
+    df.where(F.col("collection").isin(*collections)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+
+
 def read_or(df: DataFrame, fallback: DataFrame) -> DataFrame:
     """df, or the fallback rows if df has none."""
     return df.unionByName(fallback.join(df.limit(1).select(F.lit(1).alias("_")), F.lit(True), "left_anti"))
@@ -52,6 +86,13 @@ def read_labelled(spark: SparkSession, path: str, schema: str = "text string, la
 
 
 def write_labelled(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Appends texts that the file doesn't hold yet, each once; or writes it anew."""
+    df = df.dropDuplicates(["text"])
+    if not overwrite:
+        try:
+            df = df.join(df.sparkSession.read.schema("text string").json(path).select(F.sha2("text", 256).alias("_k")).distinct(), F.sha2("text", 256) == F.col("_k"), "left_anti")
+        except AnalysisException:  # nothing there yet
+            pass
     df.write.mode("overwrite" if overwrite else "append").json(path)
 
 

@@ -1,17 +1,50 @@
 """The monitor and the audit as streams."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docaudit.operators import monitor
 
 
-def stream_stage_stats(events: DataFrame, length: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+def stream_stage_stats(events: DataFrame, length: str = "10 minutes", late: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Windowed statistics of an event stream; rows later than the watermark are dropped."""
-    return monitor.windowed_stats(events.withWatermark("ts", late), length)
+    return monitor.windowed_stats(events.withWatermark("ts", late), length, slide)
+
+
+def stream_sessions(events: DataFrame, gap: str, late: str = "1 hour", key: str = "user_id") -> DataFrame:
+    return monitor.session_stats(events.withWatermark("ts", late), gap, key)
+
+
+def stream_pair_audits(events: DataFrame, start: str, finish: str, key: str = "user_id") -> DataFrame:
+    """(key, seconds) for every finish: the time since the audit's start, 0 without one. Several audits of one key follow each
+    other; a start is held until its finish comes."""
+
+    def pair(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        began = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = []
+        for row in rows.itertuples():
+            at = row.ts.value // 1000
+            if row.event_type == start:
+                began = at if began is None else began
+            elif row.event_type == finish:
+                out.append(max(0.0, (at - began) / 1e6) if began is not None else 0.0)
+                began = None
+        if began is None:
+            state.remove()
+        else:
+            state.update((began,))
+        yield pd.DataFrame({key: [keys[0]] * len(out), "seconds": out})
+
+    kind = dict(events.dtypes)[key]
+    return events.groupBy(key).applyInPandasWithState(pair, f"{key} {kind}, seconds double", "began long", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_audit(docs: DataFrame, audit: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Audits each batch of new documents and appends the report rows; returns the query."""
-    return docs.writeStream.foreachBatch(lambda batch, _: audit(batch).write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Audits each batch of new documents; returns the query. Each batch's rows are a folder of their own, written anew if the
+    batch runs again, so a retry repeats nothing."""
+    write = lambda batch, number: audit(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

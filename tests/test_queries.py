@@ -1,16 +1,17 @@
 """Queries against their SQL in DuckDB, on small tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from docaudit.plans import catalog
 
 DIR = "/root/testdata/sf0.01"
-TABLES = "customer orders events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def cells(df):
-    one = lambda v: "" if v is None or v != v else str(v) if isinstance(v, (bool, str)) or type(v).__name__ == "bool_" else f"{float(v):.5f}"
+    one = lambda v: "" if pd.isna(v) else str(v) if isinstance(v, (bool, str)) or type(v).__name__ == "bool_" else f"{float(v):.5f}"
     return sorted(tuple(one(v) for v in r) for r in df[sorted(df)].itertuples(index=False))
 
 
