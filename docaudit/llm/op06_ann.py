@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, numbered, table
 
 #: Distinct vectors in a shard; out-degree; beam of searches while building and querying; nodes expanded at once; relaxation.
-SHARD, DEGREE, BEAM, WIDTH, ALPHA = 4000, 32, 80, 4, 1.2
+SHARD, DEGREE, BEAM, WIDTH, ALPHA = 16_000, 32, 80, 4, 1.2
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -104,66 +104,72 @@ def build_graph(x: np.ndarray, seed: int = 6) -> tuple[np.ndarray, int]:
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
-    """(vh, dim, embedding, ids): each distinct vector once, with the `keep` smallest ids that have it.
+    """(vh, dim, embedding, ids, rows): each distinct vector once, with the `keep` smallest ids that have it, and their rows.
 
     No result holds more of one vector's ids than that. Sorted partitions give up all but `keep` rows of a vector before
-    any shuffle by vector, so a vector that many rows share stays small."""
+    any shuffle by vector, so a vector that many rows share stays small. Vectors of one hash are told apart by themselves."""
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, n = None, 0
         for batch in batches:
             take = np.zeros(len(batch), bool)
-            for i, h in enumerate(batch["vh"].tolist()):
-                n = n + 1 if h == last else 1
-                last = h
+            for i, v in enumerate(batch["embedding"]):
+                v = v.tobytes()
+                n = n + 1 if v == last else 1
+                last = v
                 take[i] = n <= keep
             yield batch[take]
 
-    rows = rows.repartitionByRange("vh", "vec_id").sortWithinPartitions("vh", "vec_id").mapInPandas(heads, rows.schema)
-    rank = F.row_number().over(Window.partitionBy("vh").orderBy("vec_id"))
+    order = ["vh", "embedding", "vec_id", "row"]
+    rows = rows.repartitionByRange("vh", "vec_id").sortWithinPartitions(*order).mapInPandas(heads, rows.schema)
+    rank = F.row_number().over(Window.partitionBy("vh", "embedding").orderBy("vec_id", "row"))
     rows = rows.withColumn("r", rank).where(F.col("r") <= keep)
-    return rows.groupBy("vh", "dim").agg(F.first("embedding").alias("embedding"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    held = F.array_sort(F.collect_list(F.struct("vec_id", "row")))
+    rows = rows.groupBy("vh", "dim", "embedding").agg(held.alias("held"))
+    return rows.select("vh", "dim", "embedding", F.transform("held", lambda x: x["vec_id"]).alias("ids"), F.transform("held", lambda x: x["row"]).alias("rows"))
 
 
-def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding, dim, vh) of the vectors that take part."""
+def valid(vectors: DataFrame, row: str) -> DataFrame:
+    """(vec_id, row, embedding, dim, vh) of the vectors that take part."""
     x = F.col("embedding")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists(x, lambda c: c != 0)
-    rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = rows.withColumn("embedding", F.transform("embedding", lambda c: c.cast("double") + F.lit(0.0)))  # -0 becomes 0
+    rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite)
+    rows = rows.select("vec_id", F.col(row).alias("row"), F.transform("embedding", lambda c: c.cast("double") + F.lit(0.0)).alias("embedding"))  # -0 becomes 0
     return rows.withColumn("dim", F.size("embedding")).withColumn("vh", F.xxhash64("embedding"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, row: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query row, by Euclidean distance.
 
-    Distinct vectors are dealt by hash into shards of about SHARD; each shard builds its graph in one task (bounded by the
-    shard), is written with it, and is searched by every block of queries; each search gives k rows at most.
-    Vectors null, zero or with null or non-finite components, and null ids, take no part; rows with one vec_id count once (the
-    smallest vector); a vector is compared with those of its dimension; ties go to the smaller vec_id. Empty table: empty."""
-    spark = vectors.sparkSession
-    rows = distinct_vectors(valid(vectors), k + 1)
-    rows = cut(rows)
-    shards = max(1, -(-rows.count() // SHARD))
+    Distinct vectors are dealt by hash into shards of about `shard`; each shard builds its graph in one task (bounded by the
+    shard), is written with it, and is searched by every block of queries; each search gives k rows at most. The larger the
+    shards, the less of them a query looks at, the longer they take to build, and the wider a beam has to be.
+    row: a long column of both tables by which a query's own row is known: candidates with the query's value are its own.
+    Rows of one vec_id are all candidates, and all queries, each with its own list.
+    Vectors null, zero or with null or non-finite components, and null ids, take no part; a vector is compared with those of its
+    dimension; ties go to the smaller vec_id. Empty table: empty. Other columns: ignored."""
+    rows = cut(distinct_vectors(valid(vectors, row), k + 1))
+    shards = max(1, -(-rows.count() // shard))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(part["embedding"].tolist()).astype(float)
         graph, start = build_graph(x)
-        ids = [np.asarray(i, np.int64) for i in part["ids"]]
-        return pd.DataFrame([[int(part["shard"].iloc[0]), x.shape[1], len(x), start, x.tobytes(), graph.astype(np.int32).tobytes(), np.array([len(i) for i in ids], np.int64).tobytes(), np.concatenate(ids).tobytes()]], columns=["shard", "dim", "n", "start", "x", "graph", "copies", "ids"])
+        whole = lambda c: np.concatenate([np.asarray(i, np.int64) for i in part[c]]).tobytes()
+        copies = np.array([len(i) for i in part["ids"]], np.int64).tobytes()
+        return pd.DataFrame([[int(part["shard"].iloc[0]), x.shape[1], len(x), start, x.tobytes(), graph.astype(np.int32).tobytes(), copies, whole("ids"), whole("rows")]], columns=["shard", "dim", "n", "start", "x", "graph", "copies", "ids", "rows"])
 
-    index = rows.withColumn("shard", F.pmod("vh", F.lit(shards)).cast("int")).groupBy("shard", "dim").applyInPandas(build, "shard int, dim int, n int, start int, x binary, graph binary, copies binary, ids binary")
+    index = rows.withColumn("shard", F.pmod("vh", F.lit(shards)).cast("int")).groupBy("shard", "dim").applyInPandas(build, "shard int, dim int, n int, start int, x binary, graph binary, copies binary, ids binary, rows binary")
     index = cut(index)
-    asked = valid(queries).select("vec_id", "dim", "embedding")
+    asked = valid(queries, row).select("vec_id", "row", "dim", "embedding", F.monotonically_increasing_id().alias("key"))
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, part in batch.groupby("dim"):
                 for i in range(0, len(part), 256):
                     p = part.iloc[i : i + 256]
-                    yield pd.DataFrame({"dim": [dim], "q_ids": [p["vec_id"].to_numpy(np.int64).tobytes()], "q": [np.stack(p["embedding"].tolist()).astype(float).tobytes()]})
+                    yield pd.DataFrame({"dim": [dim], **{f"q_{c}": [p[c].to_numpy(np.int64).tobytes()] for c in ("vec_id", "row", "key")}, "q": [np.stack(p["embedding"].tolist()).astype(float).tobytes()]})
 
-    asked = asked.mapInPandas(blocks, "dim int, q_ids binary, q binary").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = cut(asked.mapInPandas(blocks, "dim int, q_vec_id binary, q_row binary, q_key binary, q binary")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -171,29 +177,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             for row in batch.itertuples():
                 x = np.frombuffer(row.x).reshape(row.n, row.dim)
                 graph = np.frombuffer(row.graph, np.int32).reshape(row.n, -1)
-                copies, ids = np.frombuffer(row.copies, np.int64), np.frombuffer(row.ids, np.int64)
+                copies, ids, own, qids, qrow, key = (np.frombuffer(b, np.int64) for b in (row.copies, row.ids, row.rows, row.q_vec_id, row.q_row, row.q_key))
                 first = np.cumsum(copies) - copies
-                q, qids = np.frombuffer(row.q).reshape(-1, row.dim), np.frombuffer(row.q_ids, np.int64)
+                q = np.frombuffer(row.q).reshape(-1, row.dim)
                 found, _ = beam_search(x, graph, row.start, q)
                 for i, f in enumerate(found):
                     f = f[f >= 0]
                     d = np.sqrt(((x[f] - q[i]) ** 2).sum(axis=1))
                     n = copies[f]
-                    near = ids[np.repeat(first[f] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    at = np.repeat(first[f] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     d = np.repeat(d, n)
-                    near, d = near[near != qids[i]], d[near != qids[i]]
+                    near, d = ids[at][own[at] != qrow[i]], d[own[at] != qrow[i]]
                     best = np.lexsort((near, d))[:k]
-                    out.append(pd.DataFrame({"query_id": qids[i], "vec_id": near[best], "score": d[best]}))
-            yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                    out.append(pd.DataFrame({"key": key[i], "query_id": qids[i], "vec_id": near[best], "score": d[best]}))
+            yield pd.concat(out) if out else pd.DataFrame({"key": [], "query_id": [], "vec_id": [], "score": []})
 
-    hits = index.join(asked, ["shard", "dim"]).mapInPandas(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")  # k rows a shard
+    hits = index.join(asked, ["shard", "dim"]).mapInPandas(search, "key long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("key").orderBy("score", "vec_id")  # k rows a shard
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_pruned_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+    vectors = numbered(table(spark, sf_dir, "embeddings"))
+    return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), row="_row")
 
 
 QUERIES = {"op6_pruned_graph_search": op6_pruned_graph_search}

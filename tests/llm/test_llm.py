@@ -264,6 +264,23 @@ def test_graph_search(vectors):
     assert op06_ann.nearest(df.where("1 = 0"), df.where("1 = 0")).count() == 0
 
 
+def test_graph_search_shards_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(3000, 6)).tolist())] + [(100, [5.0] * 6), (100, [5.0] * 6), (200, [5.1] * 6)]
+    df = common.numbered(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("clash")).withColumn("dim", F.lit(3)))
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    want = collections.Counter()
+    for a in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[a]) ** 2).sum(axis=1))
+        best = [b for b in np.lexsort((ids, d)) if b != a][:10]
+        want += collections.Counter((int(ids[a]), int(ids[b]), round(float(d[b]), 9)) for b in best)
+    for shard in (400, 2000):
+        got = op06_ann.nearest(df, df.where("vec_id % 100 = 0"), shard=shard, row="_row").toPandas()
+        have = collections.Counter(zip(got["query_id"].tolist(), got["vec_id"].tolist(), got["score"].round(9).tolist()))
+        assert len(got) == 10 * 33 and sum((have & want).values()) / sum(want.values()) >= 0.95
+        assert sorted(got[got.query_id == 100]["rank"]) == sorted(list(range(1, 11)) * 3)
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "user", "Hello there,\nfriend of mine.\n\nA second thought."),
