@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def train(df: DataFrame, label: str, features: int = 1 << 14, rounds: int = 20) -> PipelineModel:
     """A model over words: df has text and a label (string)."""
     labels = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(df)
-    words = RegexTokenizer(inputCol="text", outputCol="_words", pattern="\\\\W+")
+    words = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"\W+")
     stages = [labels, words, HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_label", predictionCol="_at", probabilityCol="_p", rawPredictionCol="_raw", maxIter=rounds, regParam=1e-3), IndexToString(inputCol="_at", outputCol="_name", labels=labels.labels)]
     return Pipeline(stages=stages).fit(df.where(F.col("text").isNotNull() & F.col(label).isNotNull()))
 

@@ -53,6 +53,19 @@ def evidence_map(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(n, "doc_id", "left").na.fill(0)
 
 
+def row_coverage(role: str, articles: str, gdpr_articles: str, terms: str, duties: str) -> Column:
+    """What evidence_map gives, from one row's columns: struct (total, fully, partial, missing, mean_coverage). terms: those found;
+    duties: the obligations, an array of structs (regulation, article_num, actor, evidence_required)."""
+    listed = lambda o: F.when(o["regulation"] == "gdpr", F.col(gdpr_articles)).otherwise(F.col(articles))
+    fits = lambda o: (F.coalesce(F.size(o["actor"]), F.lit(0)) <= 0) | F.array_contains(o["actor"], F.col(role))
+    due = F.filter(duties, lambda o: fits(o) & (o["article_num"].isNull() | F.coalesce(F.array_contains(listed(o), o["article_num"]), F.lit(False))))
+    share = lambda o: F.try_divide(F.size(F.filter(o["evidence_required"], lambda t: F.array_contains(F.col(terms), t))), F.size(o["evidence_required"]))
+    c = F.transform(due, lambda o: F.round(F.coalesce(share(o), F.lit(0.0)), 3))
+    n = lambda f: F.size(F.filter(c, f)).cast("long")
+    mean = F.coalesce(F.try_divide(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), F.size(c)), F.lit(0.0))
+    return F.struct(F.size(c).cast("long").alias("total"), n(lambda x: x >= 1).alias("fully"), n(lambda x: (x > 0) & (x < 1)).alias("partial"), n(lambda x: x == 0).alias("missing"), mean.alias("mean_coverage"))
+
+
 def coverage_by_regulation(items: DataFrame) -> DataFrame:
     """Counts, mean coverage in percent and missing artefacts of each document and regulation, of each document (regulation NULL)
     and of all (both NULL)."""

@@ -32,6 +32,17 @@ def actor_vote(docs: DataFrame, rules: Rules, order: list[str], default: str, en
     return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("actor", F.lit(default)).alias("actor"), F.coalesce("confidence", F.lit(0.3)).alias("confidence"))
 
 
+def most_hits(hits: Column, order: list[str], default: str) -> Column:
+    """The class that stands most often in an array of classes, ties by their order; the default if it is empty."""
+    n = [F.size(F.filter(hits, _equals(c))) for c in order]
+    most = F.greatest(*n) if len(n) > 1 else n[0]
+    return F.when(F.size(hits) == 0, default).otherwise(F.coalesce(*[F.when(k == most, F.lit(c)) for k, c in zip(n, order)]))
+
+
+def _equals(value: str):
+    return lambda x: x == value
+
+
 def apply_override(df: DataFrame, predictions: DataFrame, least: float = 0.8, known: tuple[str, ...] | None = None) -> DataFrame:
     """A prediction of enough confidence replaces the rule's actor; a label that isn't known becomes 'unknown'."""
     p = predictions.select("doc_id", F.col("label").alias("_label"), F.col("confidence").alias("_sure"))

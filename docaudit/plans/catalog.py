@@ -265,15 +265,21 @@ query("next_version", "SELECT lang, 'v' || (max(doc_id) + 1) AS next FROM docume
 
 
 def corpus_audit(t) -> DataFrame:
-    """Language, chunks, rule groups, decision and evidence coverage of each document."""
-    docs = t("documents")
-    chunks = segment.chunk_boundary(docs).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
-    groups = rules.category_matches(docs, PACK).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("category")), ",").alias("groups"))
-    base = docs.select("doc_id", tx.detect_lang(F.col("text")).alias("detected"), rules.tier_by_keywords(F.col("text"), ["queen"], ["data", "license"]).alias("tier"))
-    out = base.join(chunks, "doc_id", "left").join(groups, "doc_id", "left").join(evidence.evidence_map(docs, _items(t)), "doc_id")
-    return out.na.fill({"n_chunks": 0, "groups": ""})
-
-
-query("corpus_audit")(corpus_audit)
+    """Language, chunks, rule groups, decision and evidence coverage of each document: one scan, no shuffle. The obligations come
+    along as one row."""
+    docs, text = t("documents"), F.col("text")
+    duties = _obligations(docs.sparkSession).agg(F.collect_list(F.struct("regulation", "article_num", "actor", "evidence_required")).alias("duties"))
+    hits = F.array_compact(F.array(*[F.when(text.rlike(tx.FLAGS + p), F.lit(g)) for g, _, p, _ in PACK]))
+    terms = F.array_compact(F.array(*[F.when(text.rlike(tx.synonym_pattern(w)), F.lit(term)) for term, w in SYNONYMS.items()]))
+    one = docs.select("doc_id", tx.detect_lang(text).alias("detected"), rules.tier_by_keywords(text, ["queen"], ["data", "license"]).alias("tier"), segment.n_boundary_chunks(text).alias("n_chunks"), hits.alias("hits"), terms.alias("terms"), rules.applicability(text.contains("queen"), text.rlike(tx.FLAGS + PACK[0][2])).alias("articles"), rules.second_gate(text, [PACK[3][2]], {22: [PACK[2][2]]}, [5, 13]).alias("gdpr_articles"))
+    out = one.withColumn("role", rules.most_hits(F.col("hits"), ["g1", "g2", "g3"], "g2")).crossJoin(F.broadcast(duties))  # one row
+    return out.select("doc_id", "detected", "tier", "n_chunks", F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("groups"), F.inline(F.array(evidence.row_coverage("role", "articles", "gdpr_articles", "terms", "duties"))))
+
+
+query("corpus_audit", f"""WITH {ITEMS}, em AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE coverage >= 1) AS fully, count(*) FILTER (WHERE coverage > 0 AND coverage < 1) AS partial, count(*) FILTER (WHERE coverage = 0) AS missing, avg(coverage) AS c FROM items GROUP BY 1),
+ch AS (SELECT doc_id, count(*)::INT AS n_chunks FROM ({ORACLES["chunk_boundary"]}) GROUP BY 1), gr AS (SELECT doc_id, string_agg(DISTINCT rule_group, ',' ORDER BY rule_group) AS groups FROM hits GROUP BY 1)
+SELECT d.doc_id, detected, CASE WHEN contains(lower(text), 'queen') THEN 'prohibited' WHEN contains(lower(text), 'data') OR contains(lower(text), 'license') THEN 'high' ELSE 'minimal' END AS tier, n_chunks, coalesce(groups, '') AS groups,
+coalesce(total, 0) AS total, coalesce(fully, 0) AS fully, coalesce(partial, 0) AS partial, coalesce(missing, 0) AS missing, round(coalesce(c, 0), 6) AS mean_coverage
+FROM documents d JOIN ({ORACLES["lang_detect"]}) USING (doc_id) JOIN ch USING (doc_id) LEFT JOIN gr USING (doc_id) LEFT JOIN em USING (doc_id)""")(corpus_audit)
 
 from docaudit.plans import decisions, reports, tables  # noqa: E402, F401  (they add their queries)

@@ -33,7 +33,7 @@ def test_scalar_functions(spark):
 def test_rules(spark):
     d = docs(spark, "alpha beta gamma", "gamma", "nothing", "ALPHA gamma")
     got = {r.doc_id: (r.actor, round(r.confidence, 4)) for r in rules.actor_vote(d, PACK, ["a", "b"], "b").collect()}
-    assert got == {0: ("a", round(0.7 * 2 / 3 + 0.3 * 0.5, 4)), 1: ("b", 1.0), 2: ("b", 0.3), 3: ("a", 0.35)}
+    assert got == {0: ("a", 0.62), 1: ("b", 1.0), 2: ("b", 0.3), 3: ("a", 0.35)}
     assert {(r.doc_id, r.category, r.keywords) for r in rules.category_matches(d, PACK).collect()} == {(0, "a", "A,B"), (0, "b", "G"), (1, "b", "G"), (3, "a", "A"), (3, "b", "G")}
     assert [(r.doc_id, r.label) for r in rules.weak_label_binary(d, ["alpha", "beta"], ["gamma"], ("y", "n")).orderBy("doc_id").collect()] == [(0, "y"), (1, "n")]
 
@@ -46,12 +46,20 @@ def test_spans(spark):
 
 
 def test_sections_and_enumerations():
-    assert segment.sections("intro\n# One\nbody one\nArticle 2 Scope\nbody two") == [("", "intro"), ("# One", "body one"), ("Article 2 Scope", "body two")]
-    assert segment.sections("no heading") == [("", "no heading")]
-    assert segment.enumeration("The provider shall:\n(a) keep logs;\n(b) keep records;") == ["The provider shall: keep logs", "The provider shall: keep records"]
+    assert segment.sections("intro\n## One\nbody one\nArticle 2 Scope\nbody two") == [("", "intro"), ("One", "body one"), ("Article 2 Scope", "body two")]
+    assert segment.sections(" no heading ") == [("", " no heading ")]
+    assert segment.sections("1.2 Scope of it\na\n3. Terms\nb\nRISK MANAGEMENT:\nc\nArtikel 4\nd") == [("1.2 Scope of it", "a"), ("3. Terms", "b"), ("RISK MANAGEMENT", "c"), ("Artikel 4", "d")]
+    assert segment.sections("##### five marks\n1. Ti\nSection 3 of it\nAnnex II") == [("", "##### five marks\n1. Ti\nSection 3 of it\nAnnex II")]
+    assert segment.sections("# ARTICLES\nx") == [("ARTICLES", "x")]  # two forms at one place: the first form's title
+    assert segment.enumeration("Before.\nThe provider shall:\n(a) keep logs;\n(b) keep records; ") == ["The provider shall: (a) keep logs", "The provider shall: (b) keep records"]
+    assert segment.enumeration("Items:\n- one\n- two;\n12. three") == ["Items: - one", "Items: - two", "Items: 12. three"]
     assert segment.enumeration("One item:\n(a) only") == []
+    assert segment.enumeration("Words:\nshort. sentences\nof. words") == []  # a word with a full stop is no marker
     merged = segment.legal_chunks("# A\n" + "x" * 100 + "\n# B\nshort")
     assert [c["text"] for c in merged] == ["x" * 100 + " short"]
+    listed = segment.legal_chunks("# A\nThe provider shall:\n(a) " + "k" * 90 + ";\n(b) " + "r" * 90, propositions=True)
+    assert [(c["is_proposition"], c["section_heading"], c["text"][:24]) for c in listed] == [(True, "A", "The provider shall: (a) "), (True, "A", "The provider shall: (b) ")]
+    assert segment.legal_chunks("  \n ") == []
 
 
 @settings(max_examples=60, deadline=None)
@@ -62,9 +70,13 @@ def test_splitters_cover_the_text(text):
     assert all(len(c) <= 50 for c in segment.boundary_chunks(text, 50, 10))
 
 
-def test_boundary_tail():
-    chunks = segment.boundary_chunks("word " * 200, 512, 50)
-    assert len(chunks) == 4 and len(chunks[-1]) <= 50  # the tail that steps back from the last window
+def test_boundary_windows():
+    assert segment.boundary_chunks(" short ") == [" short "]  # as it stands
+    text = "a" * 300 + ". " + "b" * 300 + "\n" + "c" * 100
+    # the cut is after the mark and its space, at 302; 50 back, the second window reaches the end; its last 50 stand once more
+    assert segment.boundary_chunks(text) == ["a" * 300 + ".", "a" * 48 + ". " + "b" * 300 + "\n" + "c" * 100, "c" * 50]
+    # longer: the second window ends at the same mark, the third at the line's end
+    assert segment.boundary_chunks(text + "c" * 200) == ["a" * 300 + ".", "a" * 48 + ".", "b" * 300, "b" * 49 + "\n" + "c" * 300, "c" * 50]
 
 
 def test_evidence(spark):
@@ -100,6 +112,110 @@ def test_prep_and_registry(spark):
     assert {(r.type, r.retrain) for r in registry.should_retrain(models, data).collect()} == {("a", True), ("b", False), ("c", True)}
 
 
+def test_dedupe_and_fingerprint(spark):
+    d = spark.createDataFrame([(0, "b"), (1, "b"), (1, "a"), (1, "a"), (2, "a"), (3, None), (4, None)], "pos long, text string")
+    assert sorted((r.pos, r.text) for r in prep.dedupe_first(d, "pos").where("text is not null").collect()) == [(0, "b"), (1, "a")]
+    assert prep.dedupe_first(d, "pos").where("text is null").count() == 1
+    rows = spark.createDataFrame([("x", t) for t in "aac"] + [("y", t) for t in "bbc"] + [("z", t) for t in "caa"], "k string, text string")
+    prints = {r.k: r.print for r in prep.fingerprint(rows, ["k"]).collect()}
+    assert prints["x"] != prints["y"] and prints["x"] == prints["z"]
+
+
+def test_entities(spark):
+    d = docs(spark, "\u0130\u0130 license", "Act and act, CC BY license", None)
+    got = {tuple(r) for r in rules.annotate(d, [], [("L", "license"), ("M", "license"), ("R", "Act")], exact=("R",)).collect()}
+    assert got == {(0, 3, 10, "L"), (0, 3, 10, "M"), (1, 19, 26, "L"), (1, 19, 26, "M"), (1, 0, 3, "R")}
+    one = rules.annotate(d, [("W", r"CC BY license")], [("L", "license")], policy="leftmost").collect()
+    assert [(r.doc_id, r.start, r.label) for r in sorted(one)] == [(0, 3, "L"), (1, 13, "W")]
+    s = spark.createDataFrame([(1, 0, 5, "X"), (1, 1, 4, "Y")], "doc_id long, start int, end int, label string")
+    ends = spark.createDataFrame([(1, [(1, 4), (5, 9)])], "doc_id long, tokens array<struct<start:int,end:int>>")
+    assert [r.label for r in rules.resolve_spans(s, "longest", ends).collect()] == ["Y"]
+
+
+def test_classifier(spark):
+    from docaudit.operators import classify
+
+    rows = spark.createDataFrame([(i, f"alpha beta {i}" if i % 2 else f"gamma delta {i}", "a" if i % 2 else "g") for i in range(60)], "doc_id long, text string, truth string")
+    model = classify.train(rows.where("doc_id < 40"), "truth")
+    got = classify.predict(rows.where("doc_id >= 40").unionAll(spark.createDataFrame([(99, None, None)], rows.schema)), model).toPandas()
+    assert (got[got.doc_id < 99].label == got[got.doc_id < 99].truth).all() and got[got.doc_id == 99].label.item() == "unrelated"
+    assert set(got.backend) == {"logistic"}
+    both = classify.first_known(spark.createDataFrame([(1, "a", 0.9, "p")], "doc_id long, label string, confidence double, backend string"), spark.createDataFrame([(1, "b", 0.8, "s"), (2, "c", 0.7, "s")], "doc_id long, label string, confidence double, backend string"))
+    assert {(r.doc_id, r.label, r.backend) for r in both.collect()} == {(1, "a", "p"), (2, "c", "s")}
+
+
+def test_counters(spark):
+    from docaudit.operators import monitor
+
+    e = spark.createDataFrame([(i, k, float(v)) for i, (k, v) in enumerate([("s", 0)] * 4 + [("d", 2), ("d", 4), ("f", 6)])], "event_id long, event_type string, value double")
+    assert tuple(monitor.pipeline_stats(e, "s", "d", "f").first()) == (4, 2, 1, 4.0, 1, 50.0)
+    v = spark.createDataFrame([(0, "a", float(i % 10)) for i in range(100)] + [(0, "b", 7.0), (0, "c", None)], "event_id long, event_type string, value double")
+    assert {r.event_type: r.p95 for r in monitor.stage_stats(v).collect()} == {"a": 9.0, "b": 7.0, "c": None}
+
+
+def test_expand_templates(spark):
+    t = spark.createDataFrame([(0, [("The ", None), (None, "A"), (" does ", None), (None, "B")])], "template_id int, parts array<struct<text:string,slot:string>>")
+    w = spark.createDataFrame([("A", "cat"), ("A", "horse"), ("B", "it"), ("B", "that")], "slot string, word string")
+    rows = prep.expand_templates(t, w, 4, 1).collect()
+    assert {r.text for r in rows} == {f"The {a} does {b}" for a in ("cat", "horse") for b in ("it", "that")}
+    assert all(r.text[e.start : e.end] in ("cat", "horse", "it", "that") for r in rows for e in r.entities)
+    assert rows == prep.expand_templates(t, w, 4, 1).collect()
+
+
+def test_report_defaults(spark):
+    rows = spark.createDataFrame([(1, 9, [10], 3, False), (1, 10, [10], 0, False), (1, 11, [], 2, True), (1, 12, None, 2, False)], "doc_id long, article int, applicable array<int>, chunk_count int, failed boolean")
+    got = {r.article: (r.score, [g.severity for g in r.gaps] if r.gaps is not None else None) for r in report.article_defaults(rows).collect()}
+    assert got == {9: (100.0, []), 10: (0.0, ["critical"]), 11: (30.0, ["major"]), 12: (None, None)}
+
+
+def test_bm25_boost_and_parts(spark):
+    d = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(["risk log", "risk log", "data", "more words here", "other text", "nothing"])], "doc_id long, text string, lang string")
+    q = spark.createDataFrame([(1, "risk", "en")], "query_id long, text string, lang string")
+    got = retrieval.bm25_search(q, d, [], 5, k1=1.2, lucene=True, boost=("lang", 1.5)).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == [1, 0] and got[0].score > got[1].score
+    whole = retrieval.with_whole(d.withColumn("article", F.lit(9)), "article")
+    assert whole.where("article is null").count() == 6 and retrieval.bm25_stats(whole, ["article"])[0].count() == 2
+
+
+def test_readers_and_sinks(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "x.json").write_text('{"a": {"b": 2}}')
+    (tmp_path / "r" / "y.json").write_text("{broken")
+    assert [(r.key) for r in readers.read_eval_results(spark, str(tmp_path / "r")).collect()] == ["x"]
+    (tmp_path / "t.txt").write_text("DOMAIN: Risk\r\n=== EN ===\none\n=== FR ===\nune\n=== DE ===\neins\n")
+    assert sorted((r.lang, r.text) for r in readers.read_lang_sections(spark, str(tmp_path / "t.txt")).collect()) == [("de", "eins"), ("en", "one")]
+    assert [r.domain for r in readers.read_domain_labels(spark, str(tmp_path / "t.txt"), ["risk"]).collect()] == ["risk"]
+    assert readers.read_domain_labels(spark, str(tmp_path / "t.txt"), ["data"]).count() == 0
+    d = docs(spark, "a", "b", "a")
+    readers.write_labelled(d, str(tmp_path / "out"))
+    readers.write_labelled(docs(spark, "b", "c"), str(tmp_path / "out"))
+    assert sorted(r.text for r in readers.read_labelled(spark, str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    parts = spark.createDataFrame([("p", 1), ("q", 2)], "collection string, v int")
+    readers.rebuild(parts, str(tmp_path / "coll"), ["p", "q"])
+    readers.rebuild(spark.createDataFrame([("p", 3)], "collection string, v int"), str(tmp_path / "coll"), ["p"])
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "coll")).select("collection", "v").collect()) == [("p", 3), ("q", 2)]
+    assert readers.read_or(d.where("1 = 0"), d).count() == 3 and readers.read_or(d.limit(1), d).count() == 1
+    readers.write_reports(spark.createDataFrame([("complete", 1), ("open", 2)], "status string, n int"), str(tmp_path / "rep"))
+    assert spark.read.json(str(tmp_path / "rep")).count() == 1
+    html = spark.createDataFrame([(1, "<p>Article 1</p><script>x</script><div>one <b>two</b></div><p>Stop</p>")], "page_id long, html string")
+    assert [(r.title, r.text) for r in readers.extract_sections(html, "^Article", "^Stop").collect()] == [("Article 1", "one two")]
+
+
+def test_streams(spark, tmp_path):
+    rows = [(1, 1, "start", 0), (2, 2, "finish", 5), (3, 1, "finish", 9), (4, 1, "start", 10), (5, 1, "finish", 12)]
+    d = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, at long").withColumn("ts", F.timestamp_seconds("at"))
+    d.write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
+    q = stream.stream_pair_audits(events, "start", "finish").writeStream.format("memory").queryName("pairs").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.user_id, r.seconds) for r in spark.table("pairs").collect()) == [(1, 2.0), (1, 9.0), (2, 0.0)]
+    docs(spark, "a", "b").write.parquet(str(tmp_path / "docs"))
+    for _ in range(2):  # the second run finds nothing new
+        q = stream.stream_audit(spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "docs")), lambda b: b.select("doc_id", F.length("text").alias("n")), str(tmp_path / "audit"), str(tmp_path / "cp"))
+        q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "audit")).count() == 2
+
+
 def test_readers(spark, tmp_path):
     folder = tmp_path / "reg"
     folder.mkdir()
