@@ -32,7 +32,10 @@ def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[S
 
 @stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling selects."""
+    """Documents that the importance resampling selects.
+
+    Null or empty text: weighs as a text that tells nothing, between good and bad. Null doc_id and repeated rows: each row is
+    drawn for itself; rows alike stay or go together. No labels: all stay. Empty table: empty. Other columns go."""
     text_batches(spark)
     return op08_quality.resample(docs, table(spark, sf_dir, "labels"))[1].select(COLUMNS)
 
@@ -41,7 +44,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: not those without letters, nor those that fit no learned language.
 
-    Documents with letters but too few different trigrams to judge stay, whatever their cosine."""
+    Documents with letters but too few different trigrams to judge stay, whatever their cosine. Null or empty text has no letter
+    and goes. Null doc_id, null lang: judged like others. Repeated rows: each for itself. Ties between languages don't matter
+    here. Empty table: empty. Other columns go."""
     text_batches(spark)
     langs, prototypes = op02_langid.learn(docs.where(~op02_langid.held_out() & F.col("lang").isNotNull()))
     judged = op02_langid.predict(docs, langs, prototypes, evidence=True)
@@ -51,7 +56,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; those of which nothing else is left go."""
+    """Documents without their repeated lines; those of which nothing else is left go. n_chars counts the new text.
+
+    Null or empty text: nothing is dropped, so the row stays, a null text as empty. Rows with one doc_id are one document and null
+    is one doc_id, smaller than all. Empty table: empty. Other columns go."""
     text_batches(spark)
     kept = op10_lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
     return kept.where((F.col("n_dropped") == 0) | (F.regexp_replace("text", r"\s", "") != "")).select(COLUMNS)
@@ -62,7 +70,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more), the row of the smallest doc_id.
 
     Rows are judged one by one: of those with one doc_id, only those whose own text is a near copy go. A null doc_id counts
-    as the largest; rows of one doc_id in a group go by the hash of the text, then by their other columns. Texts without words stay."""
+    as the largest; rows of one doc_id in a group go by the hash of the text, then by their other columns; of rows alike in all,
+    one stays. Null texts and texts without words stay. Empty table: empty. Other columns go."""
     shared = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
     if not shared:  # doc_id tells rows apart, so no copy of the texts is written
         classes = cut(op09_jaccard.jaccard_classes(docs, k=5, num=80, den=100))
@@ -78,7 +87,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences: a row for each piece."""
+    """The sequences: a row for each piece.
+
+    Null or empty text: the end id alone. Null doc_id: kept. Repeated rows: each is packed. Empty table: empty. Other columns go."""
     text_batches(spark)
     import public_tokenizers
 
