@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, in_order, table
+from .common import broadcast_if_small, cut, in_order, partitions, table
 
 MARKS = r"^[ \t]*((?:>[ \t]*)+)"
 
@@ -68,6 +68,23 @@ def originals(messages: DataFrame, quoted: DataFrame) -> DataFrame:
     return found.select("at", "conv_id", "kind", F.explode(F.array_distinct(runs)).alias("hash"))
 
 
+def latest_before(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with source: of the rows of level 0 with the same keys and a smaller `at`, the largest `at`.
+
+    Rows are put in order of keys and `at` once, in ranges; what a key has in earlier ranges is carried over, one row a range, so
+    a key that many rows share is spread over tasks."""
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), *keys, "at").withColumn("_part", F.spark_partition_id())
+    dealt, own = cut(dealt), F.when(F.col("level") == 0, F.col("at"))
+    ends = dealt.groupBy("_part").agg(F.min(F.struct(*keys)).alias("_first"), F.max(F.struct(F.struct(*keys).alias("key"), F.coalesce(own, F.lit(-1)).alias("at"))).alias("_last"))
+    ends = cut(ends)
+    before = ends.select(F.col("_part").alias("_q"), F.col("_last.key").alias("_key"), F.col("_last.at").alias("_at")).where("_at >= 0")
+    carried = ends.join(F.broadcast(before), F.col("_first").eqNullSafe(F.col("_key")) & (F.col("_q") < F.col("_part"))).groupBy("_part").agg(F.max("_at").alias("_carried"), F.first("_first").alias("_first"))
+    earlier = Window.partitionBy("_part", *keys).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn("_here", F.max(own).over(earlier)).join(F.broadcast(carried), "_part", "left")  # a row for each range
+    source = F.greatest("_here", F.when(F.struct(*keys).eqNullSafe(F.col("_first")), F.col("_carried")))
+    return out.withColumn("source", source).drop("_part", "_here", "_first", "_carried")
+
+
 def link_quotes(conversations: DataFrame) -> DataFrame:
     """One row for each message: conv_id, position (from 0), turn, role, reply_to (position), n_quotes, n_linked, text, chat.
 
@@ -88,8 +105,7 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     held = originals(rows, quoted)
     names = ["conv_id", "kind", "hash", "at", "level", "passage"]
     both = quoted.select(names).union(held.withColumn("level", F.lit(0)).withColumn("passage", F.lit(0)).select(names))
-    earlier = Window.partitionBy("conv_id", "kind", "hash").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    linked = both.withColumn("source", F.max(F.when(F.col("level") == 0, F.col("at"))).over(earlier)).where("level > 0")
+    linked = latest_before(both, ["conv_id", "kind", "hash"]).where("level > 0")
     linked = linked.groupBy("at", "level", "passage").agg(F.max("source").alias("source"))
     answer = F.max(F.when(F.col("source").isNotNull(), F.struct((-F.col("level")).alias("outer"), "source"))).alias("answer")
     linked = linked.groupBy(F.col("at").alias("_at")).agg(F.count("*").alias("n_quotes"), F.count("source").alias("n_linked"), answer)

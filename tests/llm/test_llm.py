@@ -329,6 +329,14 @@ def brute_quotations(rows):
     return out
 
 
+def test_latest_before(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, 1, 1, 1, 2]), rnd.choice("aaab"), at, rnd.choice([0, 0, 1, 2])) for at in rnd.sample(range(400), 300)]
+    d = spark.createDataFrame(rows, "conv_id long, hash string, at long, level int").repartition(4)
+    got = {r["at"]: r["source"] for r in op07_chat.latest_before(d, ["conv_id", "hash"]).collect()}
+    assert got == {at: max((b for c2, h2, b, v in rows if (c2, h2) == (c, h) and v == 0 and b < at), default=None) for c, h, at, _ in rows}
+
+
 def test_quotations_of_parts(spark):
     rows = [
         "First line here\nsecond line here\nthird line. Fourth\nsentence ends. Last one!\n\nOther paragraph.",
@@ -554,3 +562,33 @@ def test_pipeline_near_duplicates(spark):
     d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
     got = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, d, "").collect()]
     assert collections.Counter(got) == collections.Counter(want)
+
+
+def test_pipeline_stages_edges(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in common.table(spark, sf, "documents").select(pipeline.COLUMNS).orderBy("doc_id").limit(30).collect()]
+    rows += [rows[0], (5000, None, None, None, None), (None, None, None, None, None), (5001, "", "en", "s", 0), (5002, "  \n ", "en", "s", 4), (None, rows[1][1], "en", "s", 9), (5003, "é" * 300_000 + " end", "fr", "s", 300_004)]
+    d = spark.createDataFrame(rows, DOCS).repartition(3)
+    clash = d.withColumns({c: F.lit("clash") for c in ("rank", "score", "n_lines", "lang_pred", "tie", "log_weight", "_row", "_gone", "cls", "component_id", "selected")})
+    for name, stage in pipeline.STAGES:
+        plain = [tuple(r) for r in stage(spark, d, sf).collect()]
+        assert plain and collections.Counter(tuple(r) for r in stage(spark, clash, sf).collect()) == collections.Counter(plain), name
+        assert stage(spark, d.where("1 = 0"), sf).count() == 0, name
+        if name == "language":
+            assert not {5000, 5001, 5002} & {r[0] for r in plain}
+        if name in ("lines", "near_duplicates"):
+            assert {5000, 5001, 5002} <= {r[0] for r in plain}
+        if name == "packing":
+            assert sum(r[2] for r in plain if r[0] == 5001) == 1 and sum(r[2] for r in plain if r[0] == 5003) > 2048
+
+
+def test_words_across_segments(monkeypatch):
+    from docaudit.llm import words
+
+    rnd = random.Random(6)
+    texts = [" ".join("".join(rnd.choice("abXY,.") for _ in range(rnd.randint(1, 40))) for _ in range(rnd.randint(0, 200))).encode() for _ in range(40)] + [b"", b" ", b"x" * 900]
+    whole = [x.tolist() for x in words.token_hashes(texts)]
+    monkeypatch.setattr(words, "SEGMENT", 64)  # texts of many segments
+    assert [x.tolist() for x in words.token_hashes(texts)] == whole
+    assert [len(x) for x in whole] == [len(t.split()) for t in texts]
