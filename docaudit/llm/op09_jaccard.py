@@ -275,9 +275,12 @@ def _forest(members: DataFrame, num: int, den: int, trusting: bool) -> DataFrame
                     take((f[:, None] + u).ravel(), (f[:, None] + v).ravel())
             for s, size in zip(starts[:-1][sizes > 32], sizes[sizes > 32]):
                 all_ = np.arange(s, s + size)
-                step = max(1, PAIRS // size)
+                step, at = max(1, PAIRS // size), -1
                 for i in range(0, size, step):
-                    roots = np.array([find(c) for c in comp[s : s + size].tolist()])  # members joined by now need no look
+                    if at != len(out):  # members joined by now need no look
+                        at, roots = len(out), np.array([find(c) for c in comp[s : s + size].tolist()])
+                        if (roots == roots[0]).all():
+                            break
                     u, v = np.nonzero(np.triu(roots[i : i + step, None] != roots[None, :], i + 1))
                     take(all_[i + u], all_[v])
             for row, x, y, cx, cy in doubtful:
@@ -404,3 +407,14 @@ def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_parity_sketch_join": op9_parity_sketch_join}
+#: All pairs that share a shingle, and all that each document reaches: brute force, for small tables.
+ORACLES = {
+    "op9_parity_sketch_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * i >= 85 * (n - i)), k AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT k.b, r.root FROM r JOIN k ON r.doc_id = k.a)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, min(root) AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY 1, 2"""
+}

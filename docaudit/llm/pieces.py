@@ -9,7 +9,7 @@ from .words import SEGMENT, hashed_runs
 
 BLOCK = 16 << 20
 #: Pieces that a worker remembers; about 50 bytes each. Beyond that it starts anew: frequent ones are soon learned again.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _FIRST = np.uint64(0xA5A5A5A55A5A5A5B)
 
 
