@@ -86,6 +86,13 @@ def discard(*tables: DataFrame) -> None:
         remove(t.sparkSession, [_folders.pop(t)])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or the like of it that no column of df has (Spark sets letter case aside)."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df, written, with a number for each row, `_row`: it tells rows apart that are alike in all columns."""
     return cut(df.drop("_row").withColumn("_row", F.monotonically_increasing_id()))

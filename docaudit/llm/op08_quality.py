@@ -120,7 +120,8 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, evidence:
     of both kinds, all); which ones, the draw decides.
     Returns (rows: doc_id, n_grams, log_weight, gumbel_key, tie, rank, selected), (docs that are selected).
     Null or empty text: weight 1, as a text that tells nothing. Null doc_id: noise of id 0. Repeated rows: each counts;
-    rows alike in key, tie and doc_id are selected together. Empty table: empty. Other columns pass through."""
+    rows alike in key, tie and doc_id are selected together. Empty table: empty. Other columns pass through; columns named
+    n_grams, log_weight, gumbel_key or tie are replaced."""
     ratio, known = fit(docs, labels)
     rows = cut(scored(docs.select("doc_id", "text"), ratio, evidence, seed).drop("text"))
     if k is None:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, mix, table
+from .common import cut, mix, table, unused
 
 NO_ID = -(1 << 63)  # stands for a null doc_id
 BLANK = b" \t\n\x0b\x0c\r"
@@ -162,6 +162,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bro
     n_lines or n_dropped are replaced. Empty table: empty."""
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
+    mark, ident = unused(docs, "_gone"), unused(docs, "_id")
     if min_docs < 2:
         raise ValueError("min_docs: two or more")
     keys = cut(repeated_lines(docs, min_chars))
@@ -217,10 +218,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bro
         rare = rare.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).select("shard", "run", *zero, *ARRAYS)
         both = lines.union(rare).repartition("shard", "run").sortWithinPartitions("shard", "run", F.col("sizes").isNull())
         gone = both.mapInArrow(answered, "doc_id long, h1 long, h2 long")
-        gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_gone")).withColumnRenamed("doc_id", "_id")  # a document's own lines
-        source = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(gone, "_id", "left").drop("_id")
+        gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias(mark)).withColumnRenamed("doc_id", ident)  # a document's own lines
+        source = docs.withColumn(ident, F.coalesce("doc_id", F.lit(NO_ID))).join(gone, ident, "left").drop(ident)
     else:
-        source = docs.withColumn("_gone", F.lit(None).cast("array<struct<h1:bigint,h2:bigint>>"))
+        source = docs.withColumn(mark, F.lit(None).cast("array<struct<h1:bigint,h2:bigint>>"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = Probe(held.value, n_frequent, min_docs)
@@ -230,7 +231,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bro
             keys = [(d, j, k) for d, own in enumerate(lines) for j, line in enumerate(own) if (k := line_key(line, min_chars))]
             h1, h2 = _halves([k for _, _, k in keys])
             drop = probe(h1, h2, np.array([ids[d] for d, _, _ in keys], np.int64))[1]
-            sent = [None if not g else {(x["h1"], x["h2"]) for x in g} for g in batch.column("_gone").to_pylist()]
+            sent = [None if not g else {(x["h1"], x["h2"]) for x in g} for g in batch.column(mark).to_pylist()]
             for at, (d, _, _) in enumerate(keys):
                 if sent[d] and (int(h1[at]), int(h2[at])) in sent[d]:
                     drop[at] = True
@@ -240,7 +241,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_bro
                 lines[d][j] = None
                 n_dropped[d] += 1
             kept = [t if not n else b"\n".join(x for x in own if x is not None) for t, own, n in zip(texts, lines, n_dropped)]
-            columns = {n: pa.array(kept, pa.binary()).cast(pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names if n != "_gone"}
+            columns = {n: pa.array(kept, pa.binary()).cast(pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names if n != mark}
             yield pa.RecordBatch.from_pydict(columns | {"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())})
 
     return source.mapInArrow(rewrite, T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))

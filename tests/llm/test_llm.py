@@ -485,8 +485,10 @@ def brute_lines(rows):
 def test_lines(spark, texts, most):
     extra = ["Ünïcode line of twenty", "Ünïcode line of twent"] * 4 + ["A line said over and over again\nA line said over and over again"] * 5 + ["the second long repeated line\nthe third long repeated line!\n"] * 4
     rows = list(enumerate(texts + extra))
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash"))
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in op10_lines.dedup_lines(d, max_broadcast=most, shard_keys=2).collect()}
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n_lines", "_gone", "_id", "shard", "run")})
+    found = op10_lines.dedup_lines(d, max_broadcast=most, shard_keys=2)
+    assert found.columns == ["doc_id", "text", "_gone", "_id", "shard", "run", "n_lines", "n_dropped"]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in found.where("_gone = 'clash' and _id = 'clash'").collect()}
     assert got == brute_lines(rows)
     assert op10_lines.dedup_lines(d.where("1 = 0")).count() == 0
 
