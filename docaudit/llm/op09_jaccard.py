@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,8 @@ from .words import encoded, ngrams, token_hashes
 
 #: Bits of one chunk of the pigeonhole sketch, and members of one block of a group.
 CHUNK, BLOCK = 4096, 4096
-#: Doubtful pairs between two components of a task that are verified before the next one is taken for granted.
+#: Doubtful pairs between two components of a task that are verified before the next one is taken for granted; eight times as
+#: many in every round after the first, so that few rounds do even where most pairs fail.
 RISKY = 64
 #: Pairs whose sketches are compared at once.
 PAIRS = 16_000
@@ -216,13 +218,14 @@ def _grouped(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.Data
 PLACE = ["grp", "size", "band", "lo", "hi"]
 
 
-def _forest(members: DataFrame, num: int, den: int, trusting: bool) -> DataFrame:
+def _forest(members: DataFrame, num: int, den: int, turn: int) -> DataFrame:
     """Edges to verify (PLACE, a, b, assumed): within each pair of blocks, pairs that the sizes and the sketches allow, that
     lie in different components so far and did not fail before (rows with a partner).
 
-    Of the pairs whose sketches leave no doubt (trusting: if there are any such), a spanning forest for the task: others are
-    left out because these edges are assumed to hold. Of the doubtful ones, up to RISKY between two components of that forest
-    leave without any assumption, and one more that is assumed."""
+    Of the pairs whose sketches leave no doubt (in the first round, turn 0, there are such), a spanning forest for the task:
+    others are left out because these edges are assumed to hold. Of the doubtful ones, up to RISKY (and more in later rounds)
+    between two components of that forest leave without any assumption, and one more that is assumed."""
+    tries = RISKY << min(3 * turn, 40)
 
     def close(i: np.ndarray, j: np.ndarray, sketch: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that may link, and whether their difference, as the sketch lets one estimate it, is well within the bound."""
@@ -231,7 +234,7 @@ def _forest(members: DataFrame, num: int, den: int, trusting: bool) -> DataFrame
         most = (den - num) * (n[i] + n[j]) // (den + num)
         may = (far <= most) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
         estimate = -bits / 2 * np.log(np.maximum(1 - 2 * far / bits, 1e-3))
-        return may, trusting & (estimate <= 0.85 * most)
+        return may, (turn == 0) & (estimate <= 0.85 * most)
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         root: dict[int, int] = {}
@@ -287,9 +290,9 @@ def _forest(members: DataFrame, num: int, den: int, trusting: bool) -> DataFrame
                 if (rx := find(cx)) != (ry := find(cy)):
                     between = (min(rx, ry), max(rx, ry))
                     tried[between] = tried.get(between, 0) + 1
-                    if tried[between] > RISKY:
+                    if tried[between] > tries:
                         root[between[1]] = between[0]
-                    out.append((row, x, y, tried[between] > RISKY))
+                    out.append((row, x, y, tried[between] > tries))
             return out
 
         for batch in _grouped(batches, PLACE):
@@ -333,7 +336,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     members = _groups(shared)
     discard(shared)
     links = failed = comp = suspects = None
-    while True:
+    for turn in count():
         if comp is None:
             now = members.withColumn("comp", F.col("cls"))
         else:
@@ -350,7 +353,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             none = {"block": F.lit(0), "comp": F.lit(0).cast("long"), "n_shingles": F.lit(0).cast("long"), "sketch": F.lit(b"")}  # no nulls: pandas would make longs of doubles
             now = now.unionByName(failed.withColumns(none))
         now = now.repartition(partitions(spark), *PLACE).sortWithinPartitions(*PLACE, "cls")
-        edges = cut(_forest(now, num, den, comp is None), narrow=True)
+        edges = cut(_forest(now, num, den, turn), narrow=True)
         if comp is not None and not edges.limit(1).count():
             break
         with batch_rows(spark, TEXT_ROWS):
