@@ -86,6 +86,17 @@ def discard(*tables: DataFrame) -> None:
         remove(t.sparkSession, [_folders.pop(t)])
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that cut makes inside are deleted at the end, but for those put into the list."""
+    paths: list[str] = []
+    kept: list[DataFrame] = []
+    with noting(paths):
+        yield kept
+    held = {_folders.get(t) for t in kept}
+    remove(spark, [p for p in paths if p not in held])
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, or the like of it that no column of df has (Spark sets letter case aside)."""
     while name.lower() in [c.lower() for c in df.columns]:
