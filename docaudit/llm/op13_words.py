@@ -16,7 +16,7 @@ from .common import NARROW_ROWS, TEXT_ROWS, batch_rows, cut, discard, mix, mix_i
 from .words import _BASE, _BYTE, _INVERSE, _power, _segments, encoded
 
 #: Bytes of text in a block: documents whose words are numbered together.
-BLOCK = 8 << 20
+BLOCK = 32 << 20
 #: Kinds of bytes: 0 white space, 1 ASCII letters and digits, 2 marks that no rule of the tokenizer joins to letters, 3 others.
 _KIND = np.full(256, 3, np.int8)
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -92,8 +92,8 @@ class Block:
         for k, own in enumerate(backs):
             times[back[bounds[k] : bounds[k + 1]]] += np.bincount(own, minlength=len(seen[k]))
         order = np.lexsort((distinct, -times))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.codes = [rank[back[bounds[k] : bounds[k + 1]]][own] for k, own in enumerate(backs)]
         part = np.searchsorted(bounds, at[order], side="right") - 1
         self.words = [first[k][0][first[k][1][j] : first[k][2][j]].decode() for k, j in zip(part.tolist(), (at[order] - bounds[part]).tolist())]
