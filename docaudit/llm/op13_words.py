@@ -25,8 +25,8 @@ _KIND[[ord(c) for c in '.,;:!?()"-/_=+*#%&$[]{}']] = 2
 _PLAIN = re.compile(r"[A-Za-z]+|[0-9]|[.,;:!?()\"\-/_=+*#%&$\[\]{}]+")
 #: Words that are gathered at once when a document's digests are made.
 STEP = 1 << 18
-#: Place of a document's rows in its block: after all words.
-LAST = (1 << 31) - 1
+#: Of many words of a block: numbers, counts of ids, ids, sizes of their pieces' text, that text; 32-bit numbers.
+WORDS = ["numbers", "counts", "ids", "sizes", "spelled"]
 
 
 def split_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,16 +225,41 @@ def decoded_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
     return whole.select("word", F.col("x.id").alias("ids"), F.array_join(F.transform("x", lambda x: F.concat(x["piece"], F.lit(" "))), "").alias("spelled"))
 
 
-def _joined(filled: DataFrame, coded: DataFrame) -> DataFrame:
+def packed_words(filled: DataFrame) -> DataFrame:
+    """Rows (block, number, ids, spelled), sorted by block in each task, as one row for each run: arrays of all its words."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            if not len(block):
+                continue
+            at = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+            out: list[tuple] = []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                part = batch.slice(a, b - a)
+                ids, text = part.column("ids"), part.column("spelled").cast(pa.large_binary())
+                ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+                raw = memoryview(text.buffers()[2] or b"")[ends[0] : ends[-1]]
+                arrays = part.column("number").to_numpy(), np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy(), np.diff(ends)
+                out.append((*(x.astype("<i4").tobytes() for x in arrays), bytes(raw)))
+            yield pa.RecordBatch.from_arrays([pa.array(block[at[:-1]]), *(pa.array(c, pa.binary()) for c in zip(*out))], ["block", *WORDS])
+
+    sorted_ = filled.select("block", "number", "ids", "spelled").sortWithinPartitions("block")
+    return sorted_.mapInArrow(pack, "block long" + "".join(f", {c} binary" for c in WORDS))
+
+
+def _joined(packed: DataFrame, coded: DataFrame) -> DataFrame:
     """Ids by position: within each block, the numbers of each document's words lead to ids and pieces; digests of both."""
 
     class Words:
-        """Ids and pieces of a block's words, end to end; parts: as read, counts and values of both."""
+        """Ids and pieces of a block's words, as read."""
 
-        def __init__(self, parts: list[tuple[np.ndarray, ...]]):
-            self.n, ids, self.size, self.raw = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 4
-            self.ids = ids.astype("<u4")
-            self.at, self.begin = np.cumsum(self.n) - self.n, np.cumsum(self.size) - self.size
+        def __init__(self, parts: list[tuple[bytes, ...]]):
+            number, self.n, self.ids, self.size = (np.frombuffer(b"".join(p[k] for p in parts), "<i4") for k in range(4))
+            self.raw = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
+            at, begin = np.cumsum(self.n, dtype=np.int64) - self.n, np.cumsum(self.size, dtype=np.int64) - self.size
+            by = np.argsort(number)
+            self.n, self.size, self.at, self.begin = self.n[by], self.size[by], at[by], begin[by]
 
         @staticmethod
         def _gather(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -255,18 +280,15 @@ def _joined(filled: DataFrame, coded: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, parts, words = None, [], None
         for batch in batches:
-            block, number = batch.column("block").to_numpy(), batch.column("number").to_numpy()
-            change = np.flatnonzero((block[1:] != block[:-1]) | ((number[1:] == LAST) != (number[:-1] == LAST))) + 1
+            block, is_doc = batch.column("block").to_numpy(), batch.column("document").to_numpy(zero_copy_only=False)
+            change = np.flatnonzero((block[1:] != block[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
             out: list[tuple] = []
             for a, b in zip([0, *change.tolist()], [*change.tolist(), len(block)]) if len(block) else ():
                 if block[a] != open_:
                     open_, parts, words = block[a], [], None
                 part = batch.slice(a, b - a)
-                if number[a] != LAST:
-                    own, text = part.column("ids"), part.column("spelled").cast(pa.large_binary())
-                    at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-                    raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-                    parts.append((np.diff(own.offsets.to_numpy()), own.flatten().to_numpy(), np.diff(at), raw.copy()))
+                if not is_doc[a]:
+                    parts += zip(*(part.column(c).to_pylist() for c in WORDS))
                     continue
                 words = words or Words(parts)
                 for doc, codes in zip(part.column("doc_id").to_pylist(), part.column("codes").to_pylist()):
@@ -278,9 +300,9 @@ def _joined(filled: DataFrame, coded: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     none = lambda t: F.lit(None).cast(t)
-    left = filled.select("block", "number", "ids", "spelled", none("long").alias("doc_id"), none("binary").alias("codes"))
-    right = coded.select("block", F.lit(LAST).alias("number"), none("array<int>").alias("ids"), none("string").alias("spelled"), "doc_id", "codes")
-    dealt = left.union(right).repartition(partitions(filled.sparkSession), "block").sortWithinPartitions("block", "number")
+    left = packed.select("block", F.lit(False).alias("document"), *WORDS, none("long").alias("doc_id"), none("binary").alias("codes"))
+    right = coded.select("block", F.lit(True).alias("document"), *(none("binary").alias(c) for c in WORDS), "doc_id", "codes")
+    dealt = left.union(right).repartition(partitions(packed.sparkSession), "block").sortWithinPartitions("block", "document")
     return dealt.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -300,10 +322,10 @@ def word_bpe_digests(docs: DataFrame, path: str, specials: bool = True) -> DataF
         lists = cut(word_lists(docs))
     with batch_rows(spark, NARROW_ROWS):
         words = decoded_words(encoded_words(lists.select("word").distinct(), path, specials), vocabulary(spark, path))
-        filled = cut(lists.join(words, "word").select("block", "number", "ids", "spelled"))
+        packed = cut(packed_words(lists.join(words, "word")))
     discard(lists)
     text_batches(spark)
-    return _joined(filled, coded_documents(docs))
+    return _joined(packed, coded_documents(docs))
 
 
 def op13_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
