@@ -25,8 +25,8 @@ _KIND[[ord(c) for c in '.,;:!?()"-/_=+*#%&$[]{}']] = 2
 _PLAIN = re.compile(r"[A-Za-z]+|[0-9]|[.,;:!?()\"\-/_=+*#%&$\[\]{}]+")
 #: Words that are gathered at once when a document's digests are made.
 STEP = 1 << 18
-#: Of many words of a block: numbers, counts of ids, ids, sizes of their pieces' text, that text; 32-bit numbers.
-WORDS = ["numbers", "counts", "ids", "sizes", "spelled"]
+#: Of many words of a block, as packed numbers: their own, the counts of their ids, the ids.
+WORDS = ["numbers", "counts", "ids"]
 
 
 def split_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,17 +216,15 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"id": np.array(list(pieces.values()), np.int32), "piece": list(pieces)}), "id int, piece string")
 
 
-def decoded_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(word, ids, spelled): the pieces of each word's ids, each followed by a space, by a join of ids with the vocabulary."""
-    each = words.select("word", F.posexplode_outer("ids").alias("pos", "id"))
-    named = each.join(F.broadcast(pieces), "id", "left")  # as many rows as the vocabulary has
-    whole = named.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "piece"))).alias("x"))
-    whole = whole.withColumn("x", F.filter("x", lambda x: x["pos"].isNotNull()))
-    return whole.select("word", F.col("x.id").alias("ids"), F.array_join(F.transform("x", lambda x: F.concat(x["piece"], F.lit(" "))), "").alias("spelled"))
+def block_pieces(filled: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(block, pieces): what the ids of each block's words stand for, by a join of its distinct ids with the vocabulary. As many
+    ids a block as the vocabulary has, at most."""
+    each = filled.select("block", F.explode("ids").alias("id")).distinct().join(F.broadcast(pieces), "id")  # rows: the vocabulary
+    return each.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
 
 
 def packed_words(filled: DataFrame) -> DataFrame:
-    """Rows (block, number, ids, spelled), sorted by block in each task, as one row for each run: arrays of all its words."""
+    """Rows (block, number, ids), sorted by block in each task, as one row for each run: arrays of all its words."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,29 +235,30 @@ def packed_words(filled: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 part = batch.slice(a, b - a)
-                ids, text = part.column("ids"), part.column("spelled").cast(pa.large_binary())
-                ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-                raw = memoryview(text.buffers()[2] or b"")[ends[0] : ends[-1]]
-                arrays = part.column("number").to_numpy(), np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy(), np.diff(ends)
-                out.append((*(x.astype("<i4").tobytes() for x in arrays), bytes(raw)))
+                arrays = part.column("number").to_numpy(), np.diff(part.column("ids").offsets.to_numpy()), part.column("ids").flatten().to_numpy()
+                out.append(tuple(numbers_packed(x.astype(np.int64)) for x in arrays))
             yield pa.RecordBatch.from_arrays([pa.array(block[at[:-1]]), *(pa.array(c, pa.binary()) for c in zip(*out))], ["block", *WORDS])
 
-    sorted_ = filled.select("block", "number", "ids", "spelled").sortWithinPartitions("block")
+    sorted_ = filled.select("block", "number", "ids").sortWithinPartitions("block")
     return sorted_.mapInArrow(pack, "block long" + "".join(f", {c} binary" for c in WORDS))
 
 
-def _joined(packed: DataFrame, coded: DataFrame) -> DataFrame:
-    """Ids by position: within each block, the numbers of each document's words lead to ids and pieces; digests of both."""
+def _joined(filled: DataFrame, pieces: DataFrame, coded: DataFrame) -> DataFrame:
+    """Ids by position: within each block, the numbers of each document's words lead to ids, these to pieces; digests of both."""
 
     class Words:
-        """Ids and pieces of a block's words, as read."""
-
-        def __init__(self, parts: list[tuple[bytes, ...]]):
-            number, self.n, self.ids, self.size = (np.frombuffer(b"".join(p[k] for p in parts), "<i4") for k in range(4))
-            self.raw = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
-            at, begin = np.cumsum(self.n, dtype=np.int64) - self.n, np.cumsum(self.size, dtype=np.int64) - self.size
-            by = np.argsort(number)
-            self.n, self.size, self.at, self.begin = self.n[by], self.size[by], at[by], begin[by]
+        """Ids of a block's words, and its pieces, each followed by a space."""
+
+        def __init__(self, parts: list[tuple[bytes, ...]], named: list[dict]):
+            number, self.n, self.ids = (np.concatenate([*(numbers_unpacked(p[k]) for p in parts), np.zeros(0, np.int64)]) for k in range(3))
+            at, by = np.cumsum(self.n) - self.n, np.argsort(number)
+            self.n, self.at, self.ids = self.n[by], at[by], self.ids.astype("<u4")
+            text = {x["id"]: x["piece"].encode() + b" " for x in named}
+            self.size = np.zeros(max(text, default=-1) + 1, np.int64)
+            self.size[list(text)] = list(map(len, text.values()))
+            self.begin = np.zeros(len(self.size), np.int64)
+            self.begin[list(text)] = np.cumsum(self.size[list(text)]) - self.size[list(text)]
+            self.raw = np.frombuffer(b"".join(text.values()), np.uint8)
 
         @staticmethod
         def _gather(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -270,27 +269,32 @@ def _joined(packed: DataFrame, coded: DataFrame) -> DataFrame:
             ids, text, held = hashlib.sha256(), hashlib.sha256(), b""
             for a in range(0, len(codes), STEP):
                 c = codes[a : a + STEP]
-                ids.update(self._gather(self.ids, self.at[c], self.n[c]).tobytes())
+                own = self._gather(self.ids, self.at[c], self.n[c])
+                ids.update(own.tobytes())
                 text.update(held)
-                held = self._gather(self.raw, self.begin[c], self.size[c]).tobytes()
+                held = self._gather(self.raw, self.begin[own], self.size[own]).tobytes()
                 text.update(held[:-1])
                 held = held[-1:]
             return int(self.n[codes].sum()), ids.hexdigest(), text.hexdigest()  # the last space goes
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, parts, words = None, [], None
+        open_, parts, named, words = None, [], [], None
         for batch in batches:
             block, is_doc = batch.column("block").to_numpy(), batch.column("document").to_numpy(zero_copy_only=False)
             change = np.flatnonzero((block[1:] != block[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
             out: list[tuple] = []
             for a, b in zip([0, *change.tolist()], [*change.tolist(), len(block)]) if len(block) else ():
                 if block[a] != open_:
-                    open_, parts, words = block[a], [], None
+                    open_, parts, named, words = block[a], [], [], None
                 part = batch.slice(a, b - a)
                 if not is_doc[a]:
-                    parts += zip(*(part.column(c).to_pylist() for c in WORDS))
+                    for *own, pieces_ in zip(*(part.column(c).to_pylist() for c in (*WORDS, "pieces"))):
+                        if pieces_ is None:
+                            parts.append(tuple(own))
+                        else:
+                            named += pieces_
                     continue
-                words = words or Words(parts)
+                words = words or Words(parts, named)
                 for doc, codes in zip(part.column("doc_id").to_pylist(), part.column("codes").to_pylist()):
                     x = numbers_unpacked(codes)
                     if len(x) and x.max() >= len(words.n):
@@ -300,18 +304,24 @@ def _joined(packed: DataFrame, coded: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     none = lambda t: F.lit(None).cast(t)
-    left = packed.select("block", F.lit(False).alias("document"), *WORDS, none("long").alias("doc_id"), none("binary").alias("codes"))
-    right = coded.select("block", F.lit(True).alias("document"), *(none("binary").alias(c) for c in WORDS), "doc_id", "codes")
-    dealt = left.union(right).repartition(partitions(packed.sparkSession), "block").sortWithinPartitions("block", "document")
+    names = ["block", "document", *WORDS, "pieces", "doc_id", "codes"]
+    kinds = ["long", "boolean", *["binary"] * 3, "array<struct<id: int, piece: string>>", "long", "binary"]
+
+    def rows(df: DataFrame, document: bool) -> DataFrame:
+        own = df.withColumn("document", F.lit(document))
+        return own.select([(F.col(c) if c in own.columns else none(t)).alias(c) for c, t in zip(names, kinds)])
+
+    every = rows(packed_words(filled), False).union(rows(block_pieces(filled, pieces), False)).union(rows(coded, True))
+    dealt = every.repartition(partitions(filled.sparkSession), "block").sortWithinPartitions("block", "document")
     return dealt.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def word_bpe_digests(docs: DataFrame, path: str, specials: bool = True) -> DataFrame:
     """Encodes every whole text and decodes it again: n_tokens, ids_sha256, decoded_sha256 for each doc_id.
 
-    Texts are split into words, block by block (BLOCK bytes). The table of all distinct words is encoded, each word once, and
-    decoded by a join of its ids with the vocabulary; ids and pieces go back to the blocks that hold the word, and by the words'
-    positions into the documents. A block is the largest thing that one task holds; a frequent word is one row a block.
+    Texts are split into words, block by block (BLOCK bytes). The table of all distinct words is encoded, each word once; ids
+    go back to the blocks that hold the word, and by the words' positions into the documents. The ids of each block are joined
+    with the vocabulary, and its documents are decoded by those pieces. A block is the largest thing that one task holds; a frequent word is one row a block.
     specials: a special token's own string in a text is that token, as the tokenizers library has it by default.
     docs is read twice and has to give the same rows in the same partitions (a stored table does; else cut it first): a block
     that differs is an error, never another result.
@@ -321,11 +331,11 @@ def word_bpe_digests(docs: DataFrame, path: str, specials: bool = True) -> DataF
     with batch_rows(spark, TEXT_ROWS):
         lists = cut(word_lists(docs))
     with batch_rows(spark, NARROW_ROWS):
-        words = decoded_words(encoded_words(lists.select("word").distinct(), path, specials), vocabulary(spark, path))
-        packed = cut(packed_words(lists.join(words, "word")))
+        words = encoded_words(lists.select("word").distinct(), path, specials)
+        filled = cut(lists.join(words, "word").select("block", "number", "ids"))
     discard(lists)
     text_batches(spark)
-    return _joined(packed, coded_documents(docs))
+    return _joined(filled, vocabulary(spark, path), coded_documents(docs))
 
 
 def op13_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

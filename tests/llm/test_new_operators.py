@@ -237,5 +237,6 @@ def test_each_distinct_word_is_encoded_once(spark):
     words = spark.createDataFrame([(f"w{i % 50}",) for i in range(1000)], "word string")
     seen = op13_words.encoded_words(words.distinct(), P.path("word_bpe_49k.json"))
     assert seen.count() == 50
-    spelled = {r.word: r.spelled for r in op13_words.decoded_words(seen, op13_words.vocabulary(spark, P.path("word_bpe_49k.json"))).collect()}
-    assert spelled["w7"] == "w</w> 7</w> "
+    ids = {r.word: r.ids for r in seen.collect()}
+    pieces = op13_words.block_pieces(seen.withColumn("block", F.lit(1)), op13_words.vocabulary(spark, P.path("word_bpe_49k.json"))).first().pieces
+    assert [dict(map(tuple, pieces))[i] for i in ids["w7"]] == ["w</w>", "7</w>"] and len(pieces) == len({i for x in ids.values() for i in x})
