@@ -5,8 +5,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.functions.plan import broadcast_if_small
 from docaudit.functions.text import tokens
+from docaudit.operators.postings import bm25_search, counted, term_statistics
 
 
 def with_whole(passages: DataFrame, part: str) -> DataFrame:
@@ -15,60 +15,9 @@ def with_whole(passages: DataFrame, part: str) -> DataFrame:
 
 
 def bm25_stats(passages: DataFrame, part: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Partition sizes (part, n, avgdl) and terms (part, term, df, idf, lucene_idf). Terms are counted once a passage before any
-    shuffle, so what moves is a task's vocabulary.
-
-    idf = ln(N - df + .5) - ln(df + .5); negative ones become a quarter of the partition's mean idf, taken before that."""
-    words = passages.select(*part, tokens(F.col("text")).alias("words"))
-    sizes = words.groupBy(*part).agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    df = words.select(*part, F.explode(F.array_distinct("words")).alias("term")).groupBy(*part, "term").agg(F.count("*").alias("df"))
-    df = _in_part(df, sizes, part).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    raw = _in_part(df, df.groupBy(*part).agg(F.avg("raw").alias("mean_idf")), part)
-    idf = F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw"))
-    return sizes, raw.select(*part, "term", "df", idf.alias("idf"), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("lucene_idf"))
-
-
-def _in_part(df: DataFrame, small: DataFrame, part: list[str]) -> DataFrame:
-    """df joined with a row for each partition; partitions compare NULL as equal. Without partitions, with one row."""
-    small = small.select(*[F.col(c).alias(f"_{c}") if c in part else F.col(c) for c in small.columns])
-    on = F.lit(True)
-    for c in part:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return df.join(small if part else F.broadcast(small), on).drop(*[f"_{c}" for c in part])
-
-
-def bm25_search(queries: DataFrame, passages: DataFrame, part: list[str], k: int, k1: float = 1.5, b: float = 0.75, lucene: bool = False, boost: tuple[str, float] | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank) of the k best passages; repeated query words count again.
-
-    Passages are dealt by id once; counting their words, matching and adding up stay where they are. boost: a column that both
-    tables have, and how much a passage gains (times the idf of that value) if it agrees with the query's."""
-    sizes, terms = bm25_stats(passages, part)
-    lang, asked = ([F.col(boost[0])], ["_lang"]) if boost else ([], [])
-    q = queries.select("query_id", *part, *[c.alias("_lang") for c in lang], F.explode(tokens(F.col("text"))).alias("term"))
-    q = q.groupBy("query_id", *part, *asked, "term").agg(F.count("*").alias("qtf"))
-    wanted = broadcast_if_small(q.select("term").distinct())
-    found = passages.select("doc_id", *part, *lang, tokens(F.col("text")).alias("words")).repartition("doc_id")
-    found = found.withColumn("dl", F.size("words")).select(*[c for c in found.columns if c != "words"], "dl", F.explode("words").alias("term")).join(wanted, "term", "left_semi")
-    found = found.groupBy("doc_id", *part, *lang, "dl", "term").agg(F.count("*").alias("tf"))
-    same = F.col("q.term") == F.col("t.term")
-    for c in part:
-        same = same & F.col(f"q.{c}").eqNullSafe(F.col(f"t.{c}"))
-    q = q.alias("q").join(terms.alias("t"), same).select("q.*", F.col("t.lucene_idf" if lucene else "t.idf").alias("idf"))
-    on = F.col("p.term") == F.col("q.term")
-    for c in part:
-        on = on & F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}"))
-    hits = found.alias("p").join(broadcast_if_small(q).alias("q"), on).select("p.*", "q.query_id", "q.qtf", "q.idf", *[F.col(f"q.{c}") for c in asked])
-    hits = _in_part(hits, sizes, part)
-    tf = F.col("tf") * ((k1 + 1) if not lucene else 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("doc_id", "query_id", *lang, *asked).agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
-    if boost:
-        total = passages.agg(F.count("*").alias("_n"))
-        by = passages.groupBy(F.col(boost[0]).alias("_value")).agg(F.count("*").alias("_df")).crossJoin(F.broadcast(total))  # one row
-        gain = by.select("_value", (boost[1] * F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))).alias("gain"))
-        scored = scored.join(gain, (F.col(boost[0]) == F.col("_value")) & (F.col("_lang") == F.col("_value")), "left").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0.0)))
-    scored = scored.select("query_id", "doc_id", F.round("score", 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= k) & (F.col("score") > 0))
+    """Partition sizes (part, n, avgdl) and terms (part, term, df, idf, lucene_idf)."""
+    sizes, postings = counted(passages, part)
+    return sizes, term_statistics(sizes, postings, part).drop("top")
 
 
 QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
@@ -145,7 +94,7 @@ def hybrid_retrieve(chunks: DataFrame, passages: DataFrame, applicable: DataFram
     regulation limits the vector search before, and the word search after its first `candidates`; passages without one don't match."""
     open_ = gate_chunks(chunks, applicable)
     both = with_whole(passages, "article")
-    words = bm25_search(open_.select("query_id", "article", "text"), both, ["article"], candidates).select("query_id", "doc_id", F.lit(0.0).alias("distance"), F.col("rank").alias("place"))
+    words = bm25_search(open_.select("query_id", "article", "text"), passages, ["article"], candidates, whole=True).select("query_id", "doc_id", F.lit(0.0).alias("distance"), F.col("rank").alias("place"))
     near = both if regulation is None else both.where(F.col("regulation") == regulation)
     vectors = knn(open_.select(F.col("query_id").alias("vec_id"), "article", "embedding"), near.select((-1 - F.col("doc_id")).alias("vec_id"), "article", "embedding"), candidates, ["article"])
     vectors = vectors.select("query_id", (-1 - F.col("vec_id")).alias("doc_id"), "distance", F.col("rank").alias("place"))
@@ -188,9 +137,13 @@ def overlap_rerank(hits: DataFrame, k: int) -> DataFrame:
 
 
 def select_query_chunks(chunks: DataFrame, targets: DataFrame, n: int = 3) -> DataFrame:
-    """The n chunks of each group nearest to its target vector, or all in order if there are no more than n."""
-    scored = chunks.join(targets, "label").withColumn("score", F.round(F.aggregate(F.zip_with("embedding", "target", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x), 6))
-    best = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")
+    """(label, vec_id, score, rank): of each group (label) the n chunks nearest to its target vector by inner product. A group of
+    no more than n keeps all in document order (vec_id), and one without a target (or with a null one) its first n; score is
+    null where nothing was scored."""
+    both = chunks.join(targets, "label", "left")
+    scored = both.withColumn("score", F.round(F.aggregate(F.zip_with("embedding", "target", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x), 6))
+    scored = scored.withColumn("score", F.when((F.count("*").over(Window.partitionBy("label")) > n) & F.col("target").isNotNull(), F.col("score")))
+    best = Window.partitionBy("label").orderBy(F.desc_nulls_last("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select("label", "vec_id", "score", "rank")
 
 

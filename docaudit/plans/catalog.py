@@ -185,7 +185,8 @@ qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY ALL), sz AS (SELEC
 po AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM p) GROUP BY ALL),
 raw AS MATERIALIZED (SELECT term, count(*) AS df, any_value(n) AS n, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM po, sz GROUP BY term),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf, ln(1 + (n - df + 0.5) / (df + 0.5)) AS lidf FROM raw)"""
-query("bm25_stats", f"WITH {_BM} SELECT term, df, round(idf, 6) AS idf FROM idf")(lambda t: retrieval.bm25_stats(t("documents"), [])[1].drop("lucene_idf"))
+query("bm25_stats", f"""WITH w AS (SELECT unnest(list_distinct({TOKENS.format("text")})) AS term FROM documents), d AS MATERIALIZED (SELECT term, count(*) AS df FROM w GROUP BY 1), r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, (SELECT count(*) AS n FROM documents))
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END, 6) AS idf FROM r""")(lambda t: retrieval.bm25_stats(t("documents"), [])[1].drop("lucene_idf"))
 _TOP = "SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10 AND score > 0"
 _bq = lambda t: t("benchmark").select(F.col("item_id").alias("query_id"), "text")
 query("bm25_top10", f"WITH {_BM}, s AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN idf USING (term) JOIN po USING (term), sz GROUP BY 1, 2) {_TOP}")(lambda t: retrieval.bm25_search(_bq(t), t("documents"), [], 10))
@@ -201,9 +202,10 @@ query("recall_mrr", f"""WITH {_KNN.replace("q.label = v.label AND ", "")}, h AS
 SELECT round(avg(coalesce((f <= 1)::INT, 0)), 6) AS recall_1, round(avg(coalesce((f <= 3)::INT, 0)), 6) AS recall_3, round(avg(coalesce((f <= 5)::INT, 0)), 6) AS recall_5, round(avg(coalesce(1.0 / f, 0)), 6) AS mrr FROM h""")(
     lambda t: evaluate.recall_mrr(retrieval.knn(t("embeddings").where("vec_id % 100 = 0"), t("embeddings"), 10).join(t("embeddings").select("vec_id", "label"), "vec_id").join(t("embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").withColumn("relevant", F.col("label") == F.col("ql")), [1, 3, 5])
 )
-query("query_chunk_select", """WITH s AS (SELECT e.label, vec_id, round(list_inner_product(embedding::DOUBLE[], target::DOUBLE[]), 6) AS score FROM embeddings e JOIN (SELECT label, min_by(embedding, vec_id) AS target FROM embeddings GROUP BY 1) c USING (label))
-SELECT label, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 3""")(
-    lambda t: retrieval.select_query_chunks(t("embeddings"), t("embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("target")))
+query("query_chunk_select", """WITH c AS (SELECT *, CASE WHEN vec_id < 4 THEN 100 WHEN vec_id < 12 THEN 101 ELSE label END AS grp FROM embeddings), t AS (SELECT grp, min_by(embedding, vec_id) AS target FROM c WHERE grp <> 101 GROUP BY 1),
+s AS (SELECT grp, vec_id, CASE WHEN target IS NOT NULL AND count(*) OVER (PARTITION BY grp) > 4 THEN round(list_inner_product(embedding::DOUBLE[], target::DOUBLE[]), 6) END AS score FROM c LEFT JOIN t USING (grp))
+SELECT grp AS label, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC NULLS LAST, vec_id) AS rank FROM s) WHERE rank <= 4""")(
+    lambda t: (lambda c: retrieval.select_query_chunks(c, c.where("label <> 101").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("target")), 4))(t("embeddings").withColumn("label", F.expr("case when vec_id < 4 then 100 when vec_id < 12 then 101 else label end")))
 )
 query("top_by_length", "SELECT conv_id, turn, rank::INT AS rank FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS rank FROM conversations) WHERE rank <= 3")(
     lambda t: retrieval.top_by(t("conversations"), "conv_id", [F.desc(F.length("text")), "turn"], 3).select("conv_id", "turn", "rank")
