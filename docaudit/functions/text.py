@@ -15,8 +15,8 @@ def strip(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-cased words; everything that is neither word nor space separates."""
-    return F.filter(F.split(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", " "), r"(?U)\s+"), lambda t: t != "")
+    """Lower-cased words; everything that is no word character separates."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
 
 
 def _among(listed: tuple[str, ...]):

@@ -11,8 +11,8 @@ from docaudit.functions.text import tokens
 
 #: Postings of one block at about most, and steps of impact by which a term's postings are told apart.
 BLOCK, LEVELS = 4096, 8
-#: Postings, times k, whose partial scores give a query's first bound.
-SEED = 100
+#: Steps of impact, from a term's largest down, whose partial scores give a query's first bound.
+SEED = 2
 #: Terms of a search up to which a stored index is asked for them by name; beyond, buckets are pruned by a join alone.
 TERMS = 5_000
 #: Scores are compared as rounded to six digits; a bound has to be wrong by more than that.
@@ -35,15 +35,19 @@ class Index:
 
 def in_part(df: DataFrame, small: DataFrame, part: list[str]) -> DataFrame:
     """df joined with a row for each partition; partitions compare NULL as equal. Without partitions, with one row."""
+    if not part:
+        return df.join(F.broadcast(small))
     small = small.select(*[F.col(c).alias(f"_{c}") if c in part else F.col(c) for c in small.columns])
     on = F.lit(True)
     for c in part:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return df.join(small if part else F.broadcast(small), on).drop(*[f"_{c}" for c in part])
+    return df.join(small, on).drop(*[f"_{c}" for c in part])
 
 
 def _matched(left: DataFrame, right: DataFrame, keys: list[str], part: list[str], how: str = "inner") -> DataFrame:
     """Joined by keys, and by part with NULL equal; right's copies of these columns go."""
+    if not part:
+        return left.join(right, keys, how)
     right = right.select(*[F.col(c).alias(f"_{c}") if c in keys or c in part else F.col(c) for c in right.columns])
     on = F.lit(True)
     for c in keys:
@@ -132,7 +136,7 @@ def search(index: Index, queries: DataFrame, k: int, lucene: bool = False, gains
     """(query_id, doc_id, score, rank) of the k best passages for queries (query_id, part, text); repeated query words count
     again; ties by doc_id; scores over 0. Exactly what scoring all passages gives.
 
-    First the rarest and weightiest words of a query alone give a bound: its k-th partial score. Words whose largest
+    First the blocks of largest impact alone (the top steps of each word) give a query's bound: its k-th partial score. Words whose largest
     contributions together stay below the bound can't lift a passage into the result: only passages of the other words are
     looked at, of those only blocks whose largest impact may still reach the bound, and then only the passages that may do
     so are looked up for the words left out. So a stop word makes no pair of every query and passage.
@@ -152,8 +156,7 @@ def search(index: Index, queries: DataFrame, k: int, lucene: bool = False, gains
     everything = Window.partitionBy("query_id")  # a query's words
     most = F.col("w") * F.col("top")
     q = q.withColumn("most", most).withColumn("total", F.sum("most").over(everything)).withColumn("signed", F.min("w").over(everything) < 0)
-    q = q.withColumn("before", F.sum("df").over(everything.orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, -1)))
-    q = q.drop("qtf", "idf", "lucene_idf", "top").persist(StorageLevel.MEMORY_AND_DISK)
+    q = q.withColumn("step", F.floor(F.col("top") * LEVELS) - (SEED - 1)).drop("qtf", "idf", "lucene_idf", "top", "df").persist(StorageLevel.MEMORY_AND_DISK)
 
     def hits(asked: DataFrame, where: Column | None = None, only: DataFrame | None = None) -> DataFrame:
         found = _matched(asked, blocks, ["term"], part)
@@ -162,8 +165,8 @@ def search(index: Index, queries: DataFrame, k: int, lucene: bool = False, gains
             found = found.join(only, "doc_id", "left_semi")
         return in_part(found, index.sizes, part).withColumn("part_score", F.col("w") * _impact(index.k1, index.b))
 
-    seeds = q.where(~F.col("signed") & (F.coalesce("before", F.lit(0)) < SEED * k)).select("query_id", *part, "term", "w")
-    first = hits(seeds).groupBy(key).agg(F.sum("part_score").alias("s"))
+    seeds = q.where(~F.col("signed")).select("query_id", *part, "term", "w", "step")
+    first = hits(seeds, F.col("top") * LEVELS >= F.col("step")).groupBy(key).agg(F.sum("part_score").alias("s"))
     at = Window.partitionBy("query_id").orderBy(F.desc("s"))
     bounds = first.withColumn("r", F.row_number().over(at)).where(F.col("r") == k).select("query_id", F.col("s").alias("bound"))
     q = q.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))) - SLACK)
