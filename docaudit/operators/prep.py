@@ -1,6 +1,6 @@
 """Training data: skips, copies, splits, weights, quotas."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.operators.monitor import value_at
@@ -52,9 +52,16 @@ def label_quota(df: DataFrame, by: list[str], n: int, order: str, least: int = 2
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("rank") <= n)
 
 
+def row_print(df: DataFrame) -> Column:
+    """64 bits of each row's content: all columns by name, each with its length, so no two rows read alike."""
+    text = {c: F.col(f"`{c}`").cast("string") if "<" not in kind else F.to_json(F.struct(F.col(f"`{c}`"))) for c, kind in df.dtypes}
+    parts = [F.coalesce(F.concat(F.octet_length(text[c]), F.lit(":"), text[c]), F.lit("n")) for c in sorted(text)]
+    return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 16), 16, 10).cast("decimal(20,0)")
+
+
 def fingerprint(df: DataFrame, by: list[str]) -> DataFrame:
-    """Order-free fingerprint of rows: their number and the sum of their hashes, so rows that stand twice count twice."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5("text"), 1, 12), 16, 10).cast("long")).cast("decimal(38,0)").alias("print"))
+    """Order-free fingerprint of whole rows: their number and the sum of their prints, so rows that stand twice count twice."""
+    return df.withColumn("_print", row_print(df)).groupBy(*by).agg(F.count("*").alias("n"), F.sum("_print").cast("decimal(38,0)").alias("print"))
 
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:

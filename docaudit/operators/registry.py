@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docaudit.operators.prep import row_print
 
 def next_version(versions: DataFrame, by: list[str]) -> DataFrame:
     """v(max + 1); names that aren't v and a number don't count."""
@@ -65,7 +66,7 @@ def should_retrain(models: DataFrame, data: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Last write wins by key."""
+    """Last write wins by key; of a load's rows with one key, that of the largest print of all columns. Store.upsert keeps it."""
     rows = old.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)))
-    last = Window.partitionBy(key).orderBy(F.desc("_seq"))
+    last = Window.partitionBy(key).orderBy(F.desc("_seq"), F.desc(row_print(new)))
     return rows.withColumn("_r", F.row_number().over(last)).where(F.col("_r") == 1).drop("_r", "_seq")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as tx
-from docaudit.operators import classify, evaluate, evidence, prep, rules, segment
+from docaudit.operators import classify, evaluate, evidence, prep, rules, scorers, segment
 from docaudit.plans.catalog import HITS, OBLIGATIONS, PACK, SYNONYMS, _audits, _lit, _obligations, query, values
 
 _CAPS = [("AI_SYSTEM", r"(?a)\b[Oo]ur [a-z]+"), ("PROHIBITED_USE", r"(?a)\b[A-Z]{5,}\b"), ("RISK_TIER", r"(?a)\b[Hh]igh risk\b"), ("NAME", r"(?a)\b[A-Z][a-z]{9,}\b")]
@@ -108,3 +108,15 @@ def _weak_job(t) -> DataFrame:
 
 
 query("weak_label_job")(_weak_job)
+
+
+def _unavailable():
+    raise FileNotFoundError("no model here")
+
+
+#: A backend that is missing in every worker, and the one that stands in for it.
+_BACKENDS = [scorers.Scorer("large", _unavailable), scorers.word_vote("words", {"transparency": ["the", "and"], "security": ["und", "der"]})]
+query("score_backends", """WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[^a-z]+') AS ws FROM documents), n AS (SELECT doc_id, len(list_filter(ws, lambda w: w IN ('the', 'and'))) AS a, len(list_filter(ws, lambda w: w IN ('und', 'der'))) AS b FROM w)
+SELECT doc_id, CASE WHEN a + b = 0 THEN 'unrelated' WHEN a >= b THEN 'transparency' ELSE 'security' END AS label, round(coalesce(greatest(a, b) / nullif(a + b, 0), 0), 6) AS confidence, 'words' AS backend FROM n""")(
+    lambda t: scorers.classify_chunks(t("documents").select("doc_id", "text"), _BACKENDS).drop("text")
+)

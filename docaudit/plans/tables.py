@@ -7,6 +7,7 @@ from docaudit.functions import text as tx
 from docaudit.operators import evaluate, monitor, prep, registry
 from docaudit.plans.catalog import ORACLES, _langs, _PRED, _pred, _truth, _TRUTH, query, values
 from docaudit.sources import readers
+from docaudit.streaming import monitor as streams
 
 _PR = f"pr AS (SELECT doc_id, source, lang AS truth, detected AS pred FROM ({_PRED}) JOIN documents USING (doc_id))"
 _L = "(SELECT unnest(['de','en','es','fr']) AS label)"
@@ -77,7 +78,9 @@ def _expanded(t) -> DataFrame:
 
 
 query("expand_templates")(_expanded)
-query("fingerprint", "SELECT source, count(*) AS n, CAST(sum(('0x' || substr(md5(text), 1, 12))::BIGINT) AS VARCHAR) AS print FROM documents GROUP BY 1")(lambda t: prep.fingerprint(t("documents"), ["source"]).select("source", "n", F.col("print").cast("string").alias("print")))
+_ROW = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, 'n')" for c in ("doc_id", "lang", "n_chars", "source", "text"))
+_PRINT = f"CAST(sum(('0x' || substr(md5({_ROW}), 1, 16))::UBIGINT::HUGEINT) AS VARCHAR)"
+query("fingerprint", f"SELECT source, count(*) AS n, {_PRINT} AS print FROM documents GROUP BY 1")(lambda t: prep.fingerprint(t("documents").select("doc_id", "lang", "n_chars", "source", "text"), ["source"]).select("source", "n", F.col("print").cast("string").alias("print")))
 
 #: Versions from orders: customers as types; each order a version, the last active.
 _models = lambda t: t("orders").where("o_custkey % 3 > 0").select(F.col("o_custkey").alias("type"), F.concat(F.lit("v"), "o_orderkey").alias("version"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("d"), "o_orderkey")).alias("data_version"), (F.col("o_totalprice") / 1e6).alias("metric"), (F.col("o_orderkey") == F.max("o_orderkey").over(Window.partitionBy("o_custkey"))).alias("active"))
@@ -85,10 +88,10 @@ _MODELS = "mo AS (SELECT o_custkey AS type, 'v' || o_orderkey AS version, o_orde
 _types = lambda t: t("customer").select(F.col("c_custkey").alias("type"))
 query("active_versions", f"WITH {_MODELS} SELECT c_custkey AS type, coalesce(version, 'untrained') AS version, coalesce(data_version, 'unknown') AS data_version FROM customer LEFT JOIN mo ON type = c_custkey AND active")(lambda t: registry.active_versions(_types(t), _models(t)))
 query("model_versions", f"WITH {_MODELS} SELECT c_custkey AS type, coalesce(version, 'untrained') AS version, coalesce(active, false) AS active, round(metric, 6) AS metric, row_number() OVER (PARTITION BY c_custkey ORDER BY k DESC)::INT AS place FROM customer LEFT JOIN mo ON type = c_custkey")(lambda t: registry.list_models(_types(t), _models(t)))
-_data = lambda t: t("documents").groupBy(F.col("source").alias("type")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("print"))
-_VERS = [("src0", "v1", 1, 1, False), ("src0", "v2", 2, 2, True), ("src1", "v9", 1, 1, False), ("src1", "v10", 1, 5, True), ("old", "v1", 3, 3, True)]
-_vers = lambda t: t("documents").sparkSession.createDataFrame(_VERS, "type string, version string, n long, print long, active boolean").unionByName(_data(t).where("type = 'src2'").select("type", F.lit("v4").alias("version"), "n", "print", F.lit(True).alias("active")))
-_SNAP = f"""dt AS (SELECT source AS type, count(*) AS n, sum(n_chars)::BIGINT AS print FROM documents GROUP BY 1), ve AS (SELECT type, version, n, print, active FROM {values(_VERS, "type, version, n, print, active")} UNION ALL SELECT type, 'v4', n, print, true FROM dt WHERE type = 'src2'),
+_data = lambda t: prep.fingerprint(t("documents").select("doc_id", "lang", "n_chars", "source", "text"), ["source"]).select(F.col("source").alias("type"), "n", F.col("print").cast("string").alias("print"))
+_VERS = [("src0", "v1", 1, "1", False), ("src0", "v2", 2, "2", True), ("src1", "v9", 1, "1", False), ("src1", "v10", 1, "5", True), ("old", "v1", 3, "3", True)]
+_vers = lambda t: t("documents").sparkSession.createDataFrame(_VERS, "type string, version string, n long, print string, active boolean").unionByName(_data(t).where("type = 'src2'").select("type", F.lit("v4").alias("version"), "n", "print", F.lit(True).alias("active")))
+_SNAP = f"""dt AS (SELECT source AS type, count(*) AS n, {_PRINT} AS print FROM documents GROUP BY 1), ve AS (SELECT type, version, n, print, active FROM {values(_VERS, "type, version, n, print, active")} UNION ALL SELECT type, 'v4', n, print, true FROM dt WHERE type = 'src2'),
 nw AS (SELECT type, 'v' || (coalesce((SELECT max(substr(version, 2)::INT) FROM ve WHERE ve.type = dt.type), 0) + 1) AS version, n, print, true AS active FROM dt WHERE NOT EXISTS (SELECT 1 FROM ve WHERE ve.type = dt.type AND ve.active AND ve.print = dt.print)),
 sn AS (SELECT type, version, n, print, active AND type NOT IN (SELECT type FROM nw) AS active FROM ve UNION ALL SELECT * FROM nw)"""
 query("snapshot_data", f"WITH {_SNAP} SELECT * FROM sn")(lambda t: registry.snapshot_data(_data(t), _vers(t)))
@@ -105,6 +108,21 @@ query("collection_sizes", "SELECT * FROM (SELECT source AS collection, count(*)
 query("sliding_stats", "SELECT event_type, b AS began, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS most FROM (SELECT event_type, value, unnest([x, x - 1800]) AS b FROM (SELECT event_type, value, (epoch_us(ts) // 1800000000) * 1800 AS x FROM events)) GROUP BY 1, 2")(
     lambda t: monitor.windowed_stats(t("events"), "1 hour", "30 minutes").withColumn("began", F.unix_seconds(F.col("began").cast("timestamp")))
 )
+
+
+def _quantiles(t) -> DataFrame:
+    """Sliding windows merged from panes; whether p95's rank among the window's values is within the sketch's error (twice)."""
+    events = t("events")
+    merged = monitor.merged_panes(monitor.panes(events, "30 minutes", good=F.col("event_type") != "error"), "1 hour", "30 minutes")
+    inside = events.select(F.explode(F.array(F.window("ts", "30 minutes")["start"], F.window("ts", "30 minutes")["start"] - F.expr("interval 30 minutes"))).alias("began"), "event_type", "value")
+    ranks = inside.join(merged, ["began", "event_type"]).groupBy("began", "event_type", "n", "mean", "most", "success_rate").agg(F.avg((F.col("value") < F.col("p95")).cast("int")).alias("low"), F.avg((F.col("value") <= F.col("p95")).cast("int")).alias("high"))
+    near = (F.col("low") <= 0.95 + 2 * monitor.RANK_ERROR) & (F.col("high") >= 0.95 - 2 * monitor.RANK_ERROR)
+    return ranks.select(F.unix_seconds(F.col("began").cast("timestamp")).alias("began"), "event_type", "n", "mean", "most", "success_rate", near.alias("p95_near"))
+
+
+query("window_quantiles", """SELECT event_type, b AS began, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS most, CASE WHEN event_type = 'error' THEN 0.0 ELSE 100.0 END::DOUBLE AS success_rate, true AS p95_near
+FROM (SELECT event_type, value, unnest([x, x - 1800]) AS b FROM (SELECT event_type, value, (epoch_us(ts) // 1800000000) * 1800 AS x FROM events)) GROUP BY 1, 2""")(_quantiles)
+query("paired_audits")(lambda t: streams.pair_each_audit(t("events"), "signup", "purchase", "1 day", now="2100-01-01"))
 query("session_stats", """WITH e AS (SELECT user_id, epoch_us(ts) AS u, value, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events), s AS (SELECT *, sum((b IS NULL OR u - b >= 3600 * 1000000::BIGINT)::INT) OVER (PARTITION BY user_id ORDER BY u) AS k FROM e)
 SELECT user_id, min(u) AS began, max(u) + 3600 * 1000000::BIGINT AS ended, count(*) AS n, round(sum(value), 6) AS total FROM s GROUP BY user_id, k""")(
     lambda t: monitor.session_stats(t("events"), "1 hour").withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("began", "ended")})

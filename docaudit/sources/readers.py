@@ -24,8 +24,9 @@ def read_regulatory(spark: SparkSession, path: str) -> DataFrame:
     """One row for each non-empty language section of a statute file: lang, text, article_num, domain, regulation, title."""
     rows = read_text_corpus(spark, path)
     parts = F.split("text", r"(?m)^=== (?=\w+ ===\s*$)")
-    head = F.transform(F.filter(F.split(parts[0], "\n"), lambda x: x.contains(":")), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
-    rows = rows.select("path", F.map_from_entries(head).alias("head"), F.explode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))).alias("part"))
+    head = F.transform(F.filter(F.split(parts[0], "\n"), lambda x: x.contains(":")), lambda x: F.named_struct(F.lit("k"), F.lower(F.trim(F.substring_index(x, ":", 1))), F.lit("v"), F.trim(F.regexp_replace(x, r"^[^:]*:", ""))))
+    last = F.filter(head, lambda x, i: ~F.exists(F.slice(head, i + 2, F.size(head)), lambda y: y["k"] == x["k"]))  # of repeated keys
+    rows = rows.select("path", F.map_from_entries(last).alias("head"), F.explode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))).alias("part"))
     lang = F.lower(F.regexp_extract("part", r"^(\w+) ===", 1))
     text = F.regexp_replace(F.regexp_replace("part", r"^\w+ ===\s*", ""), r"^\s+|\s+$", "")
     h = lambda k: F.try_element_at("head", F.lit(k) if isinstance(k, str) else k)
