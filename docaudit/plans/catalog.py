@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as tx
-from docaudit.operators import evaluate, evidence, monitor, prep, registry, report, retrieval, rules, segment
+from docaudit.operators import evaluate, evidence, monitor, packs, prep, registry, report, retrieval, rules, segment
 from docaudit.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,6 +180,25 @@ _spans = lambda t: rules.annotate(t("documents"), [("CAPS", r"\b[A-Z]{4,}\b")],
 query("entity_spans")(lambda t: rules.annotate(t("documents"), [("CAPS", r"\b[A-Z]{4,}\b")], [("LICENSE", "license"), ("LICENSE", "all rights reserved")], policy="leftmost"))
 query("entity_override")(lambda t: rules.override_spans(_spans(t).where("label = 'CAPS'"), _spans(t).where("label = 'LICENSE'")))
 
+
+
+def _lateral(t) -> DataFrame:
+    docs = t("documents")
+    return segment.register(docs.sparkSession).sql("SELECT doc_id, chunk_index, c.text FROM {docs} d, LATERAL chunk_boundary(d.text) c", docs=docs)
+
+
+query("chunk_lateral", ORACLES["chunk_boundary"])(_lateral)
+
+
+def _word_rules(t) -> DataFrame:
+    """A pack of one pattern for each word of five letters or more in benchmark."""
+    words = t("benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) >= 5").distinct()
+    return words.select(F.lit("words").alias("pack"), F.substring("w", 1, 1).alias("rule_group"), F.length("w").alias("rule_idx"), F.concat(F.lit("(?<![a-z])"), "w", F.lit("(?![a-z])")).alias("pattern"), F.col("w").alias("label"))
+
+
+query("rule_tables", """WITH r AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents)
+SELECT doc_id, 'words' AS pack, substr(w, 1, 1) AS rule_group, length(w)::INT AS rule_idx, w AS label FROM d JOIN r USING (w) WHERE length(w) >= 5""")(lambda t: packs.scan(t("documents"), _word_rules(t)))
+
 _BM = f"""p AS (SELECT lang, doc_id, {TOKENS.format("text")} AS ws FROM documents), q AS (SELECT item_id AS query_id, unnest({TOKENS.format("text")}) AS term FROM benchmark),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY ALL), sz AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM p),
 po AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM p) GROUP BY ALL),
