@@ -60,8 +60,9 @@ def row_print(df: DataFrame) -> Column:
 
 
 def fingerprint(df: DataFrame, by: list[str]) -> DataFrame:
-    """Order-free fingerprint of whole rows: their number and the sum of their prints, so rows that stand twice count twice."""
-    return df.withColumn("_print", row_print(df)).groupBy(*by).agg(F.count("*").alias("n"), F.sum("_print").cast("decimal(38,0)").alias("print"))
+    """Order-free fingerprint of whole rows but for the columns `by`, which name the groups: the number of rows and the sum of
+    their prints, so rows that stand twice count twice."""
+    return df.withColumn("_print", row_print(df.drop(*by))).groupBy(*by).agg(F.count("*").alias("n"), F.sum("_print").cast("decimal(38,0)").alias("print"))
 
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:

@@ -78,7 +78,7 @@ def _expanded(t) -> DataFrame:
 
 
 query("expand_templates")(_expanded)
-_ROW = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, 'n')" for c in ("doc_id", "lang", "n_chars", "source", "text"))
+_ROW = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, 'n')" for c in ("doc_id", "lang", "n_chars", "text"))
 _PRINT = f"CAST(sum(('0x' || substr(md5({_ROW}), 1, 16))::UBIGINT::HUGEINT) AS VARCHAR)"
 query("fingerprint", f"SELECT source, count(*) AS n, {_PRINT} AS print FROM documents GROUP BY 1")(lambda t: prep.fingerprint(t("documents").select("doc_id", "lang", "n_chars", "source", "text"), ["source"]).select("source", "n", F.col("print").cast("string").alias("print")))
 
