@@ -132,7 +132,13 @@ def _wanted(index: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(df.join(asked, ["bucket", "term"], "left_semi").drop("bucket") for df in (index.terms, index.blocks))
 
 
-def search(index: Index, queries: DataFrame, k: int, lucene: bool = False, gains: DataFrame | None = None) -> DataFrame:
+def asked(queries: DataFrame, part: list[str]) -> DataFrame:
+    """(query_id, part, term, qtf): the words of each query."""
+    words = queries.select("query_id", *part, F.explode(tokens(F.col("text"))).alias("term"))
+    return words.groupBy("query_id", *part, "term").agg(F.count("*").alias("qtf"))
+
+
+def search(index: Index, queries: DataFrame, k: int, lucene: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best passages for queries (query_id, part, text); repeated query words count
     again; ties by doc_id; scores over 0. Exactly what scoring all passages gives.
 
@@ -140,19 +146,14 @@ def search(index: Index, queries: DataFrame, k: int, lucene: bool = False, gains
     contributions together stay below the bound can't lift a passage into the result: only passages of the other words are
     looked at, of those only blocks whose largest impact may still reach the bound, and then only the passages that may do
     so are looked up for the words left out. So a stop word makes no pair of every query and passage.
-    Where a weight is negative (all of a tiny partition has the word), all is scored.
-    gains: (query_id, doc_id or columns to join on, ...) is for bm25_search's boost: see there."""
+    Where a weight is negative (all of a tiny partition has the word), all is scored."""
     part, key = index.part, ["query_id", "doc_id"]
     lift = 1.0 if lucene else index.k1 + 1
-    q = queries.select("query_id", *part, F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", *part, "term").agg(F.count("*").alias("qtf"))
+    q = asked(queries, part)
     terms, blocks = _wanted(index, q)
     if index.buckets:
         blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)  # read once, of the asked terms alone
     q = _matched(q, terms, ["term"], part).withColumn("w", F.col("qtf") * F.col("lucene_idf" if lucene else "idf") * lift)
-    if gains is None:
-        q = q.withColumn("gain", F.lit(0.0))
-    else:
-        q = q.join(gains, "query_id", "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
     everything = Window.partitionBy("query_id")  # a query's words
     most = F.col("w") * F.col("top")
     q = q.withColumn("most", most).withColumn("total", F.sum("most").over(everything)).withColumn("signed", F.min("w").over(everything) < 0)
@@ -171,19 +172,19 @@ def search(index: Index, queries: DataFrame, k: int, lucene: bool = False, gains
     bounds = first.withColumn("r", F.row_number().over(at)).where(F.col("r") == k).select("query_id", F.col("s").alias("bound"))
     q = q.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))) - SLACK)
     upto = F.sum("most").over(everything.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
-    q = q.withColumn("upto", upto).withColumn("needed", F.col("signed") | (F.col("upto") + F.col("gain") >= F.col("bound")))
+    q = q.withColumn("upto", upto).withColumn("needed", F.col("signed") | (F.col("upto") >= F.col("bound")))
     q = q.withColumn("rest", F.coalesce(F.sum(F.when(~F.col("needed"), F.col("most"))).over(everything), F.lit(0.0))).persist(StorageLevel.MEMORY_AND_DISK)
-    reach = F.col("w") * F.col("top") + F.col("total") - F.col("most") + F.col("gain") >= F.col("bound")
-    partly = hits(q.where("needed").select("query_id", *part, "term", "w", "most", "total", "gain", "bound", "rest", "signed"), reach | F.col("signed"))
-    partly = partly.groupBy(key).agg(F.sum("part_score").alias("score"), F.first("bound").alias("bound"), F.first("rest").alias("rest"), F.first("gain").alias("gain"))
-    partly = partly.where(F.col("score") + F.col("rest") + F.col("gain") >= F.col("bound")).select(*key, "score").persist(StorageLevel.MEMORY_AND_DISK)
+    reach = F.col("w") * F.col("top") + F.col("total") - F.col("most") >= F.col("bound")
+    partly = hits(q.where("needed").select("query_id", *part, "term", "w", "most", "total", "bound", "rest", "signed"), reach | F.col("signed"))
+    partly = partly.groupBy(key).agg(F.sum("part_score").alias("score"), F.first("bound").alias("bound"), F.first("rest").alias("rest"))
+    partly = partly.where(F.col("score") + F.col("rest") >= F.col("bound")).select(*key, "score").persist(StorageLevel.MEMORY_AND_DISK)
     left_out = q.where(~F.col("needed")).select("query_id", *part, "term", "w")
     words = left_out.select(*part, "term").distinct().withColumn("w", F.lit(1.0))
     found = hits(words, only=partly.select("doc_id").distinct()).select(*part, "term", "doc_id", F.col("part_score").alias("impact"))
     wanted = partly.select(*key).join(left_out, "query_id")
     more = _matched(wanted, found, ["term", "doc_id"], part).select(*key, (F.col("w") * F.col("impact")).alias("score"))
     scored = partly.union(more).groupBy(key).agg(F.sum("score").alias("score"))
-    return scored if gains is not None else best(scored, k)
+    return best(scored, k)
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:
@@ -193,19 +194,25 @@ def best(scored: DataFrame, k: int) -> DataFrame:
 
 
 def bm25_search(queries: DataFrame, passages: DataFrame, part: list[str], k: int, k1: float = 1.5, b: float = 0.75, lucene: bool = False, boost: tuple[str, float] | None = None, whole: bool = False) -> DataFrame:
-    """Builds the index of passages and searches it (see build and search).
+    """One search without an index: what build and search give, from the postings of the queries' words alone, all of which are
+    scored. Passages are counted once; what moves after that is a row for each passage and word that is asked for.
 
     boost: a column that both tables have, and how much a passage gains (times the idf of that value) if it agrees with the
     query's; passages without one of the query's words gain nothing. whole: a query whose part is NULL searches all passages."""
-    index = build(passages, part, k1, b, whole)
+    sizes, postings = counted(passages.withColumn("text", F.coalesce("text", F.lit(""))), part, whole)
+    postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
+    terms = term_statistics(sizes, postings, part, k1, b)
+    q = _matched(asked(queries, part), terms, ["term"], part)
+    q = q.select("query_id", *part, "term", (F.col("qtf") * F.col("lucene_idf" if lucene else "idf") * (1.0 if lucene else k1 + 1)).alias("w"))
+    hits = in_part(_matched(q, postings, ["term"], part), sizes, part)
+    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * _impact(k1, b)).alias("score"))
     if not boost:
-        return search(index, queries, k, lucene)
+        return best(scored, k)
     name, times = boost
     total = passages.agg(F.count("*").alias("_n"))
     by = passages.groupBy(F.col(name).alias("_value")).agg(F.count("*").alias("_df")).crossJoin(F.broadcast(total))  # one row
     gain = by.select("_value", (times * F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))).alias("gain"))
     mine = queries.select("query_id", F.col(name).alias("_asked")).distinct().join(gain, F.col("_asked") == F.col("_value")).select("query_id", "_asked", "gain")
-    scored = search(index, queries, k, lucene, mine.groupBy("query_id").agg(F.max("gain").alias("gain")))
     own = passages.select("doc_id", F.col(name).alias("_asked")).distinct()
     scored = scored.join(own, "doc_id").join(mine, ["query_id", "_asked"], "left").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0.0)))
     return best(scored, k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as tx
-from docaudit.operators import evaluate, evidence, monitor, packs, prep, registry, report, retrieval, rules, segment
+from docaudit.operators import evaluate, evidence, monitor, packs, postings, prep, registry, report, retrieval, rules, segment
 from docaudit.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,6 +209,7 @@ SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw E
 _TOP = "SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10 AND score > 0"
 _bq = lambda t: t("benchmark").select(F.col("item_id").alias("query_id"), "text")
 query("bm25_top10", f"WITH {_BM}, s AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN idf USING (term) JOIN po USING (term), sz GROUP BY 1, 2) {_TOP}")(lambda t: retrieval.bm25_search(_bq(t), t("documents"), [], 10))
+query("bm25_indexed", ORACLES["bm25_top10"])(lambda t: postings.search(postings.build(t("documents")), _bq(t), 10))
 query("bm25_lucene", f"WITH {_BM}, s AS (SELECT query_id, doc_id, round(sum(qtf * lidf * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN idf USING (term) JOIN po USING (term), sz GROUP BY 1, 2) {_TOP}")(lambda t: retrieval.bm25_search(_bq(t), t("documents"), [], 10, k1=1.2, lucene=True))
 _KNN = "knn AS (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings v JOIN embeddings q ON q.label = v.label AND q.vec_id <> v.vec_id AND q.vec_id % 100 = 0))"
 _knn = lambda t, k: retrieval.knn(t("embeddings").where("vec_id % 100 = 0"), t("embeddings"), k, ["label"])
