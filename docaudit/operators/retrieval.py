@@ -40,9 +40,12 @@ def _blocks(df: DataFrame, key: str, where: list[str], size: int) -> DataFrame:
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, where: list[str] | None = None) -> DataFrame:
-    """(query_id, vec_id, distance, rank) by cosine distance among vectors that share the filter columns.
+    """(query_id, vec_id, distance, rank) by cosine distance among vectors that share the filter columns."""
+    return best_hits(block_hits(queries, vectors, k, where), k)
 
-    Blocks of queries meet blocks of vectors; each pair of blocks gives k rows a query at most."""
+
+def block_hits(queries: DataFrame, vectors: DataFrame, k: int, where: list[str] | None = None) -> DataFrame:
+    """(query_id, vec_id, distance): blocks of queries meet blocks of vectors; each pair of blocks gives k rows a query at most."""
     v = _blocks(vectors, "vec_id", where or [], VECTOR_BLOCK)
     q = _blocks(queries.repartition(max(1, queries.sparkSession.sparkContext.defaultParallelism // 4)), "vec_id", where or [], QUERY_BLOCK).select("g", "dim", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
 
@@ -61,7 +64,11 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, where: list[str] | None
                     out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[close], "distance": d[close] + 0.0}))
             yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
 
-    hits = v.join(q, ["g", "dim"]).mapInPandas(search, "query_id long, vec_id long, distance double")
+    return v.join(q, ["g", "dim"]).mapInPandas(search, "query_id long, vec_id long, distance double")
+
+
+def best_hits(hits: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query's hits, with rank."""
     best = Window.partitionBy("query_id").orderBy("distance", "vec_id")  # k rows a block
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "distance", "rank")
 

@@ -4,6 +4,7 @@ import bisect
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,35 +192,71 @@ def lf_summary(votes: DataFrame) -> DataFrame:
     return each.groupBy("lf").agg(polarity.alias("polarity"), share(cast).alias("coverage"), share(cast & (F.col("n") > 1)).alias("overlaps"), share(cast & (F.col("d") > 1)).alias("conflicts"))
 
 
-#: Distinct vote vectors that the label model takes to the driver.
-MAX_VECTORS = 100_000
+def _posterior(v: np.ndarray, acc: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Chances of the classes for each vote vector (-1: abstains), if functions err alone and evenly over the other classes."""
+    k = len(prior)
+    log = np.tile(np.log(prior), (len(v), 1))
+    for j, a in enumerate(acc):
+        on = v[:, j] >= 0
+        log[on] += np.log((1 - a) / max(1, k - 1))
+        log[np.flatnonzero(on), v[on, j]] += np.log(a) - np.log((1 - a) / max(1, k - 1))
+    post = np.exp(log - log.max(axis=1, keepdims=True)) if len(v) else log
+    return post / post.sum(axis=1, keepdims=True)
+
+
+def fit_label_model(votes: DataFrame, k: int, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """Accuracy of each function and share of each class, by expectation maximisation over distinct vote vectors and their counts.
+
+    A round is a job: tasks sum what their vectors tell (a row a function and a class), and only those sums reach the driver. Null
+    and empty vote arrays tell nothing; arrays are of one length. No votes at all: accuracies stay 0.7, classes stay even. The last
+    round is the use of the model."""
+    groups = votes.where(F.size("votes") > 0).groupBy("votes").agg(F.count("*").cast("double").alias("n")).persist()
+    try:
+        first = groups.agg(F.min(F.size("votes")).alias("m"), F.max(F.size("votes")).alias("most")).first()
+        if first["m"] != first["most"]:
+            raise ValueError("vote arrays differ in length")
+        m = first["m"] or 0
+        acc, prior = np.full(m, 0.7), np.full(k, 1 / k)
+        for _ in range(rounds - 1 if m else 0):
+
+            def told(batches: Iterator[pd.DataFrame], acc=acc, prior=prior) -> Iterator[pd.DataFrame]:
+                right, cast, share = np.zeros(len(acc)), np.zeros(len(acc)), np.zeros(len(prior))
+                for batch in batches:
+                    v, n = np.array(batch["votes"].tolist(), int).reshape(-1, len(acc)), batch["n"].to_numpy()
+                    post = _posterior(v, acc, prior)
+                    share += n @ post
+                    chosen = np.take_along_axis(post, np.maximum(v, 0), axis=1) * (v >= 0)
+                    right += n @ chosen
+                    cast += n @ (v >= 0)
+                none = np.zeros(len(prior))
+                yield pd.DataFrame({"what": ["f"] * len(acc) + ["c"] * len(prior), "i": [*range(len(acc)), *range(len(prior))], "x": [*right, *share], "n": [*cast, *none]})
+
+            sums = groups.mapInPandas(told, "what string, i int, x double, n double").groupBy("what", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()  # m + k rows
+            of = {(r["what"], r["i"]): (r["x"], r["n"]) for r in sums}
+            right, cast = np.array([of["f", j] for j in range(m)]).T
+            acc = np.clip(right / np.maximum(cast, 1e-9), 0.05, 0.95)
+            share = np.array([of["c", c][0] for c in range(k)])
+            prior = np.clip(share / max(share.sum(), 1e-9), 1e-3, None)
+        return acc, prior
+    finally:
+        groups.unpersist()
 
 
 def label_model(votes: DataFrame, k: int, rounds: int = 25) -> DataFrame:
-    """Denoised labels by expectation maximisation over distinct vote vectors and their counts ((k + 1) ** m vectors at most for m
-    functions; where each gives one label, 2 ** m).
-
-    Adds label and confidence; rows of abstentions only, and ties, are dropped."""
-    import numpy as np
-
-    groups = votes.groupBy("votes").count().limit(MAX_VECTORS + 1).collect()
-    if len(groups) > MAX_VECTORS:
-        raise ValueError(f"more than {MAX_VECTORS} distinct vote vectors")
-    v, n = np.array([g["votes"] for g in groups]).reshape(len(groups), -1), np.array([g["count"] for g in groups], float)
-    m = v.shape[1] if len(groups) else 0
-    acc, prior = np.full(m, 0.7), np.full(k, 1 / k)
-    post = np.zeros((len(groups), k))
-    for _ in range(rounds):
-        log = np.log(prior)[None] + sum((np.where(v[:, j : j + 1] < 0, 0, np.where(v[:, j : j + 1] == np.arange(k), np.log(acc[j]), np.log((1 - acc[j]) / max(1, k - 1)))) for j in range(m)), np.zeros((len(groups), k)))
-        post = np.exp(log - log.max(axis=1, keepdims=True)) if len(groups) else log
-        post /= post.sum(axis=1, keepdims=True) if len(groups) else 1
-        for j in range(m):
-            on = v[:, j] >= 0
-            acc[j] = np.clip((n[on] * post[on, v[on, j]]).sum() / max(n[on].sum(), 1e-9), 0.05, 0.95)
-        prior = np.clip((n[:, None] * post).sum(axis=0) / max(n.sum(), 1e-9), 1e-3, None)
-    rows = [(list(map(int, x)), int(p.argmax()), float(p.max())) for x, p in zip(v, post) if (x >= 0).any() and (np.isclose(p, p.max()).sum() == 1)]
-    table = votes.sparkSession.createDataFrame(rows, "votes array<int>, label int, confidence double")
-    return votes.join(F.broadcast(table), "votes")  # MAX_VECTORS rows at most
+    """Denoised labels: adds label and confidence, by the model that fit_label_model gives, row by row and without a join. Rows of
+    abstentions only, and ties, are dropped."""
+    acc, prior = fit_label_model(votes, k, rounds)
+
+    @F.pandas_udf("struct<label:int,confidence:double>")
+    def judged(of: pd.Series) -> pd.DataFrame:
+        v = np.array(of.tolist(), int).reshape(len(of), -1)
+        post = _posterior(v, acc, prior)
+        top = post.max(axis=1)
+        sure = (v >= 0).any(axis=1) & (np.isclose(post, top[:, None]).sum(axis=1) == 1)
+        return pd.DataFrame({"label": np.where(sure, post.argmax(axis=1), -1), "confidence": top})
+
+    out = votes.where(F.exists("votes", lambda x: x >= 0)).withColumn("_judged", judged("votes"))
+    return out.select(*votes.columns, "_judged.label", "_judged.confidence").where("label >= 0")
 
 
 def settled(spans: list[tuple[int, int, str]], policy: str) -> list[tuple[int, int, str]]:
