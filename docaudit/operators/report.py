@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions.plan import broadcast_if_small
 from docaudit.functions.text import clamp_score, contains_any, norm_severity
-from docaudit.operators.evidence import confidence
+from docaudit.operators.evidence import confidence, overall_score
 
 
 def severity_order(c):
@@ -123,6 +123,47 @@ def build_reports(docs: DataFrame, scores: DataFrame, overall: DataFrame, trust:
     return docs.join(nested, "doc_id").join(overall, "doc_id", "left").join(trust, "doc_id", "left")
 
 
+def full_reports(audits: DataFrame, scores: DataFrame, domains: dict[int, str], versions: dict[str, str], backend: str) -> DataFrame:
+    """One nested row for each audit with all that its reader sees.
+
+    audits, a row a document: doc_id, total_chunks, classified_chunks, fallback_tier, wizard_tier, emotion (struct or null), actor
+    (struct actor, confidence, or null), applicability (struct articles, is_prohibited, is_high_risk, or null), evidence (struct
+    total, mean_coverage and more, or null); other columns pass through. scores: as article_scores gives; domains: each article of
+    a report with its domain. Articles without a score have 0 and empty lists; scores of other articles are left out.
+
+    overall_score: the mean of the applicable articles' scores, 100 if there is none, of all if applicability is null. risk_tier:
+    from applicability, else fallback_tier. confidence_score and requires_human_review: see confidence_review. model_versions and
+    classifier_backend: of all reports. Rows of one doc_id each make a report. Of several scores of
+    one article the smallest counts. Null doc_id: its articles score 0. The scores are
+    shuffled once, by doc_id."""
+    text = "array<string>"
+    shown = "array<struct<title:string,text:string,regulation:string,article_ref:string>>"
+    none = {"score": F.lit(0.0), "chunk_count": F.lit(0), "reasoning": F.lit(""), "gaps": F.array().cast(f"array<{GAP}>"), "recommendations": F.array().cast(text), "passages": F.array().cast(shown)}
+    kept = scores.where(F.col("article").isin(*domains))
+    held = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("article", *none))).alias("_scored"))
+    rows = audits.join(held, "doc_id", "left")
+
+    def one(article: int, domain: str) -> Column:
+        own = F.try_element_at(F.filter("_scored", lambda x: x["article"] == article), F.lit(1))
+        return F.struct(F.lit(article).alias("article"), F.lit(domain).alias("domain"), *[F.coalesce(own[name], absent).alias(name) for name, absent in none.items()])
+
+    rows = rows.withColumn("article_scores", F.array(*[one(a, d) for a, d in sorted(domains.items())])).drop("_scored")
+    gate, duties = F.col("applicability"), F.col("evidence")
+    counted = F.filter("article_scores", lambda x: gate.isNull() | F.array_contains(gate["articles"], x["article"]))
+    share = F.when(duties["total"] > 0, 0.5 + duties["mean_coverage"] / 2).when((duties["total"] == 0) & gate["is_high_risk"], 0.5)
+    mean = confidence(F.col("actor")["confidence"], share, F.when(F.col("total_chunks") > 0, F.col("classified_chunks") / F.col("total_chunks")))
+    return rows.select(
+        *[c for c in audits.columns if c != "fallback_tier"],
+        "article_scores",
+        F.round(overall_score(F.transform(counted, lambda x: x["score"])), 1).alias("overall_score"),
+        risk_tier(gate["is_prohibited"], gate["is_high_risk"], F.col("fallback_tier")).alias("risk_tier"),
+        F.round(mean, 2).alias("confidence_score"),
+        ((mean < 0.7) | F.coalesce(F.col("actor")["actor"] == "unknown", F.lit(False))).alias("requires_human_review"),
+        F.lit(backend).alias("classifier_backend"),
+        F.map_from_arrays(F.array(*map(F.lit, versions)), F.array(*map(F.lit, versions.values()))).cast("map<string,string>").alias("model_versions"),
+    )
+
+
 def context(items: Column, n: int) -> Column:
     """The first n items as one text with blank lines between."""
     return F.array_join(F.slice(items, 1, n), "\n\n")

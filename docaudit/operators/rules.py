@@ -33,6 +33,16 @@ def actor_vote(docs: DataFrame, rules: Rules, order: list[str], default: str, en
     return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("actor", F.lit(default)).alias("actor"), F.coalesce("confidence", F.lit(0.3)).alias("confidence"))
 
 
+def row_vote(hits: Column, order: list[str], default: str) -> Column:
+    """What actor_vote gives, from one row's array of classes: struct (actor, confidence)."""
+    n = F.array(*[F.size(F.filter(hits, _equals(c))) for c in order])
+    places = F.array_sort(F.filter(n, lambda x: x > 0), lambda x, y: y - x)
+    win, second = places[0], F.coalesce(F.try_element_at(places, F.lit(2)), F.lit(0))
+    share = win / F.aggregate(n, F.lit(0), lambda s, x: s + x) * 0.7 + (win - second) / win * 0.3
+    some = F.size(places) > 0
+    return F.struct(most_hits(hits, order, default).alias("actor"), F.when(some, F.round(F.least(F.lit(1.0), share), 2)).otherwise(0.3).alias("confidence"))
+
+
 def most_hits(hits: Column, order: list[str], default: str) -> Column:
     """The class that stands most often in an array of classes, ties by their order; the default if it is empty."""
     n = [F.size(F.filter(hits, _equals(c))) for c in order]

@@ -2,12 +2,12 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as tx
-from docaudit.operators import evaluate, evidence, monitor, packs, postings, prep, registry, report, retrieval, rules, segment
-from docaudit.sources import readers
+from docaudit.operators import evaluate, evidence, monitor, packs, postings, prep, registry, report, retrieval, rules, segment, vectors
+from docaudit.sources import pages, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,9 +100,21 @@ query("applicability", f"WITH {AUDITS} SELECT doc_id, role, array_to_string(arti
 )
 query("applicable_obligations", f"WITH {APPLIES} SELECT doc_id, role, obligation_id FROM due")(lambda t: evidence.applicable_obligations(_audits(t("documents")), _obligations(t("documents").sparkSession)).select("doc_id", "role", "obligation_id"))
 query("evidence_hits", f"WITH {EVIDENCE} SELECT * FROM ev")(lambda t: evidence.evidence_hits(t("documents"), SYNONYMS))
+def _row_audits(docs: DataFrame, *more: Column | str) -> DataFrame:
+    """doc_id, the columns in more, actor (struct), articles and coverage (struct) of each document: one scan, no shuffle. The obligations come along as one row."""
+    text = F.col("text")
+    duties = _obligations(docs.sparkSession).agg(F.collect_list(F.struct("regulation", "article_num", "actor", "evidence_required")).alias("duties"))
+    hits = F.array_compact(F.array(*[F.when(text.rlike(tx.FLAGS + p), F.lit(g)) for g, _, p, _ in PACK]))
+    terms = F.array_compact(F.array(*[F.when(text.rlike(tx.synonym_pattern(w)), F.lit(term)) for term, w in SYNONYMS.items()]))
+    one = docs.select("doc_id", *more, hits.alias("hits"), terms.alias("terms"), rules.applicability(text.contains("queen"), text.rlike(tx.FLAGS + PACK[0][2])).alias("articles"), rules.second_gate(text, [PACK[3][2]], {22: [PACK[2][2]]}, [5, 13]).alias("gdpr_articles"))
+    out = one.withColumn("actor", rules.row_vote(F.col("hits"), ["g1", "g2", "g3"], "g2")).withColumn("role", F.col("actor.actor")).crossJoin(F.broadcast(duties))  # one row
+    return out.withColumn("coverage", evidence.row_coverage("role", "articles", "gdpr_articles", "terms", "duties")).drop("hits", "terms", "gdpr_articles", "role", "duties")
+
+
 query("evidence_items", f"WITH {ITEMS} SELECT * FROM items")(_items)
 query("evidence_map", f"""WITH {ITEMS}, m AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE coverage >= 1) AS fully, count(*) FILTER (WHERE coverage > 0 AND coverage < 1) AS partial, count(*) FILTER (WHERE coverage = 0) AS missing, avg(coverage) AS c FROM items GROUP BY 1)
-SELECT doc_id, coalesce(total, 0) AS total, coalesce(fully, 0) AS fully, coalesce(partial, 0) AS partial, coalesce(missing, 0) AS missing, round(coalesce(c, 0), 6) AS mean_coverage FROM documents LEFT JOIN m USING (doc_id)""")(lambda t: evidence.evidence_map(t("documents"), _items(t)))
+SELECT doc_id, coalesce(total, 0) AS total, coalesce(fully, 0) AS fully, coalesce(partial, 0) AS partial, coalesce(missing, 0) AS missing, round(coalesce(c, 0), 6) AS mean_coverage FROM documents LEFT JOIN m USING (doc_id)""")(lambda t: _row_audits(t("documents")).select("doc_id", "coverage.*"))
+query("evidence_rollup", ORACLES["evidence_map"])(lambda t: evidence.evidence_map(t("documents"), _items(t)))
 query("coverage_by_regulation", f"""WITH {ITEMS} SELECT doc_id, regulation, count(*) FILTER (WHERE coverage >= 1) AS fully, count(*) FILTER (WHERE coverage > 0 AND coverage < 1) AS partial, count(*) FILTER (WHERE coverage = 0) AS missing, round(avg(coverage) * 100, 6) AS mean_pct, sum(n_required - n_satisfied)::BIGINT AS missing_artefacts FROM items GROUP BY ROLLUP (doc_id, regulation)""")(lambda t: evidence.coverage_by_regulation(_items(t)))
 
 query("lang_detect", f"""WITH w AS (SELECT doc_id, substr(text, 1, 500) AS s, {TOKENS.format("substr(text, 1, 500)")} AS ws FROM documents),
@@ -175,6 +187,7 @@ query("chunk_propositions")(lambda t: segment.chunk_propositions(t("documents"))
 query("sentences", r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+([A-ZÜÄÖ("''])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM documents),
 k AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: length(x) BETWEEN 60 AND 600) AS kept FROM s)
 SELECT doc_id, (generate_subscripts(kept, 1) - 1)::INT AS sentence_index, unnest(kept) AS sentence FROM k""")(lambda t: segment.split_sentences(t("documents")))
+query("html_articles")(lambda t: pages.extract_articles(t("pages"), r"^\w", r"^\d", tags=("h1",)))
 query("html_sections")(lambda t: readers.extract_sections(t("pages"), r"^[A-Z]", r"^[0-9]"))
 _spans = lambda t: rules.annotate(t("documents"), [("CAPS", r"\b[A-Z]{4,}\b")], [("LICENSE", "license"), ("LICENSE", "all rights reserved")])
 query("entity_spans")(lambda t: rules.annotate(t("documents"), [("CAPS", r"\b[A-Z]{4,}\b")], [("LICENSE", "license"), ("LICENSE", "all rights reserved")], policy="leftmost"))
@@ -214,6 +227,8 @@ query("bm25_lucene", f"WITH {_BM}, s AS (SELECT query_id, doc_id, round(sum(qtf
 _KNN = "knn AS (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance FROM embeddings v JOIN embeddings q ON q.label = v.label AND q.vec_id <> v.vec_id AND q.vec_id % 100 = 0))"
 _knn = lambda t, k: retrieval.knn(t("embeddings").where("vec_id % 100 = 0"), t("embeddings"), k, ["label"])
 query("knn_filtered", f"WITH {_KNN} SELECT query_id, vec_id, distance, rank::INT AS rank FROM knn WHERE rank <= 10")(lambda t: _knn(t, 10))
+#: Approximate, so without SQL: tests hold it against knn.
+query("knn_hashed")(lambda t: vectors.search(t("embeddings").where("vec_id % 100 = 0"), vectors.hash_index(t("embeddings")), 10))
 _LISTS = lambda t: [_knn(t, 10), _knn(t, 10).withColumn("rank", 11 - F.col("rank"))]
 query("rrf_fusion", f"""WITH {_KNN}, l AS (SELECT query_id, vec_id, rank, 0 AS list FROM knn WHERE rank <= 10 UNION ALL SELECT query_id, vec_id, 11 - rank, 1 FROM knn WHERE rank <= 10),
 f AS (SELECT query_id, vec_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(rank) FILTER (WHERE list = 0) AS first FROM l GROUP BY 1, 2)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions import text as tx
 from docaudit.operators import evaluate, report, retrieval
-from docaudit.plans.catalog import ITEMS, ORACLES, TOKENS, VOTE, _items, _lit, query
+from docaudit.plans.catalog import ITEMS, ORACLES, TOKENS, VOTE, _lit, _row_audits, query
 
 DOMAINS = ["risk", "data", "docs", "logs"]
 ARTICLES = [9, 10, 11, 12]
@@ -64,14 +64,11 @@ query("risk_tier", """SELECT doc_id, CASE WHEN p THEN 'prohibited' WHEN h THEN '
 
 
 def _trust(t) -> DataFrame:
-    from docaudit.operators import evidence, rules
-    from docaudit.plans.catalog import PACK
-
-    docs = t("documents")
-    actor = rules.actor_vote(docs, PACK, ["g1", "g2", "g3"], "g2")
-    actor = actor.select("doc_id", F.when(F.col("doc_id") % 9 == 0, "unknown").otherwise(F.col("actor")).alias("actor"), F.when(F.col("doc_id") % 4 > 0, F.col("confidence")).alias("actor_confidence"))
-    duties = evidence.evidence_map(docs, _items(t)).select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("total")).alias("total_obligations"), F.col("mean_coverage").alias("coverage"))
-    return actor.join(duties, "doc_id").join(docs.select("doc_id", (F.col("n_chars") % 2 == 0).alias("is_high_risk"), (F.col("n_chars") % 6).alias("n_chunks"), F.least(F.col("n_chars") % 6, F.col("doc_id") % 4).alias("n_classified")), "doc_id")
+    known = _row_audits(t("documents"), "n_chars")
+    actor = F.when(F.col("doc_id") % 9 == 0, "unknown").otherwise(F.col("actor.actor"))
+    duties = F.when(F.col("doc_id") % 5 > 0, F.col("coverage.total"))
+    chunks = F.col("n_chars") % 6
+    return known.select("doc_id", actor.alias("actor"), F.when(F.col("doc_id") % 4 > 0, F.col("actor.confidence")).alias("actor_confidence"), duties.alias("total_obligations"), F.col("coverage.mean_coverage").alias("coverage"), (F.col("n_chars") % 2 == 0).alias("is_high_risk"), chunks.alias("n_chunks"), F.least(chunks, F.col("doc_id") % 4).alias("n_classified"))
 
 
 _TRUST = ITEMS + """, em AS (SELECT doc_id, count(*) AS total, avg(coverage) AS cov FROM items GROUP BY 1),
@@ -90,6 +87,39 @@ query("build_reports", f"""WITH {_OVERALL}, {_TRUST.removeprefix("WITH ")}, rp A
 SELECT d.doc_id, lang, source, arts, overall, confidence, needs_review FROM documents d JOIN rp USING (doc_id) JOIN ov USING (doc_id) JOIN ts USING (doc_id)""")(
     lambda t: _reports(t).select("doc_id", "lang", "source", F.array_join(F.transform("article_scores", lambda a: F.concat_ws(":", a["article"], a["score"].cast("int"), a["chunk_count"], F.size(a["gaps"]))), ",").alias("arts"), "overall", "confidence", "needs_review")
 )
+BACKEND, VERSIONS = "rules", {"classifier": "3", "retrieval": "2"}
+
+
+def _full_reports(t) -> DataFrame:
+    known = _row_audits(t("documents"), "lang", "source", "n_chars")
+    doc, n, none = F.col("doc_id"), F.col("n_chars"), F.lit(None)
+    gates = F.when(doc % 5 == 0, F.array().cast("array<int>")).when(doc % 5 == 1, F.array(F.lit(5))).when(doc % 5 == 2, F.array(F.lit(9), F.lit(11)))
+    audits = known.select(
+        "doc_id",
+        F.col("lang").alias("language"),
+        F.array("source").alias("source_files"),
+        (n % 6).alias("total_chunks"),
+        F.least(n % 6, doc % 4).alias("classified_chunks"),
+        F.col("source").alias("fallback_tier"),
+        F.when(n % 2 == 0, "high").alias("wizard_tier"),
+        F.struct((n % 3 == 0).alias("detected"), F.when(n % 3 == 0, "workplace").alias("context")).alias("emotion"),
+        F.when(doc % 4 > 0, F.struct(F.when(doc % 9 == 0, "unknown").otherwise(F.col("actor.actor")).alias("actor"), F.col("actor.confidence"))).alias("actor"),
+        F.when(gates.isNotNull(), F.struct(gates.alias("articles"), (n % 10 == 0).alias("is_prohibited"), (n % 2 == 0).alias("is_high_risk"))).otherwise(none).alias("applicability"),
+        F.when(doc % 5 != 3, F.col("coverage")).alias("evidence"),
+    )
+    return report.full_reports(audits, _scores(t), dict(zip([*ARTICLES, 13], [*DOMAINS, "users"])), VERSIONS, BACKEND)
+
+
+query("full_reports", f"""WITH {_OVERALL}, {_TRUST.removeprefix("WITH ")}, ar AS (SELECT doc_id, string_agg(concat_ws(':', article, ({_lit(DOMAINS)})[article - 8], score::INT, chunks, len(gaps), len(recs), CASE WHEN state = 'open' THEN 'r ' || doc_id ELSE '' END, np), '|' ORDER BY article) || '|13:users:0:0:0:0::0' AS arts FROM gp GROUP BY 1),
+evr AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE coverage >= 1) AS fully, count(*) FILTER (WHERE coverage > 0 AND coverage < 1) AS part, count(*) FILTER (WHERE coverage = 0) AS missing, avg(coverage) AS cov FROM items GROUP BY 1),
+fr AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, ar.arts AS arts, gt.arts AS gate, actor AS role, confidence, coalesce(total, 0) AS total, coalesce(fully, 0) AS fully, coalesce(part, 0) AS part, coalesce(missing, 0) AS missing, coalesce(cov, 0) AS cov, (SELECT round(coalesce(sum(score) FILTER (WHERE gt.arts IS NULL OR list_contains(gt.arts, gp.article)) / count(*) FILTER (WHERE gt.arts IS NULL OR list_contains(gt.arts, gp.article)) * CASE WHEN gt.arts IS NULL THEN 0.8 ELSE 1 END, 100), 1) FROM gp WHERE gp.doc_id = d.doc_id) AS overall
+  FROM documents d JOIN ar USING (doc_id) JOIN gt USING (doc_id) JOIN roles USING (doc_id) LEFT JOIN evr USING (doc_id)),
+ft AS (SELECT *, list_filter([CASE WHEN doc_id % 4 > 0 THEN confidence END, CASE WHEN doc_id % 5 = 3 THEN NULL WHEN total > 0 THEN 0.5 + cov / 2 WHEN gate IS NOT NULL AND n_chars % 2 = 0 THEN 0.5 END, CASE WHEN n_chars % 6 > 0 THEN least(n_chars % 6, doc_id % 4) / (n_chars % 6) END], lambda x: x IS NOT NULL) AS parts FROM fr),
+fm AS (SELECT *, CASE WHEN len(parts) = 0 THEN 1.0 ELSE list_avg(parts) END AS mean, CASE WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id % 9 = 0 THEN 'unknown' ELSE role END END AS who FROM ft)
+SELECT doc_id, lang AS language, source AS source_files, n_chars % 6 AS total_chunks, least(n_chars % 6, doc_id % 4) AS classified_chunks, CASE WHEN n_chars % 2 = 0 THEN 'high' END AS wizard_tier, n_chars % 3 = 0 AS emotion, who, array_to_string(gate, ',') AS gate, CASE WHEN doc_id % 5 <> 3 THEN concat_ws(':', total, fully, part, missing) END AS evidence, arts, round(overall, 6) AS overall_score,
+CASE WHEN gate IS NULL THEN source WHEN n_chars % 10 = 0 THEN 'prohibited' WHEN n_chars % 2 = 0 THEN 'high' ELSE 'minimal' END AS risk_tier, round(mean, 2) AS confidence_score, mean < 0.7 OR coalesce(who = 'unknown', false) AS requires_human_review, 'rules' AS classifier_backend, 'classifier=3,retrieval=2' AS versions FROM fm""")(
+    lambda t: _full_reports(t).select("doc_id", "language", F.array_join("source_files", ",").alias("source_files"), "total_chunks", "classified_chunks", "wizard_tier", F.col("emotion.detected").alias("emotion"), F.col("actor.actor").alias("who"), F.array_join(F.col("applicability.articles").cast("array<string>"), ",").alias("gate"), F.when(F.col("evidence").isNotNull(), F.concat_ws(":", "evidence.total", "evidence.fully", "evidence.partial", "evidence.missing")).alias("evidence"), F.array_join(F.transform("article_scores", lambda a: F.concat_ws(":", a["article"], a["domain"], a["score"].cast("int"), a["chunk_count"], F.size(a["gaps"]), F.size(a["recommendations"]), a["reasoning"], F.size(a["passages"]))), "|").alias("arts"), "overall_score", "risk_tier", "confidence_score", "requires_human_review", "classifier_backend", F.array_join(F.transform(F.map_entries("model_versions"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("versions"))
+)
 VOCABULARY = ["data", "record", "article", "requirement"]
 _PROBLEMS = _SCORES + f""", pb AS (SELECT doc_id, article, 'no passages' AS problem FROM gp WHERE chunks > 0 AND np = 0 UNION ALL
 SELECT doc_id, article, 'short description' FROM (SELECT doc_id, article, unnest(gaps) AS g FROM gp) WHERE len(list_filter(string_split_regex(trim(g.d), '\\s+'), lambda w: w <> '')) < 4 UNION ALL
