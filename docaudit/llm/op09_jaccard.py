@@ -21,6 +21,11 @@ CHUNK, BLOCK = 4096, 4096
 RISKY = 64
 #: Pairs whose sketches are compared at once.
 PAIRS = 16_000
+#: Groups with more doubtful pairs than this many times their members are decided on whole sets inside tasks, where each set is
+#: sent once to every pair of parts. A part has at most so many members, about, and so many bytes of sets.
+DENSE, PART, PART_BYTES = 2, 1024, 8 << 20
+#: Shingles of more sets than this are counted by products of matrices of so many cells, others pair by pair.
+COMMON, CELLS = 64, 1 << 21
 #: The buckets of one hub are compared as one group unless that makes so many times their pairs.
 UNION = 8
 BAND = 1.4
@@ -224,7 +229,8 @@ def _forest(members: DataFrame, num: int, den: int, turn: int) -> DataFrame:
 
     Of the pairs whose sketches leave no doubt (in the first round, turn 0, there are such), a spanning forest for the task:
     others are left out because these edges are assumed to hold. Of the doubtful ones, up to RISKY (and more in later rounds)
-    between two components of that forest leave without any assumption, and one more that is assumed."""
+    between two components of that forest leave without any assumption, and one more that is assumed. Groups with many doubtful
+    pairs (DENSE) send none of them, but rows of their members (b is -1): see _decided."""
     tries = RISKY << min(3 * turn, 40)
 
     def close(i: np.ndarray, j: np.ndarray, sketch: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,20 +261,26 @@ def _forest(members: DataFrame, num: int, den: int, turn: int) -> DataFrame:
             new = (batch[PLACE] != batch[PLACE].shift()).any(axis=1).to_numpy()
             starts = np.append(np.flatnonzero(new), len(batch))
             sizes, out = np.diff(starts), []
-            doubtful: list[tuple[int, int, int, int, int]] = []
+            place, waiting, dense, involved = np.cumsum(new) - 1, np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool), np.zeros(len(batch), bool)
+            doubtful: list[tuple[np.ndarray, np.ndarray]] = []
 
             def take(i: np.ndarray, j: np.ndarray) -> None:
                 ok = (comp[i] != comp[j]) & (~crossing[i] | (block[i] != block[j]))
                 i, j = i[ok], j[ok]
                 ok, safe = close(i, j, sketch, n)
                 i, j, safe = i[ok], j[ok], safe[ok]
-                for row, x, y, cx, cy, sure in zip(i.tolist(), cls[i].tolist(), cls[j].tolist(), comp[i].tolist(), comp[j].tolist(), safe.tolist()):
+                for row, x, y, cx, cy in zip(i[safe].tolist(), cls[i[safe]].tolist(), cls[j[safe]].tolist(), comp[i[safe]].tolist(), comp[j[safe]].tolist()):
                     if (x, y) not in bad and (y, x) not in bad and (rx := find(cx)) != (ry := find(cy)):
-                        if sure:
-                            root[max(rx, ry)] = min(rx, ry)
-                            out.append((row, x, y, True))
-                        else:
-                            doubtful.append((row, x, y, cx, cy))
+                        root[max(rx, ry)] = min(rx, ry)
+                        out.append((row, x, y, True))
+                i, j = i[~safe], j[~safe]
+                open_ = [(x, y) not in bad and (y, x) not in bad and find(cx) != find(cy) for x, y, cx, cy in zip(cls[i].tolist(), cls[j].tolist(), comp[i].tolist(), comp[j].tolist())]
+                i, j = i[np.array(open_, bool)], j[np.array(open_, bool)]
+                involved[i] = involved[j] = True
+                np.add.at(waiting, place[i], 1)
+                dense[waiting > DENSE * sizes] = True
+                few = ~dense[place[i]]
+                doubtful.append((i[few], j[few]))
 
             for size in np.unique(sizes[(sizes > 1) & (sizes <= 32)]):
                 start = starts[:-1][sizes == size]
@@ -286,14 +298,17 @@ def _forest(members: DataFrame, num: int, den: int, turn: int) -> DataFrame:
                             break
                     u, v = np.nonzero(np.triu(roots[i : i + step, None] != roots[None, :], i + 1))
                     take(all_[i + u], all_[v])
-            for row, x, y, cx, cy in doubtful:
-                if (rx := find(cx)) != (ry := find(cy)):
-                    between = (min(rx, ry), max(rx, ry))
-                    tried[between] = tried.get(between, 0) + 1
-                    if tried[between] > tries:
-                        root[between[1]] = between[0]
-                    out.append((row, x, y, tried[between] > tries))
-            return out
+            for i, j in doubtful:
+                few = ~dense[place[i]]
+                i, j = i[few], j[few]
+                for row, x, y, cx, cy in zip(i.tolist(), cls[i].tolist(), cls[j].tolist(), comp[i].tolist(), comp[j].tolist()):
+                    if (rx := find(cx)) != (ry := find(cy)):
+                        between = (min(rx, ry), max(rx, ry))
+                        tried[between] = tried.get(between, 0) + 1
+                        if tried[between] > tries:
+                            root[between[1]] = between[0]
+                        out.append((row, x, y, tried[between] > tries))
+            return out + [(row, int(cls[row]), -1, False) for row in np.flatnonzero(involved & dense[place]).tolist()]
 
         for batch in _grouped(batches, PLACE):
             failed = batch["partner"] >= 0
@@ -314,8 +329,9 @@ def jaccard_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
 
     Equal sets are one class. Classes that share a pigeonhole key in a size band meet in a bucket; buckets with the same
     members count once, and those of one smallest class are compared as one group. A group is compared in blocks of BLOCK
-    members, by size and bit sketch, inside tasks; only a spanning forest of the pairs that pass leaves a task, and each of
-    its edges is verified on the whole sets. Where an edge that was assumed to hold fails, the next round looks again at the
+    members, by size and bit sketch, inside tasks; a spanning forest of the pairs that surely pass leaves a task, and a few of the
+    doubtful ones a member, and each of these edges is verified on the whole sets. Where a group has more doubtful pairs, as
+    families of one template near the threshold do, its members' sets meet in tasks, which decide all its pairs exactly. Where an edge that was assumed to hold fails, the next round looks again at the
     classes that such edges may have kept apart, without the pairs that failed; so every link between different texts counts.
     Words are split at ASCII white space and A-Z is lower-cased. Fewer than k words: the whole sequence is one shingle.
     Null text or no words: the empty set, linked with nothing. Rows with one doc_id: each has its own set; its component
@@ -356,8 +372,12 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         edges = cut(_forest(now, num, den, turn), narrow=True)
         if comp is not None and not edges.limit(1).count():
             break
+        dense, edges = edges.where("b < 0"), edges.where("b >= 0")
         with batch_rows(spark, TEXT_ROWS):
             checked = cut(_verified(docs, info, edges.select("a", "b").distinct(), k, num, den), narrow=True)
+            if dense.limit(1).count():
+                decided = cut(_decided(docs, info, dense, k, num, den), narrow=True)
+                links = decided if links is None else links.union(decided)
         good, wrong = checked.where("linked").select("a", "b"), broadcast_if_small(checked.where("not linked").select("a", "b"))
         links = good if links is None else links.union(good)
         again = edges.join(wrong, ["a", "b"])
@@ -379,9 +399,9 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return out.union(rows.where("cls < 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _verified(docs: DataFrame, info: DataFrame, edges: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b, linked), by the whole shingle sets of both classes; only texts that an edge needs are read again."""
-    ends = cut(edges.select(F.col("a").alias("cls")).union(edges.select("b")).distinct().join(info, "cls").select("cls", "doc_id"), narrow=True)
+def _whole_sets(docs: DataFrame, info: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(cls, shingles) of the classes; only texts of theirs are read again."""
+    ends = cut(classes.join(info, "cls").select("cls", "doc_id"), narrow=True)
     wanted = broadcast_if_small(ends.select(F.col("doc_id").alias("_wanted")).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +410,92 @@ def _verified(docs: DataFrame, info: DataFrame, edges: DataFrame, k: int, num: i
             yield pa.RecordBatch.from_arrays([pa.array([set_class(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.large_binary()).cast(pa.binary())], ["cls", "shingles"])
 
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
-    whole = cut(texts.mapInArrow(sets, "cls long, shingles binary").join(broadcast_if_small(ends.select("cls")), "cls", "left_semi").dropDuplicates(["cls"]), narrow=True)
+    return cut(texts.mapInArrow(sets, "cls long, shingles binary").join(broadcast_if_small(ends.select("cls")), "cls", "left_semi").dropDuplicates(["cls"]), narrow=True)
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share (a square matrix; the diagonal means nothing)."""
+    m = len(sets)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(at, kind="stable")
+    owner, often = np.repeat(np.arange(m), [len(s) for s in sets])[order], times[at[order]]
+    both = np.zeros(m * m)
+    for t in np.unique(times[(times > 1) & (times <= COMMON)]):
+        sharing = owner[often == t].reshape(-1, t)
+        u, v = np.triu_indices(t, 1)
+        step = max(1, CELLS // len(u))
+        for i in range(0, len(sharing), step):
+            pairs = (sharing[i : i + step, u] * m + sharing[i : i + step, v]).ravel()
+            some, n = np.unique(pairs, return_counts=True)
+            both[some] += n
+    both = both.reshape(m, m)
+    both += both.T
+    ends = np.cumsum(times[times > COMMON])
+    owner, width = owner[often > COMMON], max(1, CELLS // m)
+    column = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    for start in range(0, len(ends), width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        x = np.zeros((m, min(width, len(ends) - start)), np.float32)
+        x[owner[lo:hi], column[lo:hi] - start] = 1
+        both += x @ x.T
+    return both
+
+
+def exact_forest(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets, as pairs of their places in the list."""
+    if len(sets) < 2:
+        return []
+    n, both = np.array([len(s) for s in sets]), shared_counts(sets)
+    linked = den * both >= num * (n[:, None] + n[None, :] - both)
+    seen, out = np.zeros(len(sets), bool), []
+    for first in range(len(sets)):
+        if seen[first]:
+            continue
+        seen[first], todo = True, [first]
+        while todo:
+            i = todo.pop()
+            near = np.flatnonzero(linked[i] & ~seen).tolist()
+            seen[near] = True
+            todo += near
+            out += [(i, j) for j in near]
+    return out
+
+
+def _decided(docs: DataFrame, info: DataFrame, dense: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): links that span what the members of each place are linked to, decided on whole sets. The members are dealt to parts
+    by hash, as many as PART and PART_BYTES ask for, and each two parts meet in a task."""
+    rows = cut(dense.select(*PLACE, F.col("a").alias("cls")).distinct().join(info.select("cls", "n_shingles"), "cls"), narrow=True)
+    parts = F.greatest(F.ceil(F.sum("n_shingles") * 8 / PART_BYTES), F.ceil(F.count("*") / PART)).cast("int")
+    dealt = rows.join(rows.groupBy(*PLACE).agg(parts.alias("parts")), PLACE).withColumn("part", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    by = [*PLACE, "u", "v"]
+    dealt = dealt.select(*PLACE, F.least("part", "other").alias("u"), F.greatest("part", "other").alias("v"), "cls")
+    met = dealt.join(_whole_sets(docs, info, rows.select("cls").distinct(), k), "cls")
+    met = met.repartition(partitions(docs.sparkSession), *by).sortWithinPartitions(*by, "cls")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(cls: list[int], sets: list[bytes]) -> pa.RecordBatch:
+            found = exact_forest([np.frombuffer(x, np.uint64) for x in sets], num, den)
+            return pa.RecordBatch.from_arrays([pa.array([cls[e[side]] for e in found], pa.int64()) for side in (0, 1)], ["a", "b"])
+
+        here, cls, sets = None, [], []
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in [*by, "cls", "shingles"]]):
+                if row[: len(by)] != here:
+                    if cls:
+                        yield links(cls, sets)
+                    here, cls, sets = row[: len(by)], [], []
+                cls.append(row[-2])
+                sets.append(row[-1])
+        if cls:
+            yield links(cls, sets)
+
+    return met.select(*by, "cls", "shingles").mapInArrow(decide, "a long, b long").distinct()
+
+
+def _verified(docs: DataFrame, info: DataFrame, edges: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b, linked), by the whole shingle sets of both classes; only texts that an edge needs are read again."""
+    whole = _whole_sets(docs, info, edges.select(F.col("a").alias("cls")).union(edges.select("b")).distinct(), k)
     pairs = edges.join(whole.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(whole.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
