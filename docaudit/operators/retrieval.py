@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions.text import tokens
-from docaudit.operators.postings import bm25_search, counted, term_statistics
+from docaudit.operators.postings import bm25_search, statistics
 
 
 def with_whole(passages: DataFrame, part: str) -> DataFrame:
@@ -16,8 +16,8 @@ def with_whole(passages: DataFrame, part: str) -> DataFrame:
 
 def bm25_stats(passages: DataFrame, part: list[str]) -> tuple[DataFrame, DataFrame]:
     """Partition sizes (part, n, avgdl) and terms (part, term, df, idf, lucene_idf)."""
-    sizes, postings = counted(passages, part)
-    return sizes, term_statistics(sizes, postings, part).drop("top")
+    values = F.from_json("g", passages.select(*part).schema) if part else None
+    return tuple(df.select(*[values[c].alias(c) for c in part], *[c for c in df.columns if c != "g"]) for df in statistics(passages, part))
 
 
 QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
