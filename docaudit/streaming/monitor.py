@@ -32,7 +32,7 @@ class Pairing:
 
     def until(self, now: int) -> list[tuple[int, float | None]]:
         """Audits whose time limit has passed: (began, no duration)."""
-        n = sum(at + self.limit <= now for at in self.opened)
+        n = next((i for i, at in enumerate(self.opened) if at + self.limit > now), len(self.opened))
         gone, self.opened = self.opened[:n], self.opened[n:]
         return [(at, None) for at in gone]
 
@@ -50,9 +50,9 @@ class Pairing:
 PAIRED = "began timestamp, seconds double, finished boolean"
 
 
-def _paired(key: str, value, rows: list[tuple[int, float | None]]) -> pd.DataFrame:
+def _paired(key: str, values: list, rows: list[tuple[int, float | None]]) -> pd.DataFrame:
     began = pd.to_datetime(pd.Series([x for x, _ in rows], dtype="int64"), unit="us", utc=True)
-    return pd.DataFrame({key: pd.Series([value] * len(rows), dtype=object), "began": began, "seconds": pd.Series([s for _, s in rows], dtype="float64"), "finished": [s is not None for _, s in rows]})
+    return pd.DataFrame({key: pd.Series(values, dtype=object), "began": began, "seconds": pd.Series([s for _, s in rows], dtype="float64"), "finished": [s is not None for _, s in rows]})
 
 
 def pair_each_audit(events: DataFrame, start: str, finish: str, limit: str = "1 day", key: str = "user_id", now: str | None = None) -> DataFrame:
@@ -64,18 +64,23 @@ def pair_each_audit(events: DataFrame, start: str, finish: str, limit: str = "1
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, pairing = None, None
         for batch in batches:
-            out = []
-            for value, at, kind in zip(batch[key], batch["at_micros"], batch["event_type"]):
+            keys, out = [], []  # of one batch
+
+            def ends(ended: list[tuple[int, float | None]]) -> None:
+                keys.extend([own] * len(ended))
+                out.extend(ended)
+
+            for value, at, kind in zip(batch[key].tolist(), batch["at_micros"].tolist(), batch["event_type"].tolist()):
                 if pairing is None or value != own:
                     if pairing is not None and last is not None:
-                        out.append(_paired(key, own, pairing.until(last)))
+                        ends(pairing.until(last))
                     own, pairing = value, Pairing([], micros)
-                if ended := pairing.event(at, kind, start, finish):
-                    out.append(_paired(key, own, ended))
+                ends(pairing.event(at, kind, start, finish))
             if out:
-                yield pd.concat(out)
+                yield _paired(key, keys, out)
         if pairing is not None and last is not None:
-            yield _paired(key, own, pairing.until(last))
+            rest = pairing.until(last)
+            yield _paired(key, [own] * len(rest), rest)
 
     rows = events.where(F.col(key).isNotNull() & F.col("event_type").isin(start, finish)).select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("at_micros"), "event_type", "event_id")
     dealt = rows.repartition(key).sortWithinPartitions(key, "at_micros", "event_id")
@@ -119,7 +124,7 @@ class _PairAudits(StatefulProcessor):
                 state.put(rows)
         self._wake(later, pairing.opened)
         if ended:
-            yield _paired(self.key, key[0], ended)
+            yield _paired(self.key, [key[0]] * len(ended), ended)
 
     def close(self) -> None:
         pass

@@ -91,3 +91,10 @@ def test_stream_of_panes_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     figures = lambda df: sorted(map(tuple, monitor.pane_figures(df).collect()))
     assert figures(spark.table("panes")) == figures(monitor.panes(d, "30 minutes")) and spark.table("panes").count() > 10
+
+
+def test_audits_of_several_keys_are_one_frame():
+    got = stream._paired("user_id", [7, 8, 8], [(0, 1.5), (1_000_000, None), (2_000_000, 0.0)])
+    assert got["user_id"].tolist() == [7, 8, 8] and got["finished"].tolist() == [True, False, True]
+    pairing = stream.Pairing([1, 2, 50], 10)
+    assert pairing.until(12) == [(1, None), (2, None)] and pairing.opened == [50] and pairing.until(59) == []
