@@ -56,3 +56,14 @@ def test_chunkers_in_sql(spark):
     assert lateral("chunk_boundary(d.text)") == rows(segment.chunk_boundary(docs))
     assert lateral("chunk_fixed(d.text, 100, 10)") == rows(segment.chunk_fixed(docs, 100, 10))
     assert lateral("text_sections(d.text)") == rows(segment.detect_sections(docs))
+
+
+def test_rules_are_tried_where_their_literal_stands():
+    import re
+
+    assert packs.placed("(?<![a-z])word(?![a-z])") == ("word", 0, 0) and packs.placed("a{1,3}bcd") == ("bcd", 1, 3) and packs.placed("a*bcd|x") is None and packs.placed(".*b") is None
+    patterns = ["(?<![a-z])word(?![a-z])", r"^word", r"word$", r"[0-9]{2,4} words?", r"(?:a|b)word", r"\bsword\b", r"x.*word", "ſword", r"(w)ord\1"]
+    texts = ["Word", "swords and word", "12 WORD", "12345 words", "aword", "xx word", "ſword", "\nword\n", "İword wordw", "", "foreword: no"]
+    machine = packs.Machine(patterns)
+    for t in texts:
+        assert machine(t) == [i for i, p in enumerate(patterns) if re.search(p, t, re.I)], t
