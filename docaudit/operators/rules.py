@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docaudit.functions.slices import each_text
 from docaudit.functions.text import FLAGS, contains_any, rule_scan
 
 Rules = list[tuple[str, int, str, str]]
@@ -288,7 +289,7 @@ def annotate(docs: DataFrame, patterns: list[tuple[str, str]], phrases: list[tup
     labels). Phrases ignore case, but not those of the labels in `exact`. policy: settles overlaps in the same pass. most: reads
     only so many characters. Null text: none. Offsets are of the text as it stands, whatever lower case does to its length."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         import ahocorasick
 
         compiled = [(re.compile(p), label) for label, p in patterns]
@@ -304,21 +305,20 @@ def annotate(docs: DataFrame, patterns: list[tuple[str, str]], phrases: list[tup
                     machine.add_word(phrase, found)
                 machine.make_automaton()
                 machines.append((machine, case))
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                text = (text or "")[:most]
-                spans = [(m.start(), m.end(), label) for p, label in compiled for m in p.finditer(text)]
-                low = text.lower()
-                # a letter may be several in lower case: where each of those stands in the text
-                place = range(len(text) + 1) if len(low) == len(text) else [i for i, ch in enumerate(text) for _ in ch.lower()] + [len(text)]
-                for machine, case in machines:
-                    for end, found in machine.iter(text if case else low):
-                        spans += [(end + 1 - n, end + 1, label) if case else (place[end + 1 - n], place[end] + 1, label) for label, n in found]
-                out += [(doc, *x) for x in (settled(spans, policy) if policy else spans)]
-            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "label"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, SPAN)
+        def spans_of(text: str) -> list[tuple[int, int, str]]:
+            text = text[:most]
+            spans = [(m.start(), m.end(), label) for p, label in compiled for m in p.finditer(text)]
+            low = text.lower()
+            # a letter may be several in lower case: where each of those stands in the text
+            place = range(len(text) + 1) if len(low) == len(text) else [i for i, ch in enumerate(text) for _ in ch.lower()] + [len(text)]
+            for machine, case in machines:
+                for end, found in machine.iter(text if case else low):
+                    spans += [(end + 1 - n, end + 1, label) if case else (place[end + 1 - n], place[end] + 1, label) for label, n in found]
+            return settled(spans, policy) if policy else spans
+
+        return spans_of
+
+    return each_text(docs, "doc_id", "text", SPAN.removeprefix("doc_id long, "), start)
 
 
 def resolve_spans(spans: DataFrame, policy: str = "leftmost", ends: DataFrame | None = None) -> DataFrame:

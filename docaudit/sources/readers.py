@@ -2,11 +2,12 @@
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docaudit.functions.slices import each_text
+
 OBLIGATION = "id string, regulation string, article string, source_paragraph string, title string, actor array<string>, requirement_type string, requirement string, evidence_required array<string>, severity string, linked_articles array<string>, penalty_relevance boolean, annex_category int"
 
 
@@ -132,17 +133,13 @@ class _Blocks(HTMLParser):
 def extract_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, block_index, text): the text blocks of each page, scripts and styles left out."""
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for page, html in zip(batch["page_id"], batch["html"]):
-                parser = _Blocks()
-                parser.feed(html or "")
-                parser._end()
-                out += [(page, i, t) for i, t in enumerate(parser.blocks)]
-            yield pd.DataFrame(out, columns=["page_id", "block_index", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, block_index int, text string")
+    def blocks(html: str) -> list[tuple[int, str]]:
+        parser = _Blocks()
+        parser.feed(html)
+        parser._end()
+        return list(enumerate(parser.blocks))
+
+    return each_text(pages, "page_id", "html", "block_index int, text string", lambda: blocks)
 
 
 def extract_sections(pages: DataFrame, start: str, stop: str) -> DataFrame:
