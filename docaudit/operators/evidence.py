@@ -7,17 +7,23 @@ from docaudit.functions.plan import broadcast_if_small
 from docaudit.functions.text import rule_scan, synonym_pattern
 
 
+#: Obligations that go to every task.
+FEW = 1_000
+
+
 def applicable_obligations(audits: DataFrame, obligations: DataFrame) -> DataFrame:
     """audits (doc_id, role, articles, gdpr_articles) with each obligation that applies: its actors are empty or hold the role,
     and its article, if it has one, is among those of its regulation.
 
-    What applies rests on role and articles alone, so obligations meet each distinct combination of those once; documents are
-    joined back by it."""
+    Up to FEW obligations meet each document where it is read. More of them meet each distinct combination of role and articles
+    once, on which alone it rests what applies; documents are joined back by it."""
     names = ["role", "articles", "gdpr_articles"]
-    kinds = broadcast_if_small(audits.select(*names).distinct(), 100_000)
     articles = F.when(F.col("regulation") == "gdpr", F.col("gdpr_articles")).otherwise(F.col("articles"))
     fits = (F.coalesce(F.size("actor"), F.lit(0)) <= 0) | F.array_contains("actor", F.col("role"))
     applies = F.col("article_num").isNull() | F.coalesce(F.array_contains(articles, F.col("article_num")), F.lit(False))
+    if obligations.limit(FEW + 1).count() <= FEW:
+        return audits.join(F.broadcast(obligations), fits & applies).select(*audits.columns, *obligations.columns)
+    kinds = broadcast_if_small(audits.select(*names).distinct(), 100_000)
     due = obligations.join(kinds, fits & applies)
     on = [audits[n].eqNullSafe(due[n]) for n in names]
     return audits.join(due, on[0] & on[1] & on[2]).select(audits["*"], *[due[c] for c in obligations.columns])
@@ -36,10 +42,15 @@ def evidence_hits(docs: DataFrame, synonyms: dict[str, list[str]], required: lis
 def evidence_items(audits: DataFrame, obligations: DataFrame, hits: DataFrame) -> DataFrame:
     """(doc_id, obligation_id, regulation, n_required, n_satisfied, satisfied, missing, coverage) of every obligation that applies,
     the terms in declared order, coverage to three decimals; with chunk_ids, distinct and in order, if hits have chunk_id."""
-    need = applicable_obligations(audits, obligations).select("doc_id", "obligation_id", "regulation", F.posexplode_outer("evidence_required").alias("pos", "term"))
+    due = applicable_obligations(audits, obligations)
+    each = ["doc_id", "obligation_id", "regulation", F.posexplode_outer("evidence_required").alias("pos", "term")]
     chunked = "chunk_id" in hits.columns
-    found = hits.groupBy("doc_id", "term").agg(F.lit(True).alias("hit"), *[F.collect_set("chunk_id").alias("_chunks")] * chunked)
-    got = need.join(found, ["doc_id", "term"], "left")
+    if chunked:
+        found = hits.groupBy("doc_id", "term").agg(F.lit(True).alias("hit"), F.collect_set("chunk_id").alias("_chunks"))
+        got = due.select(*each).join(found, ["doc_id", "term"], "left")
+    else:  # a document's terms come along as one row, and what follows stays with it
+        found = hits.groupBy("doc_id").agg(F.collect_set("term").alias("_terms"))
+        got = due.join(found, "doc_id", "left").select(*each, "_terms").withColumn("hit", F.when(F.array_contains("_terms", F.col("term")), True))
     listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c & F.col("term").isNotNull(), F.struct("pos", "term")))), lambda x: x["term"]), ",")
     more = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("_chunks")))).alias("chunk_ids")] * chunked
     out = got.groupBy("doc_id", "obligation_id", "regulation").agg(F.count("term").alias("n_required"), F.count("hit").alias("n_satisfied"), listed(F.col("hit").isNotNull()).alias("satisfied"), listed(F.col("hit").isNull()).alias("missing"), *more)

@@ -61,10 +61,10 @@ def _obligations(spark: SparkSession) -> DataFrame:
 
 def _audits(docs: DataFrame) -> DataFrame:
     """Role by vote; articles by whether data or license occurs; second regulation by stop words."""
-    role = rules.actor_vote(docs, PACK, ["g1", "g2", "g3"], "g2").select("doc_id", F.col("actor").alias("role"))
+    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(tx.FLAGS + p), F.lit(g)) for g, _, p, _ in PACK]))
     high = F.col("text").rlike(tx.FLAGS + PACK[0][2])
-    gated = docs.select("doc_id", rules.applicability(F.col("text").contains("queen"), high).alias("articles"), rules.second_gate(F.col("text"), [PACK[3][2]], {22: [PACK[2][2]]}, [5, 13]).alias("gdpr_articles"))
-    return role.join(gated, "doc_id")
+    gated = docs.select("doc_id", hits.alias("hits"), rules.applicability(F.col("text").contains("queen"), high).alias("articles"), rules.second_gate(F.col("text"), [PACK[3][2]], {22: [PACK[2][2]]}, [5, 13]).alias("gdpr_articles"))
+    return gated.select("doc_id", rules.most_hits(F.col("hits"), ["g1", "g2", "g3"], "g2").alias("role"), "articles", "gdpr_articles")
 
 
 VOTE = HITS + """, votes AS (SELECT doc_id, rule_group, count(*) AS n FROM hits GROUP BY ALL),

@@ -230,3 +230,15 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = monitor.windowed_stats(events, "1 hour").select("began", "event_type", "n")
     assert spark.table("stats").select("began", "event_type", "n").exceptAll(batch).count() == 0
     assert spark.table("stats").count() == batch.count()
+
+
+def test_few_obligations_meet_documents_without_a_shuffle(spark):
+    audits = spark.createDataFrame([(1, "g1", [9], [5]), (2, None, None, []), (3, "g2", [], [13])], "doc_id long, role string, articles array<int>, gdpr_articles array<int>").repartition(2)
+    duties = spark.createDataFrame([("a", "ai", 9, ["g1"], ["x", "y"]), ("b", "gdpr", 13, [], ["x"]), ("c", "ai", None, None, None)], "obligation_id string, regulation string, article_num int, actor array<string>, evidence_required array<string>")
+    due = evidence.applicable_obligations(audits, duties)
+    assert sorted((r.doc_id, r.obligation_id) for r in due.collect()) == [(1, "a"), (1, "c"), (2, "c"), (3, "b"), (3, "c")]
+    plan = due._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "HashJoin" not in plan and "SortMergeJoin" not in plan
+    hits = spark.createDataFrame([(1, "y"), (1, "y"), (3, "z")], "doc_id long, term string")
+    got = {(r.doc_id, r.obligation_id): (r.n_required, r.n_satisfied, r.satisfied, r.missing) for r in evidence.evidence_items(audits, duties, hits).collect()}
+    assert got == {(1, "a"): (2, 1, "y", "x"), (1, "c"): (0, 0, "", ""), (2, "c"): (0, 0, "", ""), (3, "b"): (1, 0, "", "x"), (3, "c"): (0, 0, "", "")}
