@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from docaudit.functions.text import tokens
 from docaudit.operators.postings import bm25_search, statistics
@@ -41,13 +42,14 @@ def _blocks(df: DataFrame, key: str, where: list[str], size: int) -> DataFrame:
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, where: list[str] | None = None) -> DataFrame:
     """(query_id, vec_id, distance, rank) by cosine distance among vectors that share the filter columns."""
-    return best_hits(block_hits(queries, vectors, k, where), k)
+    return best_hits(block_hits(queries, vectors, k, where, queries.sparkSession.sparkContext.defaultParallelism * 2), k)
 
 
-def block_hits(queries: DataFrame, vectors: DataFrame, k: int, where: list[str] | None = None) -> DataFrame:
-    """(query_id, vec_id, distance): blocks of queries meet blocks of vectors; each pair of blocks gives k rows a query at most."""
-    v = _blocks(vectors, "vec_id", where or [], VECTOR_BLOCK)
-    q = _blocks(queries.repartition(max(1, queries.sparkSession.sparkContext.defaultParallelism // 4)), "vec_id", where or [], QUERY_BLOCK).select("g", "dim", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
+def block_hits(queries: DataFrame, vectors: DataFrame, k: int, where: list[str] | None = None, salts: int = 1) -> DataFrame:
+    """(query_id, vec_id, distance): blocks of queries meet blocks of vectors; each pair of blocks gives k rows a query at most.
+    salts: parts over which the vectors of one filter value are dealt, so that many meet the queries in many tasks."""
+    v = _blocks(vectors, "vec_id", where or [], VECTOR_BLOCK).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+    q = _blocks(queries.repartition(max(1, queries.sparkSession.sparkContext.defaultParallelism // 4)), "vec_id", where or [], QUERY_BLOCK).select("g", "dim", F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
     def search(batches):
         for batch in batches:
@@ -55,16 +57,17 @@ def block_hits(queries: DataFrame, vectors: DataFrame, k: int, where: list[str]
             for row in batch.itertuples():
                 ids, q_ids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.q_ids, np.int64)
                 near = np.round(1 - np.frombuffer(row.q).reshape(len(q_ids), -1) @ np.frombuffer(row.x).reshape(len(ids), -1).T, 6)
-                near[q_ids[:, None] == ids[None, :]] = np.inf
+                near[(q_ids[:, None] == ids[None, :]) | np.isnan(near)] = np.inf
                 n = min(k, len(ids))
-                for i, d in enumerate(near):
-                    close = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
-                    close = close[np.lexsort((ids[close], d[close]))][:n]
-                    close = close[np.isfinite(d[close])]
-                    out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[close], "distance": d[close] + 0.0}))
+                at, of = np.nonzero((near <= np.partition(near, n - 1, axis=1)[:, n - 1 : n]) & np.isfinite(near))
+                order = np.lexsort((ids[of], near[at, of], at))
+                at, of = at[order], of[order]
+                first = np.arange(len(at)) - np.searchsorted(at, at) < n
+                at, of = at[first], of[first]
+                out.append(pd.DataFrame({"query_id": q_ids[at], "vec_id": ids[of], "distance": near[at, of] + 0.0}))
             yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
 
-    return v.join(q, ["g", "dim"]).mapInPandas(search, "query_id long, vec_id long, distance double")
+    return v.join(q, ["g", "dim", "salt"]).select("ids", "x", "q_ids", "q").mapInPandas(search, "query_id long, vec_id long, distance double")
 
 
 def best_hits(hits: DataFrame, k: int) -> DataFrame:
@@ -99,21 +102,24 @@ def hybrid_retrieve(chunks: DataFrame, passages: DataFrame, applicable: DataFram
 
     chunks: doc_id, query_id, article, lang, text, embedding. passages: doc_id, article, regulation, lang, text, embedding. A
     regulation limits the vector search before, and the word search after its first `candidates`; passages without one don't match."""
-    open_ = gate_chunks(chunks, applicable)
-    both = with_whole(passages, "article")
+    open_ = gate_chunks(chunks, applicable).select("query_id", "article", "lang", "text", "embedding").persist(StorageLevel.MEMORY_AND_DISK)
+    # read once, and dealt evenly: wherever they come from, all tasks share the searches
+    tasks = 4 * passages.sparkSession.sparkContext.defaultParallelism
+    passages = passages.select("doc_id", "article", "regulation", "lang", "text", "embedding").repartition(tasks, "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
     words = bm25_search(open_.select("query_id", "article", "text"), passages, ["article"], candidates, whole=True).select("query_id", "doc_id", F.lit(0.0).alias("distance"), F.col("rank").alias("place"))
-    near = both if regulation is None else both.where(F.col("regulation") == regulation)
-    vectors = knn(open_.select(F.col("query_id").alias("vec_id"), "article", "embedding"), near.select((-1 - F.col("doc_id")).alias("vec_id"), "article", "embedding"), candidates, ["article"])
+    near = passages if regulation is None else passages.where(F.col("regulation") == regulation)
+    near = with_whole(near.select((-1 - F.col("doc_id")).alias("vec_id"), "article", "embedding"), "article")
+    vectors = knn(open_.select(F.col("query_id").alias("vec_id"), "article", "embedding"), near, candidates, ["article"])
     vectors = vectors.select("query_id", (-1 - F.col("vec_id")).alias("doc_id"), "distance", F.col("rank").alias("place"))
-    about = passages.select("doc_id", F.col("lang").alias("_lang"), "regulation", F.col("text").alias("_text"))
-    asked = open_.select("query_id", F.col("lang").alias("query_lang"), F.col("text").alias("query_text"))
+    about = passages.select("doc_id", "lang", "regulation")
+    asked = open_.select("query_id", F.col("lang").alias("query_lang"))
     lists = []
     for hits, late in ((words, True), (vectors, False)):
         hits = hits.join(about, "doc_id").join(asked, "query_id")
         if late and regulation is not None:
             hits = hits.where(F.col("regulation") == regulation)
-        lists.append(language_rank(hits.withColumnRenamed("_lang", "lang")).select("query_id", "doc_id", "rank"))
-    fused = rrf(lists, "doc_id").join(about, "doc_id").join(asked, "query_id").withColumnRenamed("_text", "text")
+        lists.append(language_rank(hits).select("query_id", "doc_id", "rank"))
+    fused = rrf(lists, "doc_id").join(passages.select("doc_id", "text"), "doc_id").join(open_.select("query_id", F.col("text").alias("query_text")), "query_id")
     return overlap_rerank(fused, k).select("query_id", "doc_id", F.col("overlap").alias("score"), F.col("new_rank").alias("rank"))
 
 

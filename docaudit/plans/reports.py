@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as tx
+from docaudit.functions.plan import broadcast_if_small
 from docaudit.operators import evaluate, report, retrieval
 from docaudit.plans.catalog import ITEMS, ORACLES, TOKENS, VOTE, _lit, _row_audits, query
 
@@ -163,7 +164,8 @@ _DIM = 64
 
 def _passages(t) -> DataFrame:
     d = t("documents").select("doc_id", (F.col("n_chars") % 3 + 9).cast("int").alias("article"), F.when(F.col("doc_id") % 5 > 0, F.when(F.col("doc_id") % 5 > 1, "ai").otherwise("gdpr")).alias("regulation"), "lang", "text")
-    return d.join(t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    e = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return d.join(broadcast_if_small(e.select("doc_id")), "doc_id", "left_semi").join(e, "doc_id")  # texts of no embedding stay
 
 
 def _asked(t) -> DataFrame:
