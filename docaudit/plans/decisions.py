@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from docaudit.functions import text as tx
 from docaudit.operators import classify, evaluate, evidence, prep, rules, scorers, segment
@@ -71,15 +72,20 @@ def _labelled(t) -> DataFrame:
     return t("documents").select("doc_id", "text", F.col("lang").alias("truth"), F.pmod(F.xxhash64("doc_id"), F.lit(5)).alias("fold"))
 
 
+def _counts(rows: DataFrame) -> DataFrame:
+    """Hashed words in place of texts, held for both the model and its predictions."""
+    return classify.hashed(rows).drop("text").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _chunk_classes(t) -> DataFrame:
     """Languages as classes: a model of four fifths of the documents names all."""
-    rows = _labelled(t)
+    rows = _counts(_labelled(t))
     model = classify.train(rows.where("fold > 0"), "truth")
     return classify.predict(rows, model, fallback="unrelated").select("doc_id", "truth", "fold", "label", F.round("confidence", 4).alias("confidence"), "backend")
 
 
 query("chunk_classifier")(_chunk_classes)
-query("document_classifier")(lambda t: (lambda rows: classify.predict(rows, classify.train(rows.where("doc_id % 5 > 0"), "truth"), least=0.8, fallback="unknown").select("doc_id", "truth", "label", F.round("confidence", 4).alias("confidence")))(t("labels").join(t("documents"), "doc_id").select("doc_id", "text", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("truth"))))
+query("document_classifier")(lambda t: (lambda rows: classify.predict(rows, classify.train(rows.where("doc_id % 5 > 0"), "truth"), least=0.8, fallback="unknown").select("doc_id", "truth", "label", F.round("confidence", 4).alias("confidence")))(_counts(t("labels").join(t("documents"), "doc_id").select("doc_id", "text", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("truth")))))
 
 _TEXTS = [("ai", 9, "en", "nine"), ("ai", 9, "de", "neun"), ("ai", 10, "en", "ten"), ("gdpr", 9, "de", "dsgvo")]
 query("article_text", f"""SELECT o_orderkey, coalesce(a.text, b.text, '') AS text FROM (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'gdpr' ELSE 'ai' END AS regulation, (9 + o_custkey % 2)::INT AS article, CASE WHEN o_orderkey % 2 = 0 THEN 'de' ELSE 'fr' END AS lang FROM orders) k
