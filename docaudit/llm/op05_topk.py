@@ -11,6 +11,8 @@ from .common import cut, discard, numbered, table
 
 BINS = 512
 BLOCK = 4096
+#: Queries of a block that are scored at once.
+SLICE = 128
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -62,20 +64,49 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(row) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query of a pair of blocks: its place, and scores and ids of the candidates that are not its own row."""
-    qrow, crow, cids = (np.frombuffer(x, np.int64) for x in (row.q_row, row.c_row, row.c_vec_id))
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows dealt evenly over the tasks that meeting gives its groups to: not more than there are blocks of them."""
+    return rows.repartition(min(max(1, -(-n // BLOCK)), 4 * rows.sparkSession.sparkContext.defaultParallelism))
+
+
+def meeting(cand: DataFrame, packed: DataFrame) -> DataFrame:
+    """Every block of queries with every block of candidates of its dimension; a task for each group (g) of candidate blocks.
+
+    Both sides are shuffled by group and merged. Left to itself, Spark would see a few small rows in the blocks of queries,
+    and broadcast them through the driver, where they are copies for all groups."""
+    groups = cand.agg(F.max("g")).first()[0]
+    groups = 1 if groups is None else groups + 1
+    packed = packed.withColumnRenamed("dim", "q_dim").withColumn("q_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    met = cand.repartitionById(groups, F.col("g")).join(packed.repartitionById(groups, F.col("q_g")).hint("merge"), F.col("g") == F.col("q_g"))
+    return met.where("dim - q_dim = 0")  # after the join: as a key of it, it would have both sides shuffled again
+
+
+def _pairs(row) -> Iterator[tuple[slice, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """For each slice of the queries of a pair of blocks: scores of all candidates, and the places of queries' own rows in
+    them, whose scores are LEAST."""
+    qrow, crow = (np.frombuffer(x, np.int64) for x in (row.q_row, row.c_row))
     q, c = _matrix(row.q_n, row.q_m), _matrix(row.c_n, row.c_m)
-    for a in range(0, len(qrow), 128):
-        scores = _scores(q[a : a + 128], c)
-        for i, s in enumerate(scores, a):
-            other = crow != qrow[i]
-            yield i, s[other], cids[other]
+    for a in range(0, len(qrow), SLICE):
+        part = slice(a, a + SLICE)
+        scores = _scores(q[part], c)
+        here = np.flatnonzero(np.isin(qrow[part], crow))
+        i, j = np.nonzero(qrow[part][here][:, None] == crow)
+        own = here[i], j
+        scores[own] = LEAST
+        yield part, scores, own
+
+
+def _improved(best: np.ndarray, scores: np.ndarray) -> None:
+    """best: each row's largest scores so far, the least of them first. Takes those of scores in."""
+    more = np.flatnonzero((scores > best[:, :1]).any(axis=1))
+    if len(more):
+        k = best.shape[1]
+        best[more] = np.sort(np.partition(np.hstack([best[more], scores[more]]), -k, axis=1)[:, -k:], axis=1)
 
 
-def _above(s: np.ndarray, lo: int) -> np.ndarray:
+def _above(s: np.ndarray, lo: np.ndarray) -> np.ndarray:
     """s - lo without overflow, for s >= lo."""
-    return s.astype(np.uint64) - np.array(lo).astype(np.uint64)
+    return s.astype(np.uint64) - lo.astype(np.uint64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, row: str = "vec_id") -> DataFrame:
@@ -84,7 +115,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     Every round scores all candidate blocks against all query blocks and adds up, per query, a histogram of the scores in
     the interval that still holds the k-th value; the interval shrinks by BINS a round until it is one value. The last
-    pass keeps the scores above it and, from each block, the k smallest ids at it.
+    pass keeps the scores above it and, from each block, the k smallest ids at it. All tables are joined by shuffles.
     row: a long column of both tables by which a query's own row is known: candidates with the query's value are its own.
     Rows of one vec_id are all candidates, and all queries, each with its own list.
     Vectors null or with null or non-finite components, and null ids, take no part; vectors are compared within their
@@ -92,10 +123,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     Empty table: empty. Other columns: ignored."""
     spark = vectors.sparkSession
     of = lambda df: quantised(df.select("vec_id", "embedding", F.col(row).alias("row")), scale)
-    cand = cut(_packed(of(vectors), ["vec_id", "row"]))
-    n_blocks = max(1, cand.count())
-    groups = min(n_blocks, 4 * spark.sparkContext.defaultParallelism)
-    cand = cand.select([F.col(c).alias(f"c_{c}" if c != "dim" else c) for c in cand.columns]).withColumn("g", F.pmod(F.xxhash64("c_row"), F.lit(groups)).cast("int"))
+    cand = cut(_packed(dealt(of(vectors), vectors.count()), ["vec_id", "row"]).withColumn("g", F.spark_partition_id()))
+    cand = cand.select([F.col(c).alias(f"c_{c}" if c not in ("dim", "g") else c) for c in cand.columns])
     q = cut(of(queries).withColumn("key", F.monotonically_increasing_id()))
     n_queries = q.count()
     # Cauchy-Schwarz bounds every score; one number for all candidates
@@ -105,22 +134,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     state = q.select("key", (-bound - F.when(bound == MOST, 1).otherwise(0)).alias("lo"), bound.alias("hi"), F.lit(k).cast("long").alias("need"))  # the k-th value is in lo..hi
 
     def blocks(state: DataFrame) -> DataFrame:
-        packed = _packed(q.join(state, "key").repartition(max(1, -(-n_queries // 1024))), ["vec_id", "row", "key", "lo", "hi", "need"])
-        packed = packed.select([F.col(c).alias(f"q_{c}" if c != "dim" else c) for c in packed.columns])
-        return cand.join(packed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), ["g", "dim"])
+        packed = _packed(q.join(state.hint("merge"), "key").repartition(max(1, -(-n_queries // 1024))), ["vec_id", "row", "key", "lo", "hi", "need"])
+        return meeting(cand, packed.select([F.col(c).alias(f"q_{c}" if c != "dim" else c) for c in packed.columns]))
 
     def histograms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, np.ndarray] = {}  # by a block's first key
         for batch in batches:
             out = []
             for row in batch.itertuples():
-                lo, hi, key = (np.frombuffer(x, np.int64) for x in (row.q_lo, row.q_hi, row.q_key))
-                for i, s, _ in _pairs(row):
-                    width = _above(hi[i], lo[i]) // np.uint64(BINS) + np.uint64(1)
-                    s = s[(s >= lo[i]) & (s <= hi[i])]
-                    bins, counts = np.unique(_above(s, lo[i]) // width, return_counts=True)
-                    # bins below the one that holds this block's own k-th score can't hold the global one
-                    first = max(0, len(counts) - 1 - int(np.searchsorted(np.cumsum(counts[::-1]), k)))
-                    out.append(pd.DataFrame({"key": key[i], "bin": bins[first:].astype(np.int64), "n": counts[first:]}))
+                los, his, keys = (np.frombuffer(x, np.int64) for x in (row.q_lo, row.q_hi, row.q_key))
+                tops = best.setdefault(int(keys[0]), np.full((len(keys), k), LEAST))
+                for part, s, own in _pairs(row):
+                    lo, hi = los[part], his[part]
+                    width = _above(hi, lo) // np.uint64(BINS) + np.uint64(1)
+                    # bins below the one that holds this task's own k-th score so far can't hold the global one
+                    _improved(tops[part], s)
+                    least = np.maximum(tops[part, 0], lo)
+                    least -= (_above(least, lo) % width).astype(np.int64)
+                    wanted = (s >= least[:, None]) & (s <= hi[:, None])
+                    wanted[own] = False
+                    at, to = np.nonzero(wanted)
+                    bins = _above(s[at, to], lo[at]) // width[at]
+                    found, counts = np.unique(at * BINS + bins.astype(np.int64), return_counts=True)
+                    out.append(pd.DataFrame({"key": keys[part][found // BINS], "bin": found % BINS, "n": counts}))
             yield pd.concat(out) if out else pd.DataFrame({"key": [], "bin": [], "n": []})
 
     state = cut(state)
@@ -130,11 +166,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         down = Window.partitionBy("key").orderBy(F.desc("bin"))  # at most BINS rows a query
         found = found.withColumn("upto", F.sum("n").over(down)).withColumn("from", F.col("upto") - F.col("n"))
         spans = state.withColumn("width", F.expr(f"(cast(hi as decimal(20,0)) - cast(lo as decimal(20,0))) div {BINS} + 1"))
-        hit = found.join(spans, "key").where((F.col("from") < F.col("need")) & (F.col("upto") >= F.col("need")))
+        hit = found.join(spans.hint("merge"), "key").where((F.col("from") < F.col("need")) & (F.col("upto") >= F.col("need")))
         low = wide("lo") + wide("bin") * wide("width")
         hit = hit.select("key", low.cast("long").alias("new_lo"), F.least(wide("hi"), low + wide("width") - 1).cast("long").alias("new_hi"), (F.col("need") - F.col("from")).alias("left"))
         # a query with fewer candidates than k takes all: its interval becomes the lowest value
-        now = state.join(hit, "key", "left").select("key", F.coalesce("new_lo", "lo").alias("lo"), F.coalesce("new_hi", "lo").alias("hi"), F.coalesce("left", "need").alias("need"))
+        now = state.join(hit.hint("merge"), "key", "left").select("key", F.coalesce("new_lo", "lo").alias("lo"), F.coalesce("new_hi", "lo").alias("hi"), F.coalesce("left", "need").alias("need"))
         before, state = state, cut(now)
         discard(before)
 
@@ -142,10 +178,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         for batch in batches:
             out = []
             for row in batch.itertuples():
-                at, qids, key = (np.frombuffer(x, np.int64) for x in (row.q_lo, row.q_vec_id, row.q_key))
-                for i, s, ids in _pairs(row):
-                    above, level = s > at[i], np.sort(ids[s == at[i]])[:k]
-                    out.append(pd.DataFrame({"key": key[i], "query_id": qids[i], "vec_id": np.concatenate([ids[above], level]), "score": np.concatenate([s[above], np.full(len(level), at[i])])}))
+                values, qids, keys, ids = (np.frombuffer(x, np.int64) for x in (row.q_lo, row.q_vec_id, row.q_key, row.c_vec_id))
+                for part, s, own in _pairs(row):
+                    value = values[part, None]
+                    level = s == value
+                    level[own] = False
+                    at, to = np.nonzero(s > value)
+                    i, j = np.nonzero(level)
+                    order = np.lexsort((ids[j], i))
+                    i, j = i[order], j[order]
+                    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    at, to = np.concatenate([at, i[first]]), np.concatenate([to, j[first]])
+                    out.append(pd.DataFrame({"key": keys[part][at], "query_id": qids[part][at], "vec_id": ids[to], "score": s[at, to]}))
             yield pd.concat(out) if out else pd.DataFrame({"key": [], "query_id": [], "vec_id": [], "score": []})
 
     hits = blocks(state).mapInPandas(chosen, "key long, query_id long, vec_id long, score long")
