@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard, numbered, table
-from .op05_topk import BLOCK, _scores, quantised
+from .op05_topk import BLOCK, SLICE, _scores, dealt, meeting, quantised
 
 #: Each level of the summaries has so many times the segments of the one before, down to segments of LEAST components.
 FINER, LEAST = 4, 4
@@ -73,23 +73,42 @@ class Side:
             self.levels.append((mean.reshape(n, k), dev.reshape(n, k)))
             at += 2 * n * k
         self.norm = np.sqrt(sum((x * x).sum(axis=1) for x in self.levels[0]))
+        self.products: tuple[Side | None, int, dict[int, np.ndarray]] = None, 0, {}
         for c in columns:
             setattr(self, c, np.frombuffer(getattr(row, f"{side}_{c}"), np.int64))
 
 
+def _products(times: Callable[[np.ndarray, np.ndarray], np.ndarray], q: Side, i: int, x: np.ndarray, c: Side, y: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Of row i of q's matrix x and rows `alive` of c's matrix y. If most of c's rows are alive, from a product of matrices for
+    a slice of q's rows, which c keeps until the next slice."""
+    if 2 * len(alive) <= len(y):
+        return times(x[i : i + 1], y[alive])[0]
+    a = i - i % SLICE
+    if c.products[0] is not q or c.products[1] != a:
+        c.products = q, a, {}
+    kept = c.products[2]
+    if id(y) not in kept:
+        kept[id(y)] = times(x[a : a + SLICE], y)
+    return kept[id(y)][i - a, alive]
+
+
 #: Told lower and upper bounds of scores, which candidates may still be wanted.
 Wanted = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
+def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return x @ y.T
+
+
 def exact_after_bounds(q: Side, i: int, c: Side, alive: np.ndarray, wanted: Wanted, enough: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in block c, and exact scores with q's row i, of the candidates of `alive` that wanted doesn't rule out at any level."""
     for (mean, dev), (own_mean, own_dev) in zip(c.levels, q.levels):
         if len(alive) <= enough:
             break
-        middle, reach = mean[alive] @ own_mean[i], dev[alive] @ own_dev[i]
+        middle, reach = (_products(_times, q, i, x, c, y, alive) for x, y in ((own_mean, mean), (own_dev, dev)))
         reach = reach + 1e-9 * q.norm[i] * c.norm[alive] + 1e-6  # the bounds are doubles
         alive = alive[wanted(middle - reach, middle + reach)]
-    return alive, _scores(q.m[i : i + 1], c.m[alive])[0]
+    return alive, _products(_scores, q, i, q.m, c, c.m, alive)
 
 
 def _kth(x: np.ndarray, k: int) -> float:
@@ -101,81 +120,111 @@ def _best(ids: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -s.astype(object) if len(s) and s.min() == -(1 << 63) else -s))[:k]
 
 
+class Best:
+    """Of each of n lists, the k candidates seen so far that are first: higher scores before lower, ties by smaller ids."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.n, self.ids, self.s = k, np.zeros(n, np.int64), np.zeros((n, k), np.int64), np.zeros((n, k), np.int64)
+
+    def least(self, i: int) -> float:
+        """No candidate of a lower score comes into list i any more."""
+        full = self.k and self.n[i] == self.k and self.s[i, -1] > -(1 << 63)
+        return int(self.s[i, -1]) if full else -np.inf
+
+    def take(self, i: int, ids: np.ndarray, s: np.ndarray) -> None:
+        if len(ids):
+            ids, s = np.concatenate([self.ids[i, : self.n[i]], ids]), np.concatenate([self.s[i, : self.n[i]], s])
+            best = _best(ids, s, self.k)
+            self.n[i] = len(best)
+            self.ids[i, : len(best)], self.s[i, : len(best)] = ids[best], s[best]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, ids and scores."""
+        i, j = np.nonzero(np.arange(self.k) < self.n[:, None])
+        return i, self.ids[i, j], self.s[i, j]
+
+
 def hard_negatives(vectors: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int = 5, least: int = 80, most: int = 100, scale: int = 256, row: str = "vec_id") -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score): for each anchor and each of its first
     `positives` other rows of the same label, the first `negatives` rows of other labels whose score is from least to most per
     cent of the positive's. Scores are integer inner products of floor(scale * x); higher first, ties by smaller vec_id.
 
     Every vector is stored with the means and deviations of its segments, at levels of more and more segments. Blocks of
-    anchors meet blocks of candidates; in a task, the summaries' products give each score a lower and an upper bound, and a
-    candidate that no result can hold goes before the next, finer level; only what is left is scored exactly. Each block sends
-    at most `positives` (or `negatives` a positive) candidates of an anchor on, whatever repeats.
+    anchors meet blocks of candidates by shuffles; in a task, the summaries' products give each score a lower and an upper bound,
+    and a candidate that no result can hold, or that comes behind the task's own so far, goes before the next, finer level; only
+    what is left is scored exactly. Each task sends at most `positives` (or `negatives` a positive) candidates of an anchor on,
+    whatever repeats.
     row: a long column of both tables by which an anchor's own row is known. Rows of one vec_id are candidates and anchors each
     for itself. Null label, null vec_id, null vectors or components that are null or not finite: no part. Vectors are compared
     within their dimension. A positive with a negative score has no negatives, as no score is from 80 to 100 per cent of it.
     Components and scores beyond a long count as the largest or smallest long. Empty table: empty. Other columns: ignored."""
-    spark = vectors.sparkSession
 
     def of(df: DataFrame) -> DataFrame:
         return quantised(df.where("label is not null").select("vec_id", "embedding", F.col("label").cast("long").alias("label"), F.col(row).alias("row")), scale)
 
-    cand = cut(_packed(of(vectors), ["vec_id", "row", "label"], BLOCK))
-    groups = min(max(1, cand.count()), 4 * spark.sparkContext.defaultParallelism)
-    cand = cand.select([F.col(c).alias(f"c_{c}" if c != "dim" else c) for c in cand.columns]).withColumn("g", F.pmod(F.xxhash64("c_row"), F.lit(groups)).cast("int"))
+    cand = cut(_packed(dealt(of(vectors), vectors.count()), ["vec_id", "row", "label"], BLOCK).withColumn("g", F.spark_partition_id()))
+    cand = cand.select([F.col(c).alias(f"c_{c}" if c not in ("dim", "g") else c) for c in cand.columns])
     q = cut(of(anchors).withColumn("key", F.monotonically_increasing_id()))
     blocks = max(1, -(-q.count() // ANCHORS))
 
     def pairs(rows: DataFrame, extra: list[str], lists: tuple[str, ...] = ()) -> DataFrame:
         """Every block of anchors with every block of candidates."""
         packed = _packed(rows.repartition(blocks), ["vec_id", "row", "label", "key", *extra], ANCHORS, lists)
-        packed = packed.select([F.col(c).alias(f"q_{c}" if c != "dim" else c) for c in packed.columns])
-        return cand.join(packed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), ["g", "dim"])
+        return meeting(cand, packed.select([F.col(c).alias(f"q_{c}" if c != "dim" else c) for c in packed.columns]))
 
     def sides(batch: pd.DataFrame, *more: str) -> Iterator[tuple[Side, Side]]:
         for r in batch.itertuples():
             yield Side(r, "q", ["vec_id", "row", "label", "key", *more]), Side(r, "c", ["vec_id", "row", "label"])
 
     def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[int, tuple[np.ndarray, Best]] = {}  # by a block's first key
         for batch in batches:
-            out = [pd.DataFrame({"key": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})]
             for a, c in sides(batch):
+                _, best = found.setdefault(int(a.key[0]), (a.key, Best(len(a.key), positives)))
                 for i in range(len(a.key)):
                     alive = np.flatnonzero((c.label == a.label[i]) & (c.row != a.row[i]))
-                    alive, s = exact_after_bounds(a, i, c, alive, lambda low, high: high >= _kth(low, positives), ENOUGH * positives)
-                    best = _best(c.vec_id[alive], s, positives)
-                    out.append(pd.DataFrame({"key": a.key[i], "vec_id": c.vec_id[alive][best], "score": s[best]}))
-            yield pd.concat(out)
+                    least = best.least(i)
+                    alive, s = exact_after_bounds(a, i, c, alive, lambda low, high, least=least: high >= max(least, _kth(low, positives)), ENOUGH * positives)
+                    best.take(i, c.vec_id[alive][s >= least], s[s >= least])
+        for key, best in found.values():
+            i, ids, s = best.rows()
+            yield pd.DataFrame({"key": key[i], "vec_id": ids, "score": s})
 
     first = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     near = pairs(q, []).mapInPandas(same, "key long, vec_id long, score long").withColumn("place", F.row_number().over(first)).where(F.col("place") <= positives)
     near = near.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("x"))  # at most `positives`
-    near = cut(q.join(near.select("key", F.col("x.vec_id").alias("p_id"), F.col("x.score").alias("p_score")), "key"))
+    near = cut(q.join(near.select("key", F.col("x.vec_id").alias("p_id"), F.col("x.score").alias("p_score")).hint("merge"), "key"))
 
     def other(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["key", "place", "anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"]
+        found: dict[int, tuple[list[np.ndarray], Best]] = {}  # by a block's first key; a list for each positive
         for batch in batches:
-            out = [pd.DataFrame({c: np.zeros(0, np.int64) for c in names})]
             for a, c in sides(batch, "n_p_id", "p_id", "p_score"):
                 begin = np.cumsum(a.n_p_id) - a.n_p_id
+                if int(a.key[0]) not in found:
+                    own = np.repeat(np.arange(len(a.key)), a.n_p_id)
+                    found[int(a.key[0])] = [a.key[own], np.arange(len(own)) - begin[own], a.vec_id[own], a.p_id, a.p_score], Best(len(own), negatives)
+                _, best = found[int(a.key[0])]
                 for i in range(len(a.key)):
-                    own = slice(begin[i], begin[i] + a.n_p_id[i])
-                    spans = [(-(-least * p // 100), most * p // 100) for p in a.p_score[own].tolist()]
+                    spans = [(at, -(-least * p // 100), most * p // 100) for at, p in enumerate(a.p_score[begin[i] : begin[i] + a.n_p_id[i]].tolist(), begin[i])]
+                    spans = [(at, max(x, best.least(at)), y) for at, x, y in spans if x <= y]
+                    if not spans:
+                        continue
 
-                    def wanted(low: np.ndarray, high: np.ndarray, spans: list[tuple[int, int]] = spans) -> np.ndarray:
+                    def wanted(low: np.ndarray, high: np.ndarray, spans: list[tuple[int, float, int]] = spans) -> np.ndarray:
                         keep = np.zeros(len(low), bool)
-                        for x, y in spans:
-                            if x <= y:
-                                keep |= (high >= x) & (low <= y) & (high >= _kth(low[(low >= x) & (high <= y)], negatives))
+                        for _, x, y in spans:
+                            keep |= (high >= x) & (low <= y) & (high >= _kth(low[(low >= x) & (high <= y)], negatives))
                         return keep
 
                     alive = np.flatnonzero(c.label != a.label[i])
                     alive, s = exact_after_bounds(a, i, c, alive, wanted, ENOUGH * negatives)
-                    for place, ((x, y), p, score) in enumerate(zip(spans, a.p_id[own], a.p_score[own])):
-                        at = np.flatnonzero((s >= x) & (s <= y)) if x <= y else np.zeros(0, np.int64)
-                        best = at[_best(c.vec_id[alive][at], s[at], negatives)]
-                        if len(best):
-                            out.append(pd.DataFrame(dict(zip(names, (a.key[i], place, a.vec_id[i], p, score, c.vec_id[alive][best], s[best])))))
-            yield pd.concat(out)
+                    for at, x, y in spans:
+                        fit = np.flatnonzero((s >= x) & (s <= y))
+                        best.take(at, c.vec_id[alive[fit]], s[fit])
+        for columns, best in found.values():
+            i, ids, s = best.rows()
+            yield pd.DataFrame(dict(zip(names, (*(x[i] for x in columns), ids, s))))
 
     found = pairs(near, [], ("p_id", "p_score")).mapInPandas(other, "key long, place long, anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
     best = Window.partitionBy("key", "place").orderBy(F.desc("negative_score"), "negative_id")

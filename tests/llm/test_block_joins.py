@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
-from docaudit.llm import op05_topk  # noqa: E402
+from docaudit.llm import op05_topk, op12_negatives  # noqa: E402
 
 
 def plans(spark, run):
@@ -19,7 +19,7 @@ def plans(spark, run):
     return out, [ran.apply(i).physicalPlanDescription() for i in range(before, ran.size())]
 
 
-@pytest.mark.parametrize("query, module", [("op5_top_inner_products", op05_topk)])
+@pytest.mark.parametrize("query, module", [("op5_top_inner_products", op05_topk), ("op12_hard_negatives", op12_negatives)])
 def test_nothing_is_broadcast(spark, tmp_path, query, module):
     rng = np.random.default_rng(8)
     rows = [(i, [float(c) for c in rng.normal(size=4 if i % 9 else 3)], int(rng.integers(0, 3))) for i in range(600)]
